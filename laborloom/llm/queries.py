@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import canonical, cooccurrence, survivors
+from . import canonical, cooccurrence, sentences, survivors
 
 QUERIES = {
     "p1_found": survivors.p1_found,
@@ -10,5 +10,6 @@ QUERIES = {
     "p5_found": cooccurrence.p5_found,
     "p5_surprise": cooccurrence.p5_surprise,
     "p7_found": canonical.p7_found,
+    "p10_found": sentences.p10_found,
 }
 SQL = {"p5_found": cooccurrence.FOUND_SQL}
