@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import spread, table
 
 #: Hours and other periods in a year of 2,080 hours.
 PER_YEAR = {"hour": 2080.0, "day": 260.0, "week": 52.0, "fortnight": 26.0, "month": 12.0, "year": 1.0}
@@ -232,7 +232,8 @@ def plain(text: Column) -> Column:
 def unit_dictionary(rows: DataFrame, raw: str, currency: str, period: str) -> DataFrame:
     """SHAPE_SCHEMA rows: every distinct shape in the three columns, segmented once."""
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), shape_of(F.col(c)).alias("shape")) for k, c in (("raw", raw), ("currency", currency), ("period", period))])
-    return rows.select(F.explode(kinds).alias("x")).select("x.kind", "x.shape").filter("shape <> ''").distinct().mapInPandas(_read_all, SHAPE_SCHEMA)
+    shapes = rows.select(F.explode(kinds).alias("x")).select("x.kind", "x.shape").filter("shape <> ''").distinct()
+    return spread(shapes, "shape", per_core=1).mapInPandas(_read_all, SHAPE_SCHEMA)
 
 
 def _value(numbers: Column, index: Column, mark: Column, scale: Column) -> Column:

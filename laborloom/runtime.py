@@ -66,6 +66,15 @@ def parallelism(spark: SparkSession, rows: int, per_partition: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-rows // per_partition))
 
 
+def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
+    """`df` over several partitions for each core, for work in Python that would else follow the size in bytes.
+
+    AQE merges small partitions by their bytes, and a scan splits files by theirs; neither knows what a row costs.
+    """
+    n = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *keys)
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One of the input tables below `root`."""
     prepare(spark)
