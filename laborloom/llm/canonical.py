@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import spread, table
 from .automata import Trie
 
 # The project's alias map of employment types.
@@ -271,7 +271,7 @@ def map_values(values: DataFrame, canonical: DataFrame) -> DataFrame:
             pdf["value_id"] = [m.match(f, v) for f, v in zip(pdf["field_name"], pdf["value"])]
             yield pdf.astype({"value_id": "int64"})
 
-    return values.select("field_name", "value").dropna().distinct().mapInPandas(match, "field_name string, value string, value_id long")
+    return spread(values.select("field_name", "value").dropna().distinct(), "value").mapInPandas(match, "field_name string, value string, value_id long")
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import canonical, cooccurrence, sentences, survivors
+from . import canonical, cooccurrence, names, sentences, survivors
 
 QUERIES = {
     "p1_found": survivors.p1_found,
     "p1_survivors": survivors.p1_survivors,
+    "p3_found": names.p3_found,
     "p5_found": cooccurrence.p5_found,
     "p5_surprise": cooccurrence.p5_surprise,
     "p7_found": canonical.p7_found,
