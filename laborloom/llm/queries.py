@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import canonical, cooccurrence, names, sentences, survivors
+from . import canonical, cooccurrence, history, names, sentences, survivors
 
 QUERIES = {
     "p1_found": survivors.p1_found,
@@ -10,6 +10,7 @@ QUERIES = {
     "p3_found": names.p3_found,
     "p5_found": cooccurrence.p5_found,
     "p5_surprise": cooccurrence.p5_surprise,
+    "p6_found": history.p6_found,
     "p7_found": canonical.p7_found,
     "p10_found": sentences.p10_found,
 }
