@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import canonical, cooccurrence, history, names, sentences, survivors
+from . import canonical, cooccurrence, history, leakage, names, packing, sentences, survivors
 
 QUERIES = {
     "p1_found": survivors.p1_found,
@@ -12,6 +12,8 @@ QUERIES = {
     "p5_surprise": cooccurrence.p5_surprise,
     "p6_found": history.p6_found,
     "p7_found": canonical.p7_found,
+    "p8_windows": packing.p8_windows,
+    "p9_found": leakage.p9_found,
     "p10_found": sentences.p10_found,
 }
 SQL = {"p5_found": cooccurrence.FOUND_SQL}
