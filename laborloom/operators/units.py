@@ -41,7 +41,7 @@ SCALES = {1e3: "k|thousand|mil|tausend|tsd|tsd.", 1e5: "l|lakh|lakhs|lac|lacs",
 JOINTS = {"per": "/|per|a|an|pro|por|al|à|je|par|each", "range": "-|–|—|to|bis|a|hasta|until|through", "none": "from|up to|upto|ab|bis zu|desde|hasta|base pay|base|pay|salary|:|ca.|approx.|brutto|gross|plus|+|benefits|and|&|,|~"}
 
 _NUMBER = r"\d{1,3}(?:[.,' ]\d{2,3})+(?:[.,]\d{1,2})?(?!\d)|\d+(?:[.,]\d+)?"
-_EXTRAS = re.compile(r"\([^()]*(?:bonus|sign|extra|prämie|bono)[^()]*\)|[+&]\s*401.?k\b.*$|\b401\s?\(?k\)?(?:\s*match)?|(?:up to\s*)?\d+(?:[.,]\d+)?\s*%(?:\s*bonus)?|plus (?:benefits|bonus)\b", re.I)
+_EXTRAS = re.compile(r"\([^()]*(?:bonus|sign|extra|prämie|bono)[^()]*\)|[+&]\s*pension\b.*$|\bpension(?:\s*match)?|(?:up to\s*)?\d+(?:[.,]\d+)?\s*%(?:\s*bonus)?|plus (?:benefits|bonus)\b", re.I)
 
 
 class Trie:
@@ -226,6 +226,8 @@ def shape_of(text: Column) -> Column:
 
 
 def plain(text: Column) -> Column:
+    """The text with plain white space and apostrophes; the name of a pension plan, whose number is no amount, as a word."""
+    text = F.regexp_replace(text, r"(?i)\b401 ?\(?k\)?(?![\p{L}\d])", "pension")
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\s    ]+", " "), r"[’´`]", "'"))
 
 
