@@ -526,3 +526,50 @@ def trajectories(spark, root):
     cut, before = F.lit("2000-01-01").cast("timestamp"), F.lit("1999-01-01").cast("timestamp")
     g = o.groupBy("o_custkey").agg(F.count_if(F.col("o_orderdate") >= cut).alias("cur"), F.count_if((F.col("o_orderdate") < cut) & (F.col("o_orderdate") >= before)).alias("prior"))
     return g.groupBy(dates.trajectory(F.col("cur") - F.col("prior")).alias("trajectory")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- taxonomy and roles ------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT unnest(skills) AS s FROM extracted_intelligence), c AS (SELECT s.skill_id AS uri, s.skill_name AS name FROM s WHERE s.skill_id IS NOT NULL AND s.skill_name IS NOT NULL),
+e AS (SELECT lower(trim(name)) AS k, min(uri) AS u FROM c GROUP BY 1), m AS (SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS k, min(uri) AS u FROM c GROUP BY 1),
+l AS (SELECT DISTINCT coalesce(s.skill_name, s.label) AS label FROM s WHERE trim(coalesce(s.skill_name, s.label)) <> ''),
+r AS (SELECT CASE WHEN e.u IS NOT NULL THEN 2 WHEN m.u IS NOT NULL THEN 3 ELSE 6 END AS step, CASE WHEN e.u IS NOT NULL OR m.u IS NOT NULL THEN 1.0 ELSE 0.0 END AS c FROM l LEFT JOIN e ON e.k = lower(trim(label)) LEFT JOIN m ON m.k = trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')))
+SELECT step, count(*) AS n, round(CAST(avg(c) AS DOUBLE), 6) AS mean_confidence FROM r GROUP BY 1""")
+def taxonomy_resolution(spark, root):
+    from ..operators.taxonomy import coverage, resolve
+
+    s = table(spark, root, "extracted_intelligence").select(F.explode("skills").alias("s"))
+    catalog = s.select(F.col("s.skill_id").alias("uri"), F.col("s.skill_name").alias("name")).dropna().distinct()
+    return coverage(resolve(s.select(F.coalesce("s.skill_name", "s.label").alias("l")), "l", catalog))
+
+
+@query("""WITH e AS (SELECT o_orderpriority AS role, p_brand AS skill, count(DISTINCT o_orderkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL), t AS (SELECT o_orderpriority AS role, count(DISTINCT o_orderkey) AS total FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) GROUP BY 1),
+r AS (SELECT role, skill, n, round(n / total, 6) AS demand_pct, CAST(row_number() OVER (PARTITION BY role ORDER BY n DESC, skill) AS INTEGER) AS rank FROM e JOIN t USING (role)) SELECT * FROM r WHERE rank <= 15""")
+def role_top_skills(spark, root):
+    from ..operators.pipelines import top_of_role
+
+    rows = elements(spark, root).join(table(spark, root, "orders").select(F.col("o_orderkey").alias("posting_id"), F.col("o_orderpriority").alias("role")), "posting_id")
+    return top_of_role(rows, "role", "skill", "posting_id")
+
+
+@query("""WITH g AS (SELECT c_mktsegment AS sector, c_name AS company, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+SELECT sector, company, n FROM (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY n DESC, company) AS rn FROM g) WHERE rn <= 5""")
+def top_employers(spark, root):
+    g = postings(spark, root).groupBy("sector", "company").agg(F.count(F.lit(1)).alias("n"))
+    return windows.top_n(g, "sector", 5, F.desc("n"), F.asc("company")).drop("rank")
+
+
+@query()
+def pipeline_stages(spark, root):
+    """Rows that pass ingestion and normalisation of the last batch, with the reasons of those that don't."""
+    from ..operators.pipelines import ingest, normalise
+
+    r = dedup.with_hashes(table(spark, root, "raw_ingested_jobs")).withColumn("arrival", F.col("id"))
+    last = r.agg(F.max("ingestion_run_id").alias("run"))
+    batch = r.join(F.broadcast(last), F.col("ingestion_run_id") == F.col("run")).drop("run")
+    stored = r.join(F.broadcast(last), F.col("ingestion_run_id") < F.col("run")).select("storage_hash")
+    one = ingest(batch, stored, F.lit(0))
+    two = normalise(one.passed)
+    count = lambda df, s: df.agg(F.lit(s).alias("outcome"), F.count(F.lit(1)).alias("n"))
+    return count(one.rejected, "repeated").unionByName(count(two.passed, "normalised")).unionByName(count(two.rejected, "rejected"))
