@@ -213,7 +213,7 @@ def leaks(docs: DataFrame, items: DataFrame, held: float = HELD) -> DataFrame:
     where the document holds `held` of the item or more.
 
     All items go to every task, so more than MOST_ITEMS raise. Null and empty texts hold nothing and are held by
-    none; repeated rows and extra columns change nothing. Every window of every document is looked up.
+    none, and documents without an id are left out; repeated rows and extra columns change nothing. Every window of every document is looked up.
     """
     rows = items.select("item_id", "passage").dropna().distinct().limit(MOST_ITEMS + 1).collect()
     if len(rows) > MOST_ITEMS:
@@ -228,7 +228,7 @@ def leaks(docs: DataFrame, items: DataFrame, held: float = HELD) -> DataFrame:
                 got = [(ids[at + d], index.ids[k], s) for d, k, s in search(texts[at : at + 256], index, held)]
                 yield pd.DataFrame(got, columns=["doc_id", "item_id", "share"]).astype({"doc_id": "int64", "item_id": "int64", "share": "float64"})
 
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     found = spread(texts, "doc_id").mapInPandas(run, "doc_id long, item_id long, share double")
     return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 

@@ -65,12 +65,13 @@ def voted_values(long: DataFrame, fields: list[str], least: int = 2) -> DataFram
 
 
 def postings(spark: SparkSession, root: str) -> DataFrame:
-    """`job_records` with the group key, trust rank (null sources last) and both instants in milliseconds."""
+    """`job_records` with the group key, trust rank (null sources last) and both instants in milliseconds; rows without an
+    id or a part of the key are left out."""
     src = table(spark, root, "job_sources").select(strip(F.col("source")).alias("__src"), "trust_rank", "home_zone", "date_order").dropDuplicates(["__src"])
     jr = table(spark, root, "job_records").select(
         "job_id", group_key(F.col("external_id"), F.col("title"), F.col("company")).alias("key"), strip(F.col("source")).alias("__src"), "salary_min", "date_posted", "date_ingested"
     )
-    out = jr.filter(F.col("key").isNotNull()).join(src, "__src", "left").withColumn("__utc", F.lit("UTC"))
+    out = jr.filter(F.col("key").isNotNull() & F.col("job_id").isNotNull()).join(src, "__src", "left").withColumn("__utc", F.lit("UTC"))
     out = with_instant(out, "date_ingested", "__utc", "date_order", "ingested_ms")
     out = with_instant(out, "date_posted", "home_zone", "date_order", "__ms", "__age")
     out = out.withColumn("posted_ms", F.coalesce("__ms", F.col("ingested_ms") - F.col("__age")))

@@ -43,7 +43,7 @@ def test_planted(spark, tmp_path):
             docs.append((i, " ".join(body + items[k][20:28] + body)))  # a shared phrase is no case
         else:
             docs.append((i, " ".join(body)))
-    docs += [docs[0], (500, None), (501, ""), (502, "x " * 30_000)]
+    docs += [docs[0], (None, docs[0][1]), (500, None), (501, ""), (502, "x " * 30_000)]
     path = folder(spark, tmp_path, True, documents=docs, golden_items=[(k, " ".join(w)) for k, w in enumerate(items)] + [(90, None), (91, "")])
     got = {tuple(r) for r in p9_found(spark, path).collect()}
     assert got == want

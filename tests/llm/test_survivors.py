@@ -20,7 +20,7 @@ def test_rules(spark, tmp_path):
         row(6, source="ALPHA", ingested="2024-01-03"),
         row(7, ext=" E ", title="T", company="C\t", source="beta", ingested="2024-02-01", pay=10.0, posted="2024-01-05"),
         row(8, source="alpha", ingested="2023-01-01", pay=float("nan"), posted="5 days ago"),
-        row(9, ext="alone"), row(10, ext=None), row(11, ext=None),
+        row(9, ext="alone"), row(10, ext=None), row(11, ext=None), row(None),
     ]
     assert found(spark, tmp_path, rows) == [(5, 6, 7, 7)]
 
