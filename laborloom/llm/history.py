@@ -1,15 +1,19 @@
 """Deduplicating new batches against all history: immutable suffix arrays of windows, merged logarithmically.
 
 Texts are compared within a block: one employer, job and city. Exact copies are found by hash. Of the blocks with
-several different texts, each run of arrivals becomes a sorted array of the suffixes of its texts, cut after WINDOW
-words; a new text's suffixes are searched in every earlier array by bisection, a match leads to the record that had
-those words first, and a record is a repeat if enough of its words are in stretches of STRETCH words that the earlier
-record has too. Arrays are never changed; two of similar size are merged into one that keeps first occurrences only.
+several different texts, each run of arrivals becomes a sorted array of the suffixes of its texts, cut after STRETCH
+words; a new text's suffixes are searched in every earlier array by bisection, a match leads to all records that have
+those words, and a record is a repeat if enough of its words are in stretches of STRETCH words that the earlier record
+has too. Arrays are never changed; two of similar size are merged into one that keeps all records of both.
+
+A text's commonest suffixes are left out as long as they cover less of it than a repeat must share: repeats share a
+rarer one too, so no link is lost, and a sentence that all texts of a block have leads to no candidates by itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +23,12 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, table
 from .stream import classes
 
-#: Words of a suffix that lead to a candidate; words of a stretch that counts as shared; share that makes a repeat.
-WINDOW, STRETCH, SHARED = 6, 4, 0.6
+#: Words of a stretch that counts as shared; share of words in such stretches that makes a repeat.
+STRETCH, SHARED = 4, 0.6
 #: Records of one run of arrivals, texts of a block in one shard, and records of one task.
 RUN, SHARD, TASK = 4_096, 2_000, 25_000
+#: Matches that are taken from a segment at a time, which bounds memory only.
+CHUNK = 2_000_000
 
 # Advertising words that are put after a title, and suffixes that boards append to an id.
 _ADVERTS = r"\s*(?:\*+\w*\**|[-–|] ?(?:new|hot|apply (?:today|now)|hiring now|now hiring|urgent(?:ly hiring)?|immediate start))[\s!*]*$"
@@ -67,37 +73,90 @@ class Texts:
         self.block, self.words, self.offsets = block.astype(np.int64), words.astype(np.uint32), offsets.astype(np.int64)
         self.length = np.diff(self.offsets)
         self.owner = np.repeat(np.arange(len(block)), self.length)
+        n = len(self.words)
+        self.left = self.offsets[self.owner + 1] - np.arange(n)
+        #: Suffixes that lead to candidates: those of STRETCH words or more, or else the whole record.
+        self.leads = (self.left >= STRETCH) | ((self.length[self.owner] < STRETCH) & (self.left == self.length[self.owner]))
+        padded = np.zeros(n + STRETCH, np.uint64)
+        padded[:n] = self.words
+        h = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(STRETCH):
+                h = (h ^ np.where(self.left > j, padded[j : j + n] + np.uint64(1), np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+        #: The suffix at each word, cut after STRETCH words, as a number; which of them count; the records' own ones.
+        self.stretch = h
+        self.whole = (self.left >= STRETCH) | (self.length[self.owner] < STRETCH)
+        self.have = np.unique(mixed(self.owner[self.whole], h[self.whole]))
 
     def suffixes(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-        """(suffix cut after WINDOW words with its block before it, record) of records first to last.
+        """(suffix cut after STRETCH words with its block before it, record) of records first to last.
 
         A suffix is its words' numbers as bytes in rising order, so that comparing bytes compares word by word. Those
-        of less than WINDOW words are left out, unless the whole record is shorter.
+        of less than STRETCH words are left out, unless the whole record is shorter.
         """
         a, b = self.offsets[first], self.offsets[last]
         n = int(b - a)
-        padded = np.zeros(n + WINDOW, np.uint32)
+        padded = np.zeros(n + STRETCH, np.uint32)
         padded[:n] = self.words[a:b]
-        owner = self.owner[a:b]
-        left = self.offsets[owner + 1] - np.arange(a, b)
-        k = np.zeros((n, WINDOW + 2), ">u4")
+        owner, left = self.owner[a:b], self.left[a:b]
+        k = np.zeros((n, STRETCH + 2), ">u4")
         k[:, 0], k[:, 1] = (self.block[owner] >> 32) & 0xFFFFFFFF, self.block[owner] & 0xFFFFFFFF
-        for j in range(WINDOW):
+        for j in range(STRETCH):
             k[:, j + 2] = np.where(left > j, padded[j : j + n], 0)
-        keep = (left >= WINDOW) | ((self.length[owner] < WINDOW) & (left == self.length[owner]))
-        return np.ascontiguousarray(k).view(f"S{4 * (WINDOW + 2)}").ravel()[keep], owner[keep]
+        keep = self.leads[a:b]
+        return np.ascontiguousarray(k).view(f"S{4 * (STRETCH + 2)}").ravel()[keep], owner[keep]
+
+    def rare(self) -> tuple[np.ndarray, np.ndarray]:
+        """(suffix with its block as a number, record) in order of records, without each record's commonest suffixes.
+
+        Suffixes have one order, the commonest last. From a record the last ones are left out that together cover less
+        than SHARED of its words. Of two records that share enough, the first shared suffix in that order is then left
+        in both: were it left out, so were all others they share, which would cover too little.
+        """
+        n = len(self.words)
+        at = np.flatnonzero(self.leads)
+        keys = mixed(self.block[self.owner[at]], self.stretch[at])
+        unique, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+        place = np.empty(len(unique), np.int64)
+        place[np.lexsort((unique, count))] = np.arange(len(unique))
+        rank = np.full(n, -1, np.int64)
+        rank[at] = place[inverse]
+        # a word is covered as soon as the commonest suffix over it is left out
+        over = rank.copy()
+        for j in range(1, STRETCH):
+            same = self.owner[j:] == self.owner[:-j]
+            over[j:] = np.maximum(over[j:], np.where(same, rank[:-j], -1))
+        over = np.sort(self.owner * (len(unique) + 2) + (len(unique) - over)) - self.owner * (len(unique) + 2)
+        need = np.maximum(np.ceil(SHARED * self.length - 1e-6).astype(np.int64), 1)
+        last = np.full(len(self.length), -1, np.int64)
+        some = self.length > 0
+        last[some] = len(unique) - over[(self.offsets[:-1] + need - 1)[some]]
+        last[self.length < STRETCH] = len(unique)
+        keep = rank[at] <= last[self.owner[at]]
+        return keys[keep], self.owner[at][keep]
+
+
+def mixed(number: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A number for each pair of numbers."""
+    with np.errstate(over="ignore"):
+        y = (x ^ (number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x165667B19E3779F9)
+    return y
 
 
 class Segment:
-    """An immutable sorted array of different suffixes, each with the record that had it first."""
+    """An immutable sorted array of suffixes with their records: every record of each suffix once, the first one first."""
 
     def __init__(self, keys: np.ndarray, record: np.ndarray) -> None:
         self.keys, self.record = keys, record
 
     @classmethod
     def of(cls, keys: np.ndarray, record: np.ndarray) -> Segment:
-        unique, first = np.unique(keys, return_index=True)
-        return cls(unique, record[first])
+        order = np.lexsort((record, keys))
+        keys, record = keys[order], record[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (record[1:] != record[:-1])
+        return cls(keys[new], record[new])
 
     def first(self, keys: np.ndarray) -> np.ndarray:
         """The record that had each key first, or -1, by bisection."""
@@ -106,6 +165,24 @@ class Segment:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.record[at], -1)
 
+    def matches(self, keys: np.ndarray, record: np.ndarray, chunk: int = CHUNK) -> Iterator[np.ndarray]:
+        """Different (record, earlier record with one of its keys) pairs as rows, from about `chunk` matches at a time."""
+        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        ends = np.cumsum(high - low)
+        at = 0
+        while at < len(keys):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + chunk, "right")))
+            size = high[at:to] - low[at:to]
+            which = np.arange(size.sum()) - np.repeat(ends[at:to] - size - before, size) + np.repeat(low[at:to], size)
+            a, b = np.repeat(record[at:to], size), self.record[which]
+            ok = b < a
+            if ok.any():
+                width = int(a.max()) + 1
+                code = np.unique(a[ok].astype(np.int64) * width + b[ok])
+                yield np.stack([code // width, code % width], 1)
+            at = to
+
     def merged(self, later: Segment) -> Segment:
         return Segment.of(np.concatenate([self.keys, later.keys]), np.concatenate([self.record, later.record]))
 
@@ -122,46 +199,30 @@ class Levels:
             b = self.segments.pop()
             self.segments[-1] = self.segments[-1].merged(b)
 
-    def candidates(self, keys: np.ndarray, record: np.ndarray) -> np.ndarray:
-        """Different (record, earlier record) pairs, as rows."""
-        found = []
+    def candidates(self, keys: np.ndarray, record: np.ndarray) -> Iterator[np.ndarray]:
+        """(record, earlier record) pairs, as rows."""
         for s in self.segments:
-            c = s.first(keys)
-            ok = (c >= 0) & (c < record)
-            found.append(np.stack([record[ok], c[ok]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            yield from s.matches(keys, record)
 
 
 def shared(t: Texts, pairs: np.ndarray) -> np.ndarray:
     """For each (a, b), the share of a's words in stretches of STRETCH words that b has too, of the longer's words."""
-    if not len(pairs):
-        return np.zeros(0)
-    n = len(t.words)
-    padded = np.zeros(n + STRETCH, np.uint64)
-    padded[:n] = t.words
-    left = t.offsets[t.owner + 1] - np.arange(n)
-    h = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(STRETCH):
-            h = (h ^ np.where(left > j, padded[j : j + n] + np.uint64(1), np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        mix = lambda record, x: (x ^ (record.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x165667B19E3779F9)
-        whole = (left >= STRETCH) | (t.length[t.owner] < STRETCH)
-        have = np.unique(mix(t.owner[whole], h[whole]))
-        out = np.zeros(len(pairs))
-        for at in range(0, len(pairs), 20_000):
-            a, b = pairs[at : at + 20_000].T
-            size = t.length[a]
-            ends = np.cumsum(size)
-            pos = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(t.offsets[a], size)
-            probe = mix(np.repeat(b, size), h[pos])
-            i = np.minimum(np.searchsorted(have, probe), len(have) - 1)
-            hit = (have[i] == probe) & whole[pos]
-            cover = hit.copy()
-            for j in range(1, STRETCH):
-                cover[j:] |= hit[:-j] & (t.owner[pos[:-j]] == t.owner[pos[j:]]) & (pos[j:] - pos[:-j] == j)
-            total = np.add.reduceat(cover, np.minimum(ends - size, len(cover) - 1)) * (size > 0)
-            out[at : at + 20_000] = total / np.maximum(np.maximum(size, t.length[b]), 1)
+    out = np.zeros(len(pairs))
+    for at in range(0, len(pairs), 20_000):
+        a, b = pairs[at : at + 20_000].T
+        size = t.length[a]
+        ends = np.cumsum(size)
+        if not ends[-1]:
+            continue
+        pos = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(t.offsets[a], size)
+        probe = mixed(np.repeat(b, size), t.stretch[pos])
+        i = np.minimum(np.searchsorted(t.have, probe), len(t.have) - 1)
+        hit = (t.have[i] == probe) & t.whole[pos]
+        cover = hit.copy()
+        for j in range(1, STRETCH):
+            cover[j:] |= hit[:-j] & (t.owner[pos[:-j]] == t.owner[pos[j:]]) & (pos[j:] - pos[:-j] == j)
+        total = np.add.reduceat(cover, np.minimum(ends - size, len(cover) - 1), dtype=np.int64) * (size > 0)
+        out[at : at + 20_000] = total / np.maximum(np.maximum(size, t.length[b]), 1)
     return out
 
 
@@ -177,18 +238,28 @@ def replay(t: Texts, run: int = RUN) -> np.ndarray:
             x = root[x]
         return x
 
+    def link(pairs: np.ndarray) -> None:
+        a, b = t.length[pairs].T
+        pairs = pairs[np.minimum(a, b) >= SHARED * np.maximum(a, b) - 1e-6]
+        for at in range(0, len(pairs), 20_000):
+            some = pairs[at : at + 20_000]
+            top = root
+            while (top[top] != top).any():
+                top = top[top]
+            some = some[top[some[:, 0]] != top[some[:, 1]]]  # pairs of one posting tell nothing new
+            some = some[shared(t, some) >= SHARED]
+            for x, y in some[shared(t, some[:, ::-1]) >= SHARED]:
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+
+    all_keys, all_records = t.rare()
     for first in range(0, n, run):
-        last = min(n, first + run)
-        keys, record = t.suffixes(first, last)
+        a, b = np.searchsorted(all_records, [first, min(n, first + run)])
+        keys, record = all_keys[a:b], all_records[a:b]
         own = Segment.of(keys, record)
-        c = own.first(keys)
-        ok = c < record
-        pairs = np.unique(np.concatenate([levels.candidates(keys, record), np.stack([record[ok], c[ok]], 1)]), axis=0)
+        for pairs in chain(levels.candidates(keys, record), own.matches(keys, record)):
+            link(pairs)
         levels.add(own)
-        pairs = pairs[shared(t, pairs) >= SHARED]
-        for a, b in pairs[shared(t, pairs[:, ::-1]) >= SHARED]:
-            x, y = find(a), find(b)
-            root[max(x, y)] = min(x, y)
     return np.array([find(i) for i in range(n)])
 
 

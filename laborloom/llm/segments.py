@@ -2,7 +2,7 @@
 
 The folder has, partitioned by a bucket of the block: `copies` (exact texts with the first row of their posting), `texts`
 (the words of different texts), `boards` (ids of boards) and, below `segments`, immutable tables of sorted suffixes with
-the record that had each first. A batch reads the buckets it touches only; `fan` segments of a level are merged into
+every record that has them. A batch reads the buckets it touches only; `fan` segments of a level are merged into
 one of the next, so that there are about log(batches) of them and each suffix is rewritten about as often.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .history import _SPACELESS, Texts, near_copies, with_keys, words_of
+from .history import _SPACELESS, Segment, Texts, near_copies, with_keys, words_of
 
 _SCHEMAS = {
     "copies": "block binary, text binary, first_id long, bucket int",
@@ -28,7 +28,7 @@ _SCHEMAS = {
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, key, gid): every suffix of a task's texts, each once, with the first of the task's records."""
+    """(bucket, key, gid): every suffix of a task's texts with each of the task's records that has it."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
@@ -39,10 +39,10 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64) & 0xFFFFFFFF
     gid, bucket = whole["gid"].to_numpy(), whole["bucket"].to_numpy()
     keys, record = Texts(whole["block"].to_numpy(), words, offsets - offsets[0]).suffixes(0, len(gid))
-    unique, first = np.unique(keys, return_index=True)
+    s = Segment.of(keys, record)
     width = keys.dtype.itemsize
-    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(unique), [None, pa.py_buffer(unique.tobytes())]).cast(pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[record[first]], pa.int32()), raw, pa.array(gid[record[first]])], ["bucket", "key", "gid"])
+    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(s.keys), [None, pa.py_buffer(s.keys.tobytes())]).cast(pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[s.record], pa.int32()), raw, pa.array(gid[s.record])], ["bucket", "key", "gid"])
 
 
 class History:
@@ -86,7 +86,7 @@ class History:
             for p in peers:
                 one = self._read("segments", every, p)
                 union = one if union is None else union.unionByName(one)
-            self._add_segment(union.groupBy("bucket", "key").agg(F.min("gid").alias("gid")), level + 1)
+            self._add_segment(union.distinct(), level + 1)
             for p in peers:
                 fs, path_ = self._fs(p)
                 fs.delete(path_, True)
@@ -107,11 +107,11 @@ class History:
         texts = materialize(texts, "texts")
         tokens = F.split(F.trim(F.regexp_replace("words", _SPACELESS, " $1 ")), " +")
         windows = texts.repartition("bucket").sortWithinPartitions("gid").select("bucket", "block", "gid", F.transform(tokens, lambda w: F.hash(w)).alias("words")).mapInArrow(_windows, "bucket int, key binary, gid long")
-        windows = materialize(windows.groupBy("bucket", "key").agg(F.min("gid").alias("gid")), "windows")
+        windows = materialize(windows.distinct(), "windows")
         old = self.spark.createDataFrame([], "gid long")
         for paths in self.segments().values():
             for p in paths:
-                old = old.union(self._read("segments", touched, p).join(windows.select("bucket", "key"), ["bucket", "key"]).select("gid"))
+                old = old.union(self._read("segments", touched, p).join(windows.select("bucket", "key").distinct(), ["bucket", "key"], "left_semi").select("gid"))
         earlier = self._read("texts", touched).join(old.distinct(), "gid", "left_semi")
         earlier = materialize(earlier, "earlier")
         both = texts.select("block", "gid", "words").union(earlier.select("block", "gid", "words"))

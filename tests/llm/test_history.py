@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from laborloom.llm.history import Levels, Segment, Texts, first_rows, near_copies, p6_found, replay
+from laborloom.llm.history import Levels, Segment, Texts, first_rows, near_copies, p6_found, replay, shared
 from tests.llm.tables import folder
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -69,6 +69,35 @@ def test_replay_finds_planted_copies():
         assert dict(enumerate(got.tolist())) == truth
 
 
+def test_owner_of_all_windows_hides_no_later_copy():
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    c = a[:30] + b[:30]  # shares half with each of two earlier postings
+    d = c[:29] + ["x", "y"] + c[31:]  # a rewording at the junction, the only words that c had first
+    texts = [a, b, c, d, [f"z{i}" for i in range(60)]]
+    code = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    flat, offsets = np.array([code[w] for t in texts for w in t]), np.cumsum([0, *map(len, texts)])
+    for run in (1, 2, 10):
+        assert replay(Texts(np.zeros(len(texts), np.int64), flat, offsets), run).tolist() == [0, 1, 2, 2, 4]
+
+
+def test_replay_equals_all_pairs():
+    rng = random.Random(8)
+    sentences = [advert(rng, rng.randint(5, 14)) for _ in range(12)]
+    texts = []
+    for _ in range(150):
+        t = sum(rng.sample(sentences, 5), [])
+        texts.append(reword(rng, t) if rng.random() < 0.7 else t)
+    code = {w: i for i, w in enumerate(WORDS)}
+    t = Texts(np.zeros(len(texts), np.int64), np.array([code[w] for x in texts for w in x]), np.cumsum([0, *map(len, texts)]))
+    pairs = np.array([(i, j) for i in range(150) for j in range(i)])
+    pairs = pairs[(shared(t, pairs) >= 0.6) & (shared(t, pairs[:, ::-1]) >= 0.6)]
+    want = list(range(150))
+    for a, b in pairs:
+        x, y = want[a], want[b]
+        want = [min(x, y) if w in (x, y) else w for w in want]
+    assert len(set(want)) > 1 and replay(t, 16).tolist() == want
+
+
 def test_hot_block_is_sharded_without_loss(spark):
     texts, truth = planted(6)
     df = spark.createDataFrame([(1, len(texts), i, " ".join(t)) for i, t in enumerate(texts)], "block long, n long, gid long, words string")
