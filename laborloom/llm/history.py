@@ -279,27 +279,47 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(gid[dup]), pa.array(gid[root[dup]])], ["gid", "root"])
 
 
+def routes(hot: DataFrame) -> DataFrame:
+    """(block, gid, lead): the suffixes of each text (block, gid, t) by which it meets its repeats.
+
+    As in Texts.rare(), a text's commonest suffixes in the block are left out that together cover less than SHARED of
+    it; so two texts that share enough have a suffix in common here. Those that one text alone has are left out, too.
+    """
+    size = F.size("t")
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(size - STRETCH, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("t", i + 1, STRETCH), " ")))
+    each = materialize(hot.select("block", "gid", size.alias("size"), F.posexplode(grams).alias("at", "gram")), "grams")
+    counts = each.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("many"))
+    texts = each.join(counts, ["block", "gram"]).groupBy("block", "gid", "size").agg(F.array_sort(F.collect_list(F.struct("at", "many", "gram"))).alias("g"))
+    ranks = texts.select("block", "gid", "size", F.transform("g", lambda x: F.struct(x["many"], x["gram"])).alias("r"))
+    # the commonest suffix over each word; a word is covered as soon as that one is left out
+    over = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.array_max(F.slice("r", F.greatest(i - (STRETCH - 1), F.lit(0)) + 1, F.least(i + 1, F.lit(STRETCH)))))
+    need = F.greatest(F.ceil(F.lit(SHARED) * F.col("size") - 1e-6).cast("int"), F.lit(1))
+    last = F.when(F.col("size") >= STRETCH, F.get(F.sort_array(over, False), need - 1)).otherwise(F.array_max("r"))
+    kept = ranks.withColumn("last", last).select("block", "gid", F.explode(F.filter("r", lambda x: x <= F.col("last"))).alias("x")).select("block", "gid", F.col("x.gram").alias("lead")).distinct()
+    kept = materialize(kept, "leads")
+    return kept.join(kept.groupBy("block", "lead").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), ["block", "lead"], "left_semi")
+
+
 def near_copies(texts: DataFrame, shard: int = SHARD, task: int = TASK) -> DataFrame:
     """(gid, root) for each text that repeats an earlier one of its block; root is the posting's first text.
 
     `texts` has (block, n, gid, words): the block's number, how many texts it has, the id by which texts arrived,
-    and the words as one string. A block of more than `shard` texts is spread over several shards by the first two
-    words of its suffixes (a quarter of them, chosen by hash): two texts that share a long stretch meet in the
-    shard of any chosen suffix in it. What is compared there are the whole texts.
+    and the words as one string. A block of more than `shard` texts is divided by routes(): two texts that share
+    enough meet at a suffix of both, and what is compared there are the whole texts, so that links don't depend on
+    a block's size.
     """
     spark = texts.sparkSession
     tokens = F.split(F.trim(F.regexp_replace("words", _SPACELESS, " $1 ")), " +")
-    parts = F.ceil(F.col("n") / shard).cast("int")
-    lead = F.transform(F.sequence(F.lit(0), F.greatest(F.size("t") - 2, F.lit(0))), lambda i: F.xxhash64(F.get(F.col("t"), i), F.get(F.col("t"), i + 1)))
-    chosen = F.array_distinct(F.transform(F.filter(lead, lambda h: F.pmod(h, F.lit(4)) == 0), lambda h: F.pmod(F.shiftright(h, 8), F.col("parts").cast("long"))))
-    hot = texts.filter(F.col("n") > shard).withColumn("t", tokens).withColumn("parts", parts)
-    hot = hot.withColumn("sub", F.explode(F.when(F.size(chosen) > 0, chosen).otherwise(F.array(F.lit(0).cast("long")))))
-    cool = texts.filter(F.col("n") <= shard)
-    rows = cool.select(F.col("block"), "gid", "words", F.lit(False).alias("hot")).union(hot.select(F.xxhash64("block", "sub").alias("block"), "gid", "words", F.lit(True).alias("hot")))
-    n = max(3 * spark.sparkContext.defaultParallelism, -(-texts.count() // task))
+    hot = texts.filter(F.col("n") > shard).withColumn("t", tokens)
+    rows = texts.filter(F.col("n") <= shard).select("block", "gid", "words")
+    some_hot = not hot.isEmpty()
+    if some_hot:
+        rows = rows.union(hot.join(routes(hot), ["block", "gid"]).select(F.xxhash64("block", "lead").alias("block"), "gid", "words"))
+        rows = materialize(rows, "routed")
+    n = max(3 * spark.sparkContext.defaultParallelism, -(-rows.count() // task))
     spread = rows.repartition(n, "block").sortWithinPartitions("gid").select("block", "gid", F.transform(tokens, lambda w: F.hash(w)).alias("words"))
     found = spread.mapInArrow(_roots, "gid long, root long")
-    if hot.isEmpty():
+    if not some_hot:
         return found
     links = classes(materialize(found, "links").select(F.col("gid").alias("a"), F.col("root").alias("b")))
     return links.filter("node <> root").select(F.col("node").alias("gid"), "root")

@@ -106,6 +106,28 @@ def test_hot_block_is_sharded_without_loss(spark):
         assert got == {i: f for i, f in truth.items() if i != f}
 
 
+def test_hot_block_keeps_short_copies(spark):
+    rng = random.Random(9)
+    rows = []
+    for p in range(120):  # a stretch of 7 words is all that the two have in common
+        a = [f"p{p}w{i}" for i in range(10)]
+        rows += [(a, 2 * p), (["new", "here"] + a[2:9] + ["now"], 2 * p)]
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    df = spark.createDataFrame([(1, len(rows), i, " ".join(rows[k][0])) for i, k in enumerate(order)], "block long, n long, gid long, words string")
+    cool, hot = ({r["gid"]: r["root"] for r in near_copies(df, shard).collect()} for shard in (10_000, 20))
+    assert len(cool) == 120 and hot == cool
+
+
+def test_hot_block_of_shared_sentences(spark):
+    rng = random.Random(10)
+    sentences = [advert(rng, rng.randint(5, 14)) for _ in range(12)]
+    texts = [t if rng.random() < 0.3 else reword(rng, t) for t in (sum(rng.sample(sentences, 5), []) for _ in range(80))] + [["a"], ["a", "b", "c"]]
+    df = spark.createDataFrame([(1, len(texts), i, " ".join(t)) for i, t in enumerate(texts)], "block long, n long, gid long, words string")
+    cool, hot = ({r["gid"]: r["root"] for r in near_copies(df, shard).collect()} for shard in (10_000, 9))
+    assert cool and hot == cool
+
+
 def test_segments_merge_logarithmically():
     levels = Levels()
     for i in range(64):
