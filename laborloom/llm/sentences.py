@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import spread, table
+from ..runtime import materialize, spread, table
 
 #: Bounds of the sample that the classifier is trained on: documents, and characters of each.
 TRAIN_DOCS, TRAIN_CHARS = 3_000, 20_000
@@ -353,11 +353,47 @@ def headings_of(texts: list[str], least: int = 3) -> frozenset[str]:
     """Headings of a corpus: short lines without an end mark that are a paragraph of their own in `least` texts."""
     seen: Counter = Counter()
     for text in texts:
-        lines = {p.strip() for p in _BLANK.split(text)}
-        seen.update(x for x in lines if 0 < len(x) <= 48 and "\n" not in x and not _MARK.search(x[-2:]) and not _ITEM.match(x))
+        seen.update(x for x in {p.strip() for p in _BLANK.split(text)} if may_head(x))
     return frozenset(x for x, n in seen.items() if n >= least)
 
 
+def may_head(x: str) -> bool:
+    """Whether a line (without white space around it) has the form of a heading."""
+    return 0 < len(x) <= 48 and "\n" not in x and not _MARK.search(x[-2:]) and not _ITEM.match(x)
+
+
+def lines_of(text: str) -> dict[str, bool]:
+    """The text's lines that have the form of a heading and are a paragraph of their own (True) or are followed by others."""
+    out: dict[str, bool] = {}
+    for para in _BLANK.split(text):
+        whole = para.strip()
+        if may_head(whole):
+            out[whole] = True
+        for line in para.split("\n")[:-1]:
+            line = line.strip()
+            if may_head(line):
+                out.setdefault(line, False)
+    return out
+
+
+def document_headings(docs: DataFrame, least: int = 3) -> DataFrame:
+    """(doc_id, headings): each document's lines that are headings of the whole corpus, for those that have some.
+
+    Headings are those of headings_of(), over all documents of any length; a document delivered twice counts once.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(doc, line, alone) for doc, text in zip(pdf["doc_id"], pdf["text"]) for line, alone in lines_of(text).items()]
+            ids, lines, alone = zip(*found) if found else ((), (), ())
+            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "line": pd.Series(lines, dtype=object), "alone": np.array(alone, bool)})
+
+    lines = spread(docs, "doc_id").mapInPandas(run, "doc_id long, line string, alone boolean")
+    lines = materialize(lines.groupBy("doc_id", "line").agg(F.max("alone").alias("alone")), "lines")
+    headings = lines.groupBy("line").agg(F.count_if("alone").alias("n")).filter(F.col("n") >= least)
+    return lines.join(headings, "line", "left_semi").groupBy("doc_id").agg(F.collect_list("line").alias("headings"))
+
+
 def examples_of(text: str, headings: frozenset[str]) -> Counter:
     """Labelled examples of a text: candidates whose label is reliable by itself."""
     out: Counter = Counter()
@@ -371,35 +407,44 @@ def examples_of(text: str, headings: frozenset[str]) -> Counter:
     return out
 
 
-def train(docs: DataFrame, n: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:
+def train(docs: DataFrame, n: int = TRAIN_DOCS, chars: int = TRAIN_CHARS, headings: DataFrame | None = None) -> Model:
     """The model of a corpus (doc_id, text), fitted on `n` of its documents of up to `chars` characters.
 
-    The documents are those of the smallest hashes, the same ones in every run.
+    The documents are those of the smallest hashes, the same ones in every run. `headings` is as from
+    document_headings(), which counts over all documents; the model has those of its own documents.
     """
-    some = docs.filter(F.length("text") <= chars).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(n)
-    texts = [r[0] for r in some.collect()]
-    headings = headings_of(texts)
+    headings = document_headings(docs.select("doc_id", "text").dropna()) if headings is None else headings
+    some = docs.filter(F.length("text") <= chars).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "text").limit(n)
+    texts = [(r["text"], frozenset(r["headings"] or ())) for r in some.join(headings, "doc_id", "left").collect()]
     examples: Counter = Counter()
-    for text in texts:
-        examples.update(examples_of(text, headings))
-    return Model.fit(examples, headings)
+    for text, own in texts:
+        examples.update(examples_of(text, own))
+    return Model.fit(examples, frozenset().union(*(own for _, own in texts)))
 
 
 def sentence_units(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, start_char, end_char) of every sentence unit of every document, in code points from 0.
 
     Null and empty texts, texts of white space only, and documents without an id have no units. Repeated rows give repeated units. A very
-    long text is one task's work, in memory in proportion to its length.
+    long text is one task's work, in memory in proportion to its length. A given model's headings are used as they are; else every
+    document comes with those of its lines that are headings of the corpus, so that their number is not bounded by a task's memory.
     """
     docs = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    model = model or train(docs)
-    weights, headings = model.weights, model.headings
+    given = model.headings if model else None
+    if model is None:
+        headings = materialize(document_headings(docs), "headings")
+        model = train(docs, headings=headings)
+        docs = docs.join(headings, "doc_id", "left")
+    else:
+        docs = docs.withColumn("headings", F.lit(None).cast("array<string>"))
+    weights = model.weights
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Model(weights, headings)
+        m = Model(weights)
         for pdf in batches:
             ids, starts, ends = [], [], []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc, text, own in zip(pdf["doc_id"], pdf["text"], pdf["headings"]):
+                m.headings = given if given is not None else frozenset(() if own is None else own)
                 for a, b in split(text, m):
                     ids.append(doc)
                     starts.append(a)

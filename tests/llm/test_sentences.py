@@ -1,6 +1,7 @@
 from collections import Counter
 
-from laborloom.llm.sentences import Model, examples_of, headings_of, p10_found, sentence_units, split, train
+from laborloom.llm import sentences
+from laborloom.llm.sentences import Model, document_headings, examples_of, headings_of, p10_found, sentence_units, split, train
 from tests.conftest import DATA
 from tests.llm.tables import folder
 
@@ -56,6 +57,25 @@ def test_positions_are_code_points(spark):
     assert sorted(text[r["start_char"] : r["end_char"]] for r in got.collect()) == ["Bye now.", "🎉🎉 Hi there."]
 
 
+def test_headings_are_counted_over_all_documents(spark, monkeypatch):
+    # the heading stands alone in three documents only, which are longer than those trained on
+    monkeypatch.setattr(sentences.train, "__defaults__", (40, 2_000, *sentences.train.__defaults__[2:]))
+    plain = [(i, "The shift starts early on Monday. Bring two references.\n\nApply today.") for i in range(40)]
+    long = [(100 + i, "What we do here\n\n" + "We pack boxes all day. " * 200) for i in range(3)]
+    text = "What we do here\nWe pack boxes. Nobody waits."
+    rows = [*plain, *long, (200, text), (201, text.replace("do here", "do there"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], tuple(r["headings"])) for r in document_headings(df).collect()} == {(i, ("What we do here",)) for i in (100, 101, 102, 200)}
+    got = [text[r["start_char"] : r["end_char"]] for r in sentence_units(df).filter("doc_id = 200").orderBy("start_char").collect()]
+    assert got == ["What we do here", "We pack boxes.", "Nobody waits."]
+
+
+def test_headings_equal_those_of_one_pass(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").dropna().dropDuplicates(["doc_id"])
+    got = {h for r in document_headings(docs).collect() for h in r["headings"]}
+    assert got == headings_of([r["text"] for r in docs.collect()])
+
+
 def test_held_out_accuracy(spark):
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
     headings = headings_of(texts[:500])
