@@ -6,7 +6,7 @@ import uuid
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,20 @@ def ingest(batch: DataFrame, stored: DataFrame, priority: Column) -> Stage:
     return Stage(fresh, known, counts)
 
 
+def ingest_all(rows: DataFrame, run: str, priority: Column) -> Stage:
+    """As ingest(), for all batches at once: each run of the column `run` against what the runs before it stored.
+
+    A batch's survivors don't depend on what is stored, so the first run with a hash among its survivors stores it.
+    """
+    hashed = with_hashes(rows)
+    best = F.row_number().over(Window.partitionBy(run, "fingerprint").orderBy(priority, "arrival")) == 1
+    first = F.row_number().over(Window.partitionBy("storage_hash").orderBy(F.desc("__best"), run, "arrival")) == 1
+    marked = hashed.withColumn("__best", best).withColumn("__fresh", F.col("__best") & first)
+    counts = hashed.agg(F.count(F.lit(1)).alias("fetched"), F.count_distinct(run, "fingerprint").alias("distinct_postings"))
+    drop = lambda df: df.drop("__best", "__fresh")
+    return Stage(drop(marked.filter("__fresh")), drop(marked.filter("NOT __fresh")), counts)
+
+
 def normalise(raw: DataFrame) -> Stage:
     """Clean and typed rows; those without a title or an employer, or with the pay's ends swapped, are rejected."""
     pay = money.parse_pay(F.col("salary_raw"))
@@ -55,6 +69,13 @@ def promote(postings: DataFrame, enriched: DataFrame, keys: list[str]) -> DataFr
     return fill_missing(insert_missing(postings, enriched.limit(0), keys), enriched, keys, new_first=True)
 
 
+def promote_all(rows: DataFrame, keys: list[str], run: str) -> DataFrame:
+    """As promote(), with one run after another: of each key, each column's last value that is there."""
+    rest = [c for c in rows.columns if c not in keys]
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(run, "arrival")))
+    return rows.groupBy(*keys).agg(*[last(c).alias(c) for c in rest]).select(*rows.columns)
+
+
 def top_of_role(rows: DataFrame, role: str, label: str, posting: str, known: DataFrame | None = None, top: int = 15) -> DataFrame:
     """(role, label, n, demand_pct): the labels that most of a role's postings name, with the share that do.
 
@@ -81,8 +102,6 @@ def role_id(seed: pd.Series) -> pd.Series:
 def role_ids(clusters: DataFrame) -> DataFrame:
     """Add role_id to (cluster_id, label, top_title, top_skill): from the label alone, or, where several clusters have
     it, from label, titles and skills."""
-    from pyspark.sql import Window
-
     name = F.coalesce(F.nullif(F.lower(text.squeeze(F.col("label"))), F.lit("")), F.lit("unlabeled-role"))
     many = F.count(F.lit(1)).over(Window.partitionBy("__l")) > 1
     more = F.concat_ws("|", "__l", F.array_join("top_title", "|"), F.array_join("top_skill", "|"))

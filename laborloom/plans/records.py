@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import elements, postings
@@ -562,14 +565,19 @@ def top_employers(spark, root):
 
 @query()
 def pipeline_stages(spark, root):
-    """Rows that pass ingestion and normalisation of the last batch, with the reasons of those that don't."""
-    from ..operators.pipelines import ingest, normalise
-
-    r = dedup.with_hashes(table(spark, root, "raw_ingested_jobs")).withColumn("arrival", F.col("id"))
-    last = r.agg(F.max("ingestion_run_id").alias("run"))
-    batch = r.join(F.broadcast(last), F.col("ingestion_run_id") == F.col("run")).drop("run")
-    stored = r.join(F.broadcast(last), F.col("ingestion_run_id") < F.col("run")).select("storage_hash")
-    one = ingest(batch, stored, F.lit(0))
-    two = normalise(one.passed)
+    """Rows of all batches that pass ingestion, each batch against those before it, and normalisation, the rows that
+    don't, and the postings and roles that come of them. Roles are the postings' titles; staged rows have no vectors."""
+    from ..operators.clusters import most_common
+    from ..operators.pipelines import ingest_all, normalise, promote_all, role_ids
+    from ..runtime import materialize
+
+    s = table(spark, root, "job_sources").groupBy(F.col("source").alias("__s")).agg(F.min("trust_rank").alias("__rank"))
+    r = table(spark, root, "raw_ingested_jobs").join(s, _SRC("source") == F.col("__s"), "left").withColumn("arrival", F.col("id"))
+    one = ingest_all(r, "ingestion_run_id", F.coalesce("__rank", F.lit(99)))
+    two = normalise(one.passed)  # not written in between: the counts read few of its columns
+    postings = materialize(promote_all(two.passed, ["fingerprint"], "ingestion_run_id").select("fingerprint", "title"), "postings")
+    titles = postings.withColumn("label", F.lower("title"))
+    roles = role_ids(most_common(titles, "label", "title", 5).select(F.col("label").alias("cluster_id"), "label", F.col("values").alias("top_title"), F.array().cast("array<string>").alias("top_skill")))
     count = lambda df, s: df.agg(F.lit(s).alias("outcome"), F.count(F.lit(1)).alias("n"))
-    return count(one.rejected, "repeated").unionByName(count(two.passed, "normalised")).unionByName(count(two.rejected, "rejected"))
+    stages = [(one.rejected, "repeated"), (two.passed, "normalised"), (two.rejected, "rejected"), (postings, "promoted"), (roles.select("role_id").distinct(), "roles")]
+    return reduce(DataFrame.unionByName, [count(df, s) for df, s in stages])

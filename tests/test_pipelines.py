@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
+from laborloom import queries
 from laborloom.functions import hooks
 from laborloom.operators import pipelines, taxonomy
+from tests.conftest import DATA
 
 
 def test_hooks(spark):
@@ -43,6 +45,29 @@ def test_stages(spark):
     assert sorted(tuple(r) for r in pipelines.promote(t, s, ["k"]).collect()) == [(1, "a"), (2, "n"), (3, "m")]
 
 
+def test_all_runs_equal_run_after_run(spark):
+    raw = spark.read.parquet(f"{DATA}/raw_ingested_jobs.parquet").dropDuplicates(["id"]).withColumn("arrival", F.col("id"))
+    rows = raw.withColumn("run", F.concat(F.lit("r"), F.floor(F.col("id") / 60).cast("string"))).filter("id < 240").unionByName(raw.filter("id < 40").withColumn("arrival", F.col("id") + 1000).withColumn("run", F.lit("r4")))
+    priority = F.when(F.col("source") == "jobfeed_api", 0).otherwise(1)
+    all_at_once = pipelines.ingest_all(rows, "run", priority)
+    stored, got, state = rows.limit(0).select(F.lit("").alias("storage_hash")), set(), None
+    for run in sorted(r[0] for r in rows.select("run").distinct().collect()):
+        one = pipelines.ingest(rows.filter(F.col("run") == run), stored, priority).passed.localCheckpoint()
+        got |= {r["arrival"] for r in one.select("arrival").collect()}
+        stored = stored.union(one.select("storage_hash")).localCheckpoint()
+        new = one.select("fingerprint", "run", "arrival", "city", "salary_raw")
+        state = (new if state is None else pipelines.promote(state, new, ["fingerprint"])).localCheckpoint()
+    assert {r["arrival"] for r in all_at_once.passed.collect()} == got and all_at_once.rejected.count() == rows.count() - len(got) > 0
+    promoted = pipelines.promote_all(all_at_once.passed.select("fingerprint", "run", "arrival", "city", "salary_raw"), ["fingerprint"], "run")
+    assert sorted(map(str, promoted.collect())) == sorted(map(str, state.collect()))
+
+
+def test_query_runs_over_every_batch(spark):
+    got = {r["outcome"]: r["n"] for r in queries.QUERIES["pipeline_stages"](spark, DATA).collect()}
+    assert got["repeated"] + got["normalised"] + got["rejected"] == spark.read.parquet(f"{DATA}/raw_ingested_jobs.parquet").count()
+    assert 0 < got["roles"] <= got["promoted"] <= got["normalised"]
+
+
 def test_roles(spark):
     rows = spark.createDataFrame([("r", "a", 1), ("r", "b", 1), ("r", "a", 2), ("q", "c", 3)], "role string, l string, p int")
     known = spark.createDataFrame([("b",)], "l string")
