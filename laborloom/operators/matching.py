@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 #: A catalog of more entries is no small one, and is not sent to every task.
 SMALL = 100_000
 # The score from which two names match, the weights of its halves, and the confidences of the steps.
@@ -55,6 +59,55 @@ def fuzzy_best(names: DataFrame, name: str, catalog: list[tuple[str, str]], leas
     return names.select(name).dropna().distinct().mapInPandas(run, f"{name} string, match_id string, score double")
 
 
+def fuzzy_matches(names: DataFrame, name: str, catalog: list[tuple[str, str]], least: float = FUZZY_MATCH) -> DataFrame:
+    """(name, match_id, score) as fuzzy_best() gives them, of the names that have a match only.
+
+    Entries are scored in falling order of a bound on their score, from the letters both have, until none can be better.
+    """
+    if len(catalog) > SMALL:
+        raise ValueError("the catalog is too large to go to every task")
+    entries = sorted(catalog)
+    n_letters = 64
+
+    def letters(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), n_letters), np.uint8)
+        for k, t in enumerate(texts):
+            for ch, n in Counter(t).items():  # letters that share a place only raise the bound
+                out[k, ord(ch) % n_letters] = min(255, int(out[k, ord(ch) % n_letters]) + n)
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low = [c.lower() for _, c in entries]
+        have, size = letters(low), np.array([len(c) for c in low], float)
+        flat = np.array([len(" ".join(c.split())) for c in low], float)
+        longest = max(map(len, low), default=0)
+        for pdf in batches:
+            rows = []
+            for n in pdf[name]:
+                t = n.lower()
+                both = np.minimum(have, letters([t])[0]).sum(1, dtype=np.int64).astype(float)
+                if max(len(t), longest) > 255:  # counts may have been cut
+                    both = np.minimum(size, len(t))
+                part = 200 * both / np.maximum(np.minimum(size, len(t)) + both, 1)
+                bound = TOKEN_WEIGHT * np.minimum(200 * both / np.maximum(flat + len(" ".join(t.split())), 1), 100) + PART_WEIGHT * part + 1e-6
+                order = np.flatnonzero(bound >= least)
+                best = (least, 1)  # as (score, -place); 1 stands for none yet
+                for i in order[np.argsort(-bound[order], kind="stable")]:
+                    if bound[i] < best[0]:
+                        break
+                    words = token_sort_ratio(n, entries[i][1])
+                    if TOKEN_WEIGHT * words + PART_WEIGHT * part[i] + 1e-6 < best[0]:
+                        continue
+                    score = TOKEN_WEIGHT * words + PART_WEIGHT * partial_ratio(n, entries[i][1])
+                    if score > best[0] or (score == best[0] and (best[1] == 1 or -i > best[1])):
+                        best = (score, -int(i))
+                if best[1] != 1:
+                    rows.append((n, entries[-best[1]][0], round(best[0], 4)))
+            yield pd.DataFrame(rows, columns=[name, "match_id", "score"])
+
+    return spread(names.select(name).dropna().distinct(), name).mapInPandas(run, f"{name} string, match_id string, score double")
+
+
 def resolve_names(df: DataFrame, name: str, key, catalog: DataFrame, entry_id: str, entry_name: str, fuzzy: DataFrame | None = None) -> DataFrame:
     """Add resolved_id and confidence: the exact key, else the best likeness, else a placeholder made from the key.
 

@@ -342,10 +342,13 @@ def company_exact_match(spark, root):
 
 @query()
 def company_resolution(spark, root):
-    """Employers of postings looked up in those of the staging table: exactly, else a placeholder."""
+    """Employers of postings looked up in those of the staging table: exactly, else by likeness, else a placeholder."""
     catalog = table(spark, root, "raw_ingested_jobs").groupBy(text.company_key(F.col("company")).alias("name")).agg(F.min("id").alias("cid")).dropna()
     jr = table(spark, root, "job_records").select("job_id", "company")
-    return matching.resolve_names(jr, "company", text.company_key, catalog, "cid", "name").select("job_id", "resolved_id", "confidence")
+    keys = jr.select("company", text.company_key(F.col("company")).alias("k")).dropna().distinct()
+    entries = [(str(r["cid"]), r["name"]) for r in catalog.limit(matching.SMALL + 1).collect()]
+    near = matching.fuzzy_matches(keys.join(catalog.select(F.col("name").alias("k")), "k", "left_anti"), "k", entries)
+    return matching.resolve_names(jr, "company", text.company_key, catalog, "cid", "name", keys.join(near, "k").drop("k")).select("job_id", "resolved_id", "confidence")
 
 
 @query()

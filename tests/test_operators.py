@@ -4,6 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from laborloom import queries
 from laborloom.operators import checks, clusters, dedup, eras, gates, matching, mentions, scoring, similarity, upserts, velocity, weekly, windows
 
 
@@ -169,6 +170,22 @@ def test_matching(spark):
     assert [(r["step"], r["found"]) for r in matching.cascade_lookup(df, [(F.col("k"), none), (F.col("k"), one)]).orderBy("k").collect()] == [(None, None), (2, "second")]
 
 
+def test_likeness_search_equals_all_pairs(spark):
+    base = ["sunmesa health network", "hecoruso steel works", "josephine freight lines", "acme tools", "acme tool", "x", ""]
+    catalog = [(str(i), c) for i, c in enumerate(base)]
+    wrong = ["sun mesa health network", "hecorso steel works", "freight lines josephine", "acme tols", "zzz", "acme toolz", "steel"]
+    df = spark.createDataFrame([(w,) for w in [*wrong, None]], "n string")
+    want = {tuple(r) for r in matching.fuzzy_best(df, "n", catalog).filter("match_id IS NOT NULL").collect()}
+    assert len(want) >= 4 and {tuple(r) for r in matching.fuzzy_matches(df, "n", catalog).collect()} == want
+
+
+def test_misspelt_employers_are_resolved(spark, tmp_path):
+    spark.createDataFrame([(7, "Hecoruso Steel Works Inc."), (8, "Other")], "id long, company string").write.parquet(f"{tmp_path}/raw_ingested_jobs.parquet")
+    spark.createDataFrame([(1, "Hecoruso Steel Works"), (2, "Hecorusso Steel Works LLC"), (3, "Zzz"), (4, None)], "job_id long, company string").write.parquet(f"{tmp_path}/job_records.parquet")
+    got = {r["job_id"]: (r["resolved_id"], r["confidence"]) for r in queries.QUERIES["company_resolution"](spark, str(tmp_path)).collect()}
+    assert got[1] == ("7", 0.95) and got[2][0] == "7" and 0.85 <= got[2][1] < 1 and got[3][0].startswith("new-") and got[4] == (None, None)
+
+
 def test_mentions(spark):
     df = spark.createDataFrame([(1, "We use Spark SQL, spark and SQL. C++ too"), (2, None)], "id int, t string")
     got = [(r["label"], r["start_char"], r["end_char"]) for r in mentions.name_mentions(df, "id", ["t"], [("spark sql", "Spark SQL"), ("spark", "Spark"), ("c++", "C++")]).orderBy("start_char").collect()]
