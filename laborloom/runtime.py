@@ -38,10 +38,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (as in local tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir, else, on a local master only, one of our own.
+
+    On a cluster a folder of one machine would be written and read in parts, so that raises.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark, "_laborloom_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="laborloom-")
@@ -61,18 +66,39 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parallelism(spark: SparkSession, rows: int, per_partition: int) -> int:
-    """Partitions for `rows`, at most `per_partition` rows in each, at least one for each core."""
-    return max(spark.sparkContext.defaultParallelism, -(-rows // per_partition))
+def parallelism(spark: SparkSession, rows: int, per_partition: int, per_core: int = 1) -> int:
+    """Partitions for `rows`, at most `per_partition` rows in each, at least `per_core` for each core."""
+    return max(per_core * spark.sparkContext.defaultParallelism, -(-rows // per_partition))
+
+
+#: Bytes of files that one partition of work in Python stands for at most, as a scan's splits.
+PART_BYTES = 128 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that the frame is read from, as the optimizer knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.length()))
+    return sum(n for n in sizes if n < 2**60)  # tables of unknown size say 2**63 - 1
 
 
 def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
     """`df` over several partitions for each core, for work in Python that would else follow the size in bytes.
 
-    AQE merges small partitions by their bytes, and a scan splits files by theirs; neither knows what a row costs.
+    AQE merges small partitions by their bytes, and a scan splits files by theirs; neither knows what a row costs. The
+    number grows with the input, one partition for PART_BYTES of it at least.
+    """
+    return df.repartition(parallelism(df.sparkSession, input_bytes(df), PART_BYTES, per_core), *keys)
+
+
+def scanned(df: DataFrame, per_core: int = 3) -> DataFrame:
+    """`df`, a scan with narrow steps, in several partitions for each core without a shuffle where its files allow it.
+
+    A scan's splits are already distributed, so a large table's are used as they are; only where there are fewer than
+    `per_core` for each core are rows dealt out in turn.
     """
-    n = per_core * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, *keys)
+    wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -20,6 +20,30 @@ def test_guard(spark):
     assert [s for s in BAD if guard.check(spark, s).ok] == []
 
 
+CALLS = [
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home') AS h", "SELECT java_method('java.lang.System', 'exit', 0)", "SELECT input_file_name() FROM skill_velocity",
+    "SELECT a FROM skill_velocity WHERE length(reflect('java.lang.System', 'getenv', 'HOME')) > 0", "SELECT a FROM skill_velocity ORDER BY try_reflect('a', 'b')", "SELECT current_user()",
+    "SELECT a FROM skill_velocity WHERE a IN (SELECT reflect('java.lang.System', 'getenv', 'HOME') FROM canonical_roles)", "SELECT sum(a) OVER (ORDER BY reflect('x', 'y')) FROM skill_velocity",
+    "SELECT spark_catalog.default.f(a) FROM skill_velocity", "SELECT a FROM skill_velocity LATERAL VIEW stack(2, a, a) AS z", "WITH x AS (SELECT reflect('a', 'b') AS a) SELECT a FROM x",
+    "SELECT CASE WHEN a > 1 THEN reflect('a', 'b') END FROM skill_velocity", "SELECT a FROM skill_velocity GROUP BY a HAVING max(reflect('a', 'b')) > '1'", "SELECT `reflect`('a', 'b')",
+]
+FINE = ["SELECT round(avg(a), 2) AS m, count(DISTINCT b) FROM skill_velocity GROUP BY date_trunc('week', c)", "SELECT row_number() OVER (ORDER BY a) FROM skill_velocity", "SELECT x FROM skill_velocity LATERAL VIEW explode(a) AS x", "SELECT a::int, CASE WHEN a THEN 1 END FROM skill_velocity WHERE a LIKE 'x%' AND lower(b) IN ('y')"]
+
+
+def test_guard_functions(spark):
+    assert [s for s in CALLS if guard.check(spark, s).ok] == []
+    assert [(s, guard.check(spark, s).reason) for s in FINE if not guard.check(spark, s).ok] == []
+
+
+def test_role_rule(spark):
+    text = "SELECT role_classification, count(*) FROM job_postings GROUP BY 1"
+    assert guard.check(spark, text, guard.ASK_TABLES).tables == ("job_postings",)
+    rule = guard.role_rule(text, "Employer", ("job_postings",))
+    views = {"job_postings": spark.createDataFrame([("Nurse",), (guard.NO_ROLE,), (None,)], "role_classification string")}
+    assert [r["role_classification"] for r in guard.run(spark, text, views, guard.ASK_TABLES, where=rule)] == ["Nurse"]
+    assert guard.role_rule(text, "trend", ("job_postings",)) == {} and guard.role_rule("SELECT 1 FROM job_postings", "employer", ("job_postings",)) == {}
+
+
 def test_guarded_run(spark):
     views = {"skill_velocity": spark.range(500).withColumnRenamed("id", "a")}
     assert len(guard.run(spark, "SELECT * FROM dbo.skill_velocity LIMIT 1000", views)) == 100
