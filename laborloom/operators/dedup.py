@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digest
-from ..runtime import PART_BYTES, input_bytes, parallelism
+from ..runtime import parts_for
 from .similarity import NEAR, WINDOW_DAYS
 
 
@@ -62,7 +62,7 @@ def sequential_survivors(df: DataFrame, block: str, threshold: float = NEAR, day
             yield pd.DataFrame(out, columns=["key", "survivor", "similarity"])
 
     rows = df.select(F.col(block).cast("string").alias("block"), F.col("key").cast("long").alias("key"), F.unix_timestamp("ts").alias("ts"), "vector", F.col("filled").cast("int").alias("filled")).dropna()
-    n = parallelism(df.sparkSession, input_bytes(df), PART_BYTES, 3)
+    n = parts_for(df)
     return rows.repartition(n, "block").sortWithinPartitions("block", "ts", "key").mapInPandas(replay, "key long, survivor long, similarity double")
 
 

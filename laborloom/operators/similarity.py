@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.batches import groups
 from ..functions.vectors import cosine, dot, unit
-from ..runtime import PART_BYTES, input_bytes, parallelism
+from ..runtime import parts_for
 
 # A pair is a repeat above this cosine, if it was posted in so many days before.
 NEAR, WINDOW_DAYS = 0.92, 30
@@ -62,7 +62,7 @@ def pairs_in_block(df: DataFrame, block: str, key: str, vector: str, threshold:
             keep = a < b if i == j else a != b
             yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sim[at[:, 0], at[:, 1]][keep]})
 
-    n = parallelism(df.sparkSession, input_bytes(df), PART_BYTES, 3)
+    n = parts_for(df)
     return work.repartition(n, "task").sortWithinPartitions("task").mapInPandas(product, "a long, b long, similarity double")
 
 

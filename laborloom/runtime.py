@@ -78,17 +78,22 @@ PART_BYTES = 128 << 20
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files that the frame is read from, as the optimizer knows them."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = (int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.length()))
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
     return sum(n for n in sizes if n < 2**60)  # tables of unknown size say 2**63 - 1
 
 
+def parts_for(df: DataFrame, per_core: int = 3) -> int:
+    """Partitions for work in Python on `df`: several for each core, and one for PART_BYTES of its input at least."""
+    return parallelism(df.sparkSession, input_bytes(df), PART_BYTES, per_core)
+
+
 def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
     """`df` over several partitions for each core, for work in Python that would else follow the size in bytes.
 
     AQE merges small partitions by their bytes, and a scan splits files by theirs; neither knows what a row costs. The
     number grows with the input, one partition for PART_BYTES of it at least.
     """
-    return df.repartition(parallelism(df.sparkSession, input_bytes(df), PART_BYTES, per_core), *keys)
+    return df.repartition(parts_for(df, per_core), *keys)
 
 
 def scanned(df: DataFrame, per_core: int = 3) -> DataFrame:
