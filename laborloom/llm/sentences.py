@@ -2,8 +2,10 @@
 
 Every end mark, line break and (in Thai) space is a candidate. The model's features are the tokens around it, their
 case, length, digits and script, the mark and the line's shape. It is trained on boundaries of the same corpus that
-are reliable by themselves: marks at paragraph ends or before a capital after a long word, against marks before small
-letters, within numbers, or after titles and units that always go with what follows.
+its structure makes reliable, whatever the features say: paragraph ends, read together with the next paragraph's start,
+against marks within numbers and addresses or before small letters, after short forms that are known or that
+collocation finds, and breaks of lines that are full. Marks before capitals in the middle of a paragraph and breaks of
+short lines are ambiguous and never labelled; the model decides on them.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, spread, table
+from ..runtime import materialize, parts_for, scanned, table
 
 #: Bounds of the sample that the classifier is trained on: documents, and characters of each.
 TRAIN_DOCS, TRAIN_CHARS = 3_000, 20_000
@@ -36,10 +38,17 @@ SPEECH = re.compile(r"^[^。！？।.]{0,24}?(?:问|说|道|答|写|喊|と|क
 _MARK = re.compile(r"[.!?…。！？｡।؟۔]+")
 _ITEM = re.compile(r"(?:[-*•–‣·▪◦]|(\d{1,2})[.)]|[a-zA-Z][)])[ \t ]+(?=\S)")
 _OPEN = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》"}
-_CLOSE = frozenset("”“»」』）)]】》\"’'")
+_CLOSERS = "”“»」』）)]】》\"'’'"
 _BLANK = re.compile(r"\n[ \t\r ]*(?:\n[ \t\r ]*)+|[ \x0c]+")
 _GLUED = re.compile(r".*[^\W\d_]{3}[.!?]+(?=[^\W\d_])")
 _BRACKETS = frozenset("（([【")
+_PAIRED = re.compile("[" + re.escape("".join({*_OPEN, *_OPEN.values(), '"'})) + "]")
+_LEFT = re.compile(r'[\s"“„«(（\[「,;:!?]')
+_SPACES = re.compile(r"\s*")
+_LINE = re.compile(r"[^\n]+")
+_ENDED = re.compile(r"[.!?…。！？｡।؟۔]['\"”“»」』）)\]’]*$")
+_THAI_GAP = re.compile(r"(?<=[฀-๿])[  \n]+(?=[ก-ะาเ-ไ])")
+_DOTTED = re.compile(r"[^\W\d_]\.[^\W\d_]")
 
 
 def script(ch: str) -> str:
@@ -57,8 +66,9 @@ def script(ch: str) -> str:
 def pairs(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, is a bracket) of the quotations and brackets of a paragraph whose both ends are there."""
     stack: list[tuple[str, int, str]] = []
-    out = []
-    for i, ch in enumerate(text):
+    out: list[tuple[int, int, bool]] = []
+    for m in _PAIRED.finditer(text):
+        i, ch = m.start(), m[0]
         if stack and any(ch == s[0] for s in stack[-3:]):
             while stack[-1][0] != ch:
                 stack.pop()
@@ -90,19 +100,11 @@ class Sweep:
 
 def left_token(text: str, i: int) -> str:
     """What stands before text[i] up to white space or a bracket, inner full stops kept, in small letters."""
-    j = i
-    while j > 0 and i - j < 24 and not text[j - 1].isspace() and text[j - 1] not in '"“„«(（[「,;:!?':
-        j -= 1
-    token = text[j:i].lower()
-    glued = _GLUED.match(token)  # a missing space after a full stop
-    return token[glued.end() :] if glued else token
-
-
-def right_token(text: str, i: int) -> str:
-    j = i
-    while j < len(text) and j - i < 24 and not text[j].isspace():
-        j += 1
-    return text[i:j]
+    token = _LEFT.split(text[i - 24 if i > 24 else 0 : i])[-1].lower()
+    if "." in token or "!" in token or "?" in token:
+        glued = _GLUED.match(token)  # a missing space after a full stop
+        return token[glued.end() :] if glued else token
+    return token
 
 
 def kind_of(ch: str) -> str:
@@ -121,56 +123,60 @@ def kind_of(ch: str) -> str:
     return "emoji" if unicodedata.category(ch) in ("So", "Sk") else "mark"
 
 
-def at_mark(text: str, i: int, j: int, wide: bool) -> tuple[tuple, int | None]:
-    """What the features are made of at the end marks text[i:j] with what follows at j, and the label if it is reliable by itself.
-
-    `wide` tells that the marks with their closing quotes are followed by white space or the paragraph's end.
-    """
-    marks = text[i:j].rstrip("".join(_CLOSE)) or text[i]
+def at_mark(text: str, i: int, j: int) -> tuple:
+    """What the features are made of at the end marks text[i:j] with what follows at j."""
+    marks = text[i:j].rstrip(_CLOSERS) or text[i]
     core = text[i]
-    end = j
-    while end < len(text) and text[end].isspace():
-        end += 1
+    end = _SPACES.match(text, j).end()
     token = left_token(text, i)
     bare = token.strip(".'’")
     before = text[i - 1] if i else ""
-    previous = left_token(text, max(i - len(token) - 1, 0)).rstrip() if token else ""
-    if previous + bare in BINDING or previous + bare in ENDING or re.fullmatch(r"[^\W\d_]\.[^\W\d_]", previous + bare):
-        bare = previous + bare  # such as z. B. or p. m.
-    nxt = right_token(text, end)
-    k = kind_of(text[end] if end < len(text) else "")
+    previous = ""
+    if token and (len(bare) <= 5 or bare[-1:].isdigit()):
+        previous = left_token(text, max(i - len(token) - 1, 0)).rstrip()
+        if previous + bare in BINDING or previous + bare in ENDING or _DOTTED.fullmatch(previous + bare):
+            bare = previous + bare  # such as z. B. or p. m.
+    first = text[end : end + 1]
+    k = kind_of(first)
     if k == "open":
-        inner = text[end + 1 : end + 3].lstrip("¿¡  ")
+        inner = text[end + 1 : end + 3].lstrip("¿¡  ")
         k = "open_" + kind_of(inner[:1])
-    dots = set(marks) <= {".", "…"} and (len(marks) > 1 or "…" in marks)
-    mark = "ellipsis" if dots else "stop" if core == "." else "sure" if core in "。｡।۔" else "call"
-    size = "0" if not bare else "1" if len(bare) == 1 else "2" if len(bare) <= 3 else "3"
-    single = before.isupper() and (len(bare) == 1 or (len(bare) == 3 and bare[1] == "." and text[i - 2 : i - 1].isspace()))
-    shape = "digit" if bare[-1:].isdigit() else "initial" if single and bare not in BINDING else "dotted" if "." in bare else "word"
-    known = "binding" if bare in BINDING else "ending" if bare in ENDING else "plain"
-    ordinal = shape == "digit" and previous in ORDINAL
-    gap = "line" if "\n" in text[j:end] else "space" if end > j else "none"
-    key = (mark, k, gap, known, shape, size, bare, script(before), nxt.lower()[:8], ordinal)
-    label = None
-    if k == "end":
-        label = 1
-    elif mark == "stop" and (k == "lower" or (gap == "none" and k == "digit")) or k == "mark" and gap == "none":
-        label = 0
-    elif mark == "sure" or (mark == "call" and k in ("upper", "open_upper", "han", "other") and (wide or gap == "none")):
-        label = 1
-    elif mark == "ellipsis":
-        label = 0 if k == "lower" or gap == "none" else 1 if k in ("upper", "open_upper") else None
-    elif mark == "call" and k == "lower":
-        label = 0
-    elif mark == "stop" and (known == "binding" or shape == "initial" or ordinal):
-        label = 0
-    elif mark == "stop" and gap == "none" and (k not in ("upper", "open_upper", "other") or shape in ("dotted", "initial") or size in ("0", "1")):
-        label = 0
-    elif mark == "stop" and k in ("upper", "open_upper", "other", "open_lower", "open_other") and (size == "3" or known == "ending" or shape == "digit") and known != "binding":
-        label = 1
-    elif mark == "stop" and k == "digit" and shape != "digit" and size == "3" and known == "plain":
-        label = 1
-    return key, label
+    if core == ".":
+        mark = "ellipsis" if len(marks) > 1 and not marks.strip(".…") else "stop"
+    elif core == "…":
+        mark = "ellipsis" if not marks.strip(".…") else "call"
+    else:
+        mark = "sure" if core in "。｡।۔" else "call"
+    n = len(bare)
+    size = "0" if not n else "1" if n == 1 else "2" if n <= 3 else "3"
+    digit = bare[-1:].isdigit()
+    single = before.isupper() and (n == 1 or (n == 3 and bare[1] == "." and text[i - 2 : i - 1].isspace()))
+    binding = bare in BINDING
+    shape = "digit" if digit else "initial" if single and not binding else "dotted" if "." in bare else "word"
+    known = "binding" if binding else "ending" if bare in ENDING else "plain"
+    gap = "none" if end == j else "line" if "\n" in text[j:end] else "space"
+    nxt = text[end : end + 8].split(None, 1)
+    return (mark, k, gap, known, shape, size, bare, script(before), nxt[0].lower() if nxt else "", digit and previous in ORDINAL)
+
+
+def type_of(key: tuple, text: str, i: int) -> tuple | None:
+    """The type of a full stop's token that collocation is counted for: the token, or of a number the word before it.
+
+    Short forms that may also end a sentence have none.
+    """
+    mark, _, _, known, shape, size, bare, *_ = key
+    if mark != "stop" or not bare or known == "ending":
+        return None
+    if shape == "digit":
+        return ("number", left_token(text, max(i - len(left_token(text, i)) - 1, 0)).rstrip(), len(bare) <= 2)
+    return ("initial",) if shape == "initial" else ("word", bare)
+
+
+def negative(key: tuple) -> bool:
+    """Whether the marks are no boundary for sure: inside a number, an address or a dotted token, or before a small letter."""
+    mark, k, gap, known, shape, size, *_ = key
+    inside = gap == "none" and (k in ("lower", "digit", "mark") or mark == "ellipsis" or (mark == "stop" and (shape in ("dotted", "initial") or size in ("0", "1"))))
+    return inside or (k == "lower" and mark in ("stop", "ellipsis", "call")) or (mark == "stop" and known == "binding")
 
 
 def features_of(key: tuple) -> list[str]:
@@ -186,19 +192,16 @@ def features_of(key: tuple) -> list[str]:
     ]
 
 
-def at_break(text: str, i: int, end: int, line: str, item: bool, heading: bool) -> tuple[tuple, int | None]:
-    """What the features are made of at the line break text[i:end] after a line without an end mark, and the label if it is reliable.
+def at_break(text: str, i: int, end: int, line: str, item: bool, heading: bool) -> tuple:
+    """What the features are made of at the line break text[i:end] after a line without an end mark.
 
     `heading` tells that the line is one of the corpus's headings.
     """
-    k = kind_of(text[end] if end < len(text) else "")
+    k = kind_of(text[end : end + 1])
     before = script(text[i - 1]) if i else "none"
     colon = line.endswith((":", "：")) and k != "open"
     caps = line.isupper() and len(line.split()) > 1 and k != "lower"
-    size = min(len(line) // 12, 5)
-    key = ("break", k, colon, caps, item, heading, size, before)
-    label = 1 if colon or caps or heading or (item and k != "lower") else 0
-    return key, label
+    return ("break", k, colon, caps, item, heading, min(len(line) // 12, 5), before)
 
 
 class Model:
@@ -248,105 +251,107 @@ class Model:
         return cls({n: float(w[k]) for n, k in names.items() if abs(w[k]) > 1e-6} | {"": float(bias)}, headings)
 
 
-def candidates(text: str, headings: frozenset[str]) -> Iterator[tuple[int, tuple | None, int | None, tuple[int, int] | None]]:
-    """(position after, key of features, label, quotation) of each candidate in a paragraph, in order.
+def candidates(text: str, headings: frozenset[str]) -> list[tuple[int, tuple | None, int, int, tuple[int, int] | None]]:
+    """(position after, key of features, start and end of the marks or break, quotation) of each candidate in a paragraph, in order.
 
-    Positions count from the paragraph's start. Without a key, the label is certain. `quotation` is the span of a
+    Positions count from the paragraph's start. Without a key, the candidate is a boundary. `quotation` is the span of a
     quotation that the marks close, in a script without capitals, where what follows may still belong to it.
     """
     spans = pairs(text)
-    marks_in, breaks_in, spaces_in = Sweep(spans), Sweep(spans), Sweep(spans)
-    found: list[tuple[int, tuple | None, int | None, tuple[int, int] | None]] = []
+    found: list[tuple[int, tuple | None, int, int, tuple[int, int] | None]] = []
     marked_ends = set()
+    size = len(text)
+    sweep = Sweep(spans) if spans else None
     for m in _MARK.finditer(text):
         i, j = m.span()
-        if j < len(text) and text[j] == "️":
+        if j < size and text[j] == "️":
             j += 1
         closed = None
         inside = False
-        for s in reversed(marks_in.at(i)):
-            if s[1] == j or text[j : s[1]].isspace():
-                j = s[1] + 1
-                closed = s
-            else:
-                inside = True
-                break
-        if inside:
-            continue
-        while j < len(text) and text[j] in "’'" and not text[j + 1 : j + 2].isalnum():
+        if sweep:
+            for s in reversed(sweep.at(i)):
+                if s[1] == j or text[j : s[1]].isspace():
+                    j = s[1] + 1
+                    closed = s
+                else:
+                    inside = True
+                    break
+            if inside:
+                continue
+        while j < size and text[j] in "’'" and not text[j + 1 : j + 2].isalnum():
             j += 1
-        wide = j >= len(text) or text[j].isspace()
-        end = j
-        while end < len(text) and text[end].isspace():
-            end += 1
+        end = _SPACES.match(text, j).end()
         marked_ends.add(end)
-        if closed and closed[2]:  # a bracket's own marks end nothing outside, unless a capital follows
-            if kind_of(text[end : end + 1]) not in ("upper", "end", "open"):
+        if closed:
+            nxt = kind_of(text[end : end + 1])
+            if closed[2] and nxt not in ("upper", "end", "open"):  # a bracket's own marks end nothing outside, unless a capital follows
                 continue
-        if closed and end < len(text) and text[end] in ",;:–—-，、；：":
-            continue
-        nxt = kind_of(text[end : end + 1])
-        if closed and not closed[2] and nxt in ("han", "other", "thai", "open"):
-            found.append((j, None, 1, (closed[0], closed[1])))
-            continue
-        features, label = at_mark(text, i, j, wide)
-        found.append((j, features, label, None))
-    lines = list(re.finditer(r"[^\n]+", text))
+            if end < size and text[end] in ",;:–—-，、；：":
+                continue
+            if not closed[2] and nxt in ("han", "other", "thai", "open"):
+                found.append((j, None, i, j, (closed[0], closed[1])))
+                continue
+        found.append((j, at_mark(text, i, j), i, j, None))
+    if "\n" in text:
+        found += breaks(text, headings, spans, marked_ends)
+    if not text.isascii():
+        sweep = Sweep(spans) if spans else None
+        for m in _THAI_GAP.finditer(text):
+            if sweep is None or not sweep.at(m.start()):
+                found.append((m.start(), None, m.start(), m.end(), None))
+    found.sort(key=lambda x: (x[0], x[1] is not None))
+    return found
+
+
+def breaks(text: str, headings: frozenset[str], spans: list, marked_ends: set[int]) -> list:
+    """The candidates at a paragraph's line breaks, as from candidates()."""
+    found: list = []
+    sweep = Sweep(spans)
+    lines = list(_LINE.finditer(text))
     number = 0
     fresh = True
-    for a, b in zip(lines, lines[1:] + [None]):
+    for a, b in zip(lines, lines[1:]):
         line = a[0].strip()
         head = _ITEM.match(a[0].lstrip())
         item = bool(head) and (head[1] is None or int(head[1]) in (1, number + 1))
         number = int(head[1]) if item and head[1] else 0 if not item else number
-        if b is None:
-            break
         nxt = _ITEM.match(b[0].lstrip())
         start = b.start() + len(b[0]) - len(b[0].lstrip())
         next_item = bool(nxt) and (nxt[1] is None or int(nxt[1]) in (1, number + 1)) and not (nxt[1] is None and not fresh and not item and not line.endswith((".", "!", "?", ":")) and nxt[0].strip() in "–-" and len(line) > 50)
-        ended = bool(re.search(r"[.!?…。！？｡।؟۔]['\"”“»」』）)\]’]*$", line))
-        if next_item or (item and ended and nxt):
-            found.append((a.end(), None, 1, None))
-        elif not breaks_in.at(a.end()):
-            if start not in marked_ends:
-                features, label = at_break(text, a.end(), start, line, item, fresh and line in headings)
-                found.append((a.end(), features, label, None))
-        fresh = ended or item or next_item or line.endswith((":", "："))
-        if not ended and not item and found and found[-1][0] == a.end() and found[-1][2] == 1:
-            fresh = True
-    for m in re.finditer(r"(?<=[฀-๿])[  \n]+(?=[ก-ะาเ-ไ])", text):
-        if not spaces_in.at(m.start()):
-            found.append((m.start(), None, 1, None))
-    yield from sorted(found, key=lambda x: (x[0], x[1] is not None))
+        ended = bool(_ENDED.search(line))
+        sure = next_item or (item and ended and bool(nxt))
+        if sure:
+            found.append((a.end(), None, a.end(), start, None))
+        elif start not in marked_ends and not sweep.at(a.end()):
+            found.append((a.end(), at_break(text, a.end(), start, line, item, fresh and line in headings), a.end(), start, None))
+        fresh = ended or item or sure or line.endswith((":", "：")) or line in headings or (line.isupper() and len(line.split()) > 1)
+    return found
 
 
 def split(text: str, model: Model) -> Iterator[tuple[int, int]]:
     """(start, end) of each sentence unit of the text, without white space around it."""
     at = 0
+    yes = model.yes
     for gap in [*_BLANK.finditer(text), None]:
         para, offset = (text[at : gap.start()], at) if gap else (text[at:], at)
         at = gap.end() if gap else at
         start = 0
         cuts = []
-        for pos, features, label, quotation in candidates(para, model.headings):
+        for pos, key, _, _, quotation in candidates(para, model.headings):
             if pos <= start:
                 continue
-            if quotation is not None:
-                begins = not para[start : quotation[0]].strip()
-                if begins and SPEECH.match(para[quotation[1] + 1 :].lstrip()):
-                    continue
-                yes = True
-            else:
-                yes = label == 1 if features is None else model.yes(features)
-            if yes:
+            if quotation is not None and not para[start : quotation[0]].strip() and SPEECH.match(para[quotation[1] + 1 :].lstrip()):
+                continue
+            if key is None or yes(key):
                 cuts.append((start, pos))
                 start = pos
-        for a, b in [*cuts, (start, len(para))]:
+        cuts.append((start, len(para)))
+        for a, b in cuts:
             piece = para[a:b]
-            lead = len(piece) - len(piece.lstrip())
-            piece = piece.strip()
-            if piece:
-                yield offset + a + lead, offset + a + lead + len(piece)
+            bare = piece.lstrip()
+            if bare:
+                a += len(piece) - len(bare) + offset
+                yield a, a + len(bare.rstrip())
 
 
 def headings_of(texts: list[str], least: int = 3) -> frozenset[str]:
@@ -388,22 +393,103 @@ def document_headings(docs: DataFrame, least: int = 3) -> DataFrame:
             ids, lines, alone = zip(*found) if found else ((), (), ())
             yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "line": pd.Series(lines, dtype=object), "alone": np.array(alone, bool)})
 
-    lines = spread(docs, "doc_id").mapInPandas(run, "doc_id long, line string, alone boolean")
+    lines = scanned(docs).mapInPandas(run, "doc_id long, line string, alone boolean")
     lines = materialize(lines.groupBy("doc_id", "line").agg(F.max("alone").alias("alone")), "lines")
     headings = lines.groupBy("line").agg(F.count_if("alone").alias("n")).filter(F.col("n") >= least)
     return lines.join(headings, "line", "left_semi").groupBy("doc_id").agg(F.collect_list("line").alias("headings"))
 
 
-def examples_of(text: str, headings: frozenset[str]) -> Counter:
-    """Labelled examples of a text: candidates whose label is reliable by itself."""
+def paragraphs(text: str) -> list[str]:
+    """The text's paragraphs that are not blank."""
+    return [p for p in _BLANK.split(text) if p.strip()]
+
+
+class Collocations:
+    """How often full stops follow each type of token, in all and at paragraph ends, and tokens without one.
+
+    A type is bound to what follows it if its stops end paragraphs far less often than other stops do, by a likelihood
+    ratio, and, of words, if they are short and hardly ever stand without a stop.
+    """
+
+    def __init__(self) -> None:
+        self.stops: Counter = Counter()
+        self.ends: Counter = Counter()
+        self.plain: Counter = Counter()
+
+    def add(self, text: str) -> None:
+        for para in paragraphs(text):
+            body = para.rstrip()
+            for _, key, i, j, _ in candidates(body, frozenset()):
+                kind = type_of(key, body, i) if key and key[0] != "break" else None
+                if kind and key[2] != "none":
+                    self.stops[kind] += 1
+                    self.ends[kind] += j == len(body)
+                elif kind and j == len(body):
+                    self.stops[kind] += 1
+                    self.ends[kind] += 1
+            self.plain.update(w.strip("\"“”'(),;:!?") for w in para.lower().split() if not w.endswith("."))
+
+    def bound(self, least: int = 20) -> frozenset[tuple]:
+        """The types that are bound to what follows."""
+        n, e = sum(self.stops.values()), sum(self.ends.values())
+        if not n or not 0 < e < n:
+            return frozenset()
+        rate = e / n
+        out = set()
+        for kind, m in self.stops.items():
+            k = self.ends[kind]
+            if m < least or k * 4 > m * rate:
+                continue
+            p = k / m
+            ratio = 2 * ((k * np.log(p / rate) if k else 0.0) + (m - k) * np.log((1 - p) / (1 - rate)))
+            word = kind[1] if kind[0] == "word" else ""
+            if ratio > 10.83 and (not word or ((len(word) <= 6 or "." in word) and self.plain[word] * 9 <= m)):
+                out.add(kind)
+        return frozenset(out)
+
+
+def examples_of(text: str, headings: frozenset[str], bound: frozenset[tuple] = frozenset()) -> Counter:
+    """Labelled examples of a text, from where its structure or collocation tells what a candidate is.
+
+    Boundaries: marks and lines at a paragraph's end, read with the start of the next paragraph behind them, after a
+    blank, a line break or (as where a space is missing) nothing; and lines that elsewhere are headings of their own.
+    No boundaries: marks inside numbers, addresses and dotted tokens, before small letters, after known short forms and after types in
+    `bound`, and breaks of lines that the next word would have made longer than the paragraph's longest line. Marks in the
+    middle of a paragraph before a capital tell nothing, nor do breaks of short lines; they are left out.
+    """
     out: Counter = Counter()
-    at = 0
-    for gap in [*_BLANK.finditer(text), None]:
-        para = text[at : gap.start()] if gap else text[at:]
-        at = gap.end() if gap else at
-        for _, features, label, _ in candidates(para, headings):
-            if features is not None and label is not None:
-                out[(tuple(features_of(features)), label)] += 1
+    paras = paragraphs(text)
+    for para, after in zip(paras, [*paras[1:], ""]):
+        body = para.rstrip()
+        after = after.lstrip()
+        item = _ITEM.match(after)
+        follow = after[item.end() :][:40] if item else after[:40]
+        width = max(len(x.rstrip()) for x in body.split("\n"))
+        ended = False
+        for _, key, i, j, _ in candidates(body, headings):
+            if key is None:
+                ended = ended or j == len(body)
+                continue
+            if key[0] == "break":
+                first = body[j:].split(None, 1)[0]
+                line = body[body.rfind("\n", 0, i) + 1 : i].rstrip()
+                if key[5]:
+                    out[(tuple(features_of(key)), 1)] += 1
+                elif len(line) >= 40 and len(line) + 1 + len(first) > width and not key[2] and not key[4]:
+                    out[(tuple(features_of(key)), 0)] += 1
+            elif j == len(body):
+                ended = True
+                for gap in (" ", "\n", "") if follow else ():
+                    at_end = at_mark(body + gap + follow, i, j)
+                    if at_end[1] != "lower" and (gap or at_end[1] in ("upper", "open_upper", "han", "other")) and not (not gap and negative(at_end)):
+                        out[(tuple(features_of(at_end)), 1)] += 1
+            elif negative(key) or (bound and type_of(key, body, i) in bound):
+                out[(tuple(features_of(key)), 0)] += 1
+        if not ended and follow and len(body) <= 60:
+            line = body[body.rfind("\n") + 1 :].strip()
+            key = at_break(body + "\n" + follow, len(body), len(body) + 1, line, bool(_ITEM.match(line)), line == body.strip() and line in headings)
+            if key[1] not in ("lower", "end"):
+                out[(tuple(features_of(key)), 1)] += 1
     return out
 
 
@@ -416,9 +502,12 @@ def train(docs: DataFrame, n: int = TRAIN_DOCS, chars: int = TRAIN_CHARS, headin
     headings = document_headings(docs.select("doc_id", "text").dropna()) if headings is None else headings
     some = docs.filter(F.length("text") <= chars).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "text").limit(n)
     texts = [(r["text"], frozenset(r["headings"] or ())) for r in some.join(headings, "doc_id", "left").collect()]
-    examples: Counter = Counter()
+    seen, examples = Collocations(), Counter()
+    for text, _ in texts:
+        seen.add(text)
+    bound = seen.bound()
     for text, own in texts:
-        examples.update(examples_of(text, own))
+        examples.update(examples_of(text, own, bound))
     return Model.fit(examples, frozenset().union(*(own for _, own in texts)))
 
 
@@ -434,9 +523,11 @@ def sentence_units(docs: DataFrame, model: Model | None = None) -> DataFrame:
     if model is None:
         headings = materialize(document_headings(docs), "headings")
         model = train(docs, headings=headings)
-        docs = docs.join(headings, "doc_id", "left")
+        # both sides are dealt out alike, so that the texts are shuffled once, for the join and the work in Python together
+        n = parts_for(docs)
+        docs = docs.repartition(n, "doc_id").join(headings.repartition(n, "doc_id"), "doc_id", "left")
     else:
-        docs = docs.withColumn("headings", F.lit(None).cast("array<string>"))
+        docs = scanned(docs).withColumn("headings", F.lit(None).cast("array<string>"))
     weights = model.weights
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -451,7 +542,7 @@ def sentence_units(docs: DataFrame, model: Model | None = None) -> DataFrame:
                     ends.append(b)
             yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "start_char": np.array(starts, "int64"), "end_char": np.array(ends, "int64")})
 
-    return spread(docs, "doc_id").mapInPandas(run, "doc_id long, start_char long, end_char long")
+    return docs.mapInPandas(run, "doc_id long, start_char long, end_char long")
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:

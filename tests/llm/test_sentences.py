@@ -76,6 +76,36 @@ def test_headings_equal_those_of_one_pass(spark):
     assert got == headings_of([r["text"] for r in docs.collect()])
 
 
+def test_labels_come_from_structure():
+    text = "Reach Dr. Ruiz by noon. The desk is open.\n\nShifts run from 8.30 to noon. Bring tools"
+    by_label = {y: [f for f, label in examples_of(text, frozenset()) if label == y] for y in (0, 1)}
+    tokens = lambda y: {x[2:] for fs in by_label[y] for x in fs if x.startswith("t=") and "&" not in x}
+    assert tokens(1) == {"open"}  # the paragraph's end, read with the next paragraph's start
+    assert tokens(0) == {"dr", "8"}  # a short form, a number; "noon" before a capital is ambiguous
+
+
+def test_collocation_finds_short_forms_and_spares_words():
+    seen = sentences.Collocations()
+    for i in range(200):
+        seen.add(f"Ask Qv. Ruiz at desk {i % 7}. Bring tools. The tools are here now.\n\nNobody waits for the tools.")
+    bound = seen.bound()
+    assert ("word", "qv") in bound and not {("word", "tools"), ("word", "now")} & bound
+    found = Model.fit(examples_of("Ask Qv. Ruiz now.\n\nNobody waits.", frozenset(), bound))
+    assert units("Ask Qv. Ruiz now. Nobody waits.", found) == ["Ask Qv. Ruiz now.", "Nobody waits."]
+
+
+def test_model_decides_where_labels_are_silent(spark):
+    # held out: boundaries inside paragraphs, known because the paragraphs were put together from sentences
+    model = train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 400)
+    right = total = 0
+    for joint, cases in ((" ", CASES), ("", SPACELESS)):
+        for want in cases:
+            got = units(joint.join(want), model)
+            right += len(set(got) & set(want))
+            total += len(want)
+    assert right / total > 0.95
+
+
 def test_held_out_accuracy(spark):
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
     headings = headings_of(texts[:500])
