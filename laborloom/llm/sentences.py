@@ -493,6 +493,10 @@ def examples_of(text: str, headings: frozenset[str], bound: frozenset[tuple] = f
     return out
 
 
+#: Reliable boundaries that every corpus is trained with, for those that have few of their own.
+SEED = "The long desk is open.\n\nCall the front office today!\n\nWill they hire someone soon?\n\n请今天申请。\n\n需要驾照吗？\n\nA version such as 2.5 works, e.g. here and approx. there."
+
+
 def train(docs: DataFrame, n: int = TRAIN_DOCS, chars: int = TRAIN_CHARS, headings: DataFrame | None = None) -> Model:
     """The model of a corpus (doc_id, text), fitted on `n` of its documents of up to `chars` characters.
 
@@ -502,7 +506,7 @@ def train(docs: DataFrame, n: int = TRAIN_DOCS, chars: int = TRAIN_CHARS, headin
     headings = document_headings(docs.select("doc_id", "text").dropna()) if headings is None else headings
     some = docs.filter(F.length("text") <= chars).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "text").limit(n)
     texts = [(r["text"], frozenset(r["headings"] or ())) for r in some.join(headings, "doc_id", "left").collect()]
-    seen, examples = Collocations(), Counter()
+    seen, examples = Collocations(), examples_of(SEED, frozenset())
     for text, _ in texts:
         seen.add(text)
     bound = seen.bound()
