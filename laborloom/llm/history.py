@@ -1,19 +1,19 @@
-"""Deduplicating new batches against all history: immutable suffix arrays of windows, merged logarithmically.
+"""Deduplicating new batches against all history: immutable suffix arrays over concatenated texts, merged logarithmically.
 
 Texts are compared within a block: one employer, job and city. Exact copies are found by hash. Of the blocks with
-several different texts, each run of arrivals becomes a sorted array of the suffixes of its texts, cut after STRETCH
-words; a new text's suffixes are searched in every earlier array by bisection, a match leads to all records that have
-those words, and a record is a repeat if enough of its words are in stretches of STRETCH words that the earlier record
-has too. Arrays are never changed; two of similar size are merged into one that keeps all records of both.
-
-A text's commonest suffixes are left out as long as they cover less of it than a repeat must share: repeats share a
-rarer one too, so no link is lost, and a sentence that all texts of a block have leads to no candidates by itself.
+several different texts, each run of arrivals becomes a suffix array: all suffixes of its texts, from each word to the
+text's end, in order of block and words. A new text's substrings are searched in every earlier array by bisection; a
+match of STRETCH words or more leads to all records in the array's range, and a record is a repeat if enough of its words are in
+such matches with the earlier record, from both sides. Arrays are never changed; two of similar size are merged into one.
+
+Of a text's substrings, the commonest are not followed as long as they cover less of it than a repeat must share: a
+repeat shares a rarer one too, so no link is lost, and a sentence that all texts of a block have leads to no candidates
+by itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,11 @@ def words_of(text: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
+def tokens_of(words: Column | str) -> Column:
+    """The words of words_of()'s text as a list; of scripts without spaces, characters."""
+    return F.split(F.trim(F.regexp_replace(words, _SPACELESS, " $1 ")), " +")
+
+
 def stripped(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"^[\s\x{00A0}]+|[\s\x{00A0}]+$", ""))
 
@@ -70,7 +75,8 @@ class Texts:
     """Records of one task: words as numbers, one after another, with each record's block."""
 
     def __init__(self, block: np.ndarray, words: np.ndarray, offsets: np.ndarray) -> None:
-        self.block, self.words, self.offsets = block.astype(np.int64), words.astype(np.uint32), offsets.astype(np.int64)
+        # word 0 stands for a text's end
+        self.block, self.words, self.offsets = block.astype(np.int64), np.maximum(words.astype(np.uint32), np.uint32(1)), offsets.astype(np.int64)
         self.length = np.diff(self.offsets)
         self.owner = np.repeat(np.arange(len(block)), self.length)
         n = len(self.words)
@@ -89,52 +95,47 @@ class Texts:
         self.whole = (self.left >= STRETCH) | (self.length[self.owner] < STRETCH)
         self.have = np.unique(mixed(self.owner[self.whole], h[self.whole]))
 
-    def suffixes(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-        """(suffix cut after STRETCH words with its block before it, record) of records first to last.
+    def heads(self, at: np.ndarray) -> np.ndarray:
+        """The block and the first STRETCH words of the suffixes at `at`, as bytes in rising order, so that comparing
+        bytes compares block by block and word by word."""
+        padded = np.append(self.words, np.zeros(STRETCH, np.uint32))
+        k = np.zeros((len(at), STRETCH + 2), ">u4")
+        block = self.block[self.owner[at]]
+        k[:, 0], k[:, 1] = (block >> 32) & 0xFFFFFFFF, block & 0xFFFFFFFF
+        for j in range(STRETCH):
+            k[:, j + 2] = np.where(self.left[at] > j, padded[at + j], 0)
+        return np.ascontiguousarray(k).view(f"S{4 * (STRETCH + 2)}").ravel()
 
-        A suffix is its words' numbers as bytes in rising order, so that comparing bytes compares word by word. Those
-        of less than STRETCH words are left out, unless the whole record is shorter.
-        """
+    def places(self, first: int, last: int) -> np.ndarray:
+        """Where the suffixes of records first to last begin that can match STRETCH words, or else a whole short record."""
         a, b = self.offsets[first], self.offsets[last]
-        n = int(b - a)
-        padded = np.zeros(n + STRETCH, np.uint32)
-        padded[:n] = self.words[a:b]
-        owner, left = self.owner[a:b], self.left[a:b]
-        k = np.zeros((n, STRETCH + 2), ">u4")
-        k[:, 0], k[:, 1] = (self.block[owner] >> 32) & 0xFFFFFFFF, self.block[owner] & 0xFFFFFFFF
-        for j in range(STRETCH):
-            k[:, j + 2] = np.where(left > j, padded[j : j + n], 0)
-        keep = self.leads[a:b]
-        return np.ascontiguousarray(k).view(f"S{4 * (STRETCH + 2)}").ravel()[keep], owner[keep]
+        return a + np.flatnonzero(self.leads[a:b])
 
-    def rare(self) -> tuple[np.ndarray, np.ndarray]:
-        """(suffix with its block as a number, record) in order of records, without each record's commonest suffixes.
+    def rarest(self, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Which of the suffixes at `at`, all those of some records in order, are followed: all but the commonest by `count`.
 
-        Suffixes have one order, the commonest last. From a record the last ones are left out that together cover less
-        than SHARED of its words. Of two records that share enough, the first shared suffix in that order is then left
-        in both: were it left out, so were all others they share, which would cover too little.
+        Those left out of a record cover less than SHARED of its words together. So a record that shares SHARED of
+        them has one of the others: were all that it shares left out, it would share too little.
         """
-        n = len(self.words)
-        at = np.flatnonzero(self.leads)
-        keys = mixed(self.block[self.owner[at]], self.stretch[at])
-        unique, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
-        place = np.empty(len(unique), np.int64)
-        place[np.lexsort((unique, count))] = np.arange(len(unique))
-        rank = np.full(n, -1, np.int64)
-        rank[at] = place[inverse]
+        if not len(at):
+            return np.zeros(0, bool)
+        first, last = self.owner[at[0]], self.owner[at[-1]] + 1
+        a, b = self.offsets[first], self.offsets[last]
+        value = np.full(b - a, -1, np.int64)
+        value[at - a] = count
+        owner = self.owner[a:b]
         # a word is covered as soon as the commonest suffix over it is left out
-        over = rank.copy()
+        over = value.copy()
         for j in range(1, STRETCH):
-            same = self.owner[j:] == self.owner[:-j]
-            over[j:] = np.maximum(over[j:], np.where(same, rank[:-j], -1))
-        over = np.sort(self.owner * (len(unique) + 2) + (len(unique) - over)) - self.owner * (len(unique) + 2)
-        need = np.maximum(np.ceil(SHARED * self.length - 1e-6).astype(np.int64), 1)
-        last = np.full(len(self.length), -1, np.int64)
-        some = self.length > 0
-        last[some] = len(unique) - over[(self.offsets[:-1] + need - 1)[some]]
-        last[self.length < STRETCH] = len(unique)
-        keep = rank[at] <= last[self.owner[at]]
-        return keys[keep], self.owner[at][keep]
+            over[j:] = np.maximum(over[j:], np.where(owner[j:] == owner[:-j], value[:-j], -1))
+        top = int(over.max()) + 2
+        over = np.sort((owner - first) * top + (top - 2 - over)) - (owner - first) * top
+        size = self.length[first:last]
+        need = np.maximum(np.ceil(SHARED * size - 1e-6).astype(np.int64), 1)
+        most = np.full(last - first, top, np.int64)
+        some = size >= STRETCH
+        most[some] = top - 2 - over[(self.offsets[first:last] - a + need - 1)[some]]
+        return count <= most[self.owner[at] - first]
 
 
 def mixed(number: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -144,47 +145,98 @@ def mixed(number: np.ndarray, x: np.ndarray) -> np.ndarray:
     return y
 
 
+def suffix_order(t: Texts, at: np.ndarray) -> np.ndarray:
+    """The suffixes at `at`, of whole records in order, sorted by block and words to the record's end, equal ones by
+    record. By prefix doubling: ranks by two, four, eight ... words until they settle."""
+    if not len(at):
+        return at
+    a, b = int(t.offsets[t.owner[at[0]]]), int(t.offsets[t.owner[at[-1]] + 1])
+    n = b - a
+    block = np.unique(t.block[t.owner[a:b]].view(np.uint64), return_inverse=True)[1].astype(np.int64)
+    rank = np.unique(block * 2**32 + t.words[a:b].astype(np.int64), return_inverse=True)[1].astype(np.int64)
+    left = t.left[a:b]
+    known = 1
+    while known < int(left.max()) and rank.max() < n - 1:
+        nxt = np.zeros(n, np.int64)
+        nxt[: n - known] = np.where(left[: n - known] > known, rank[known:] + 1, 0)
+        new = np.unique(rank * (n + 1) + nxt, return_inverse=True)[1].astype(np.int64)
+        if new.max() == rank.max() and known > 1:  # no rank was divided, so none will be
+            break
+        rank, known = new, known * 2
+    return at[np.lexsort((at, rank[at - a]))]
+
+
 class Segment:
-    """An immutable sorted array of suffixes with their records: every record of each suffix once, the first one first."""
-
-    def __init__(self, keys: np.ndarray, record: np.ndarray) -> None:
-        self.keys, self.record = keys, record
-
-    @classmethod
-    def of(cls, keys: np.ndarray, record: np.ndarray) -> Segment:
-        order = np.lexsort((record, keys))
-        keys, record = keys[order], record[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (record[1:] != record[:-1])
-        return cls(keys[new], record[new])
-
-    def first(self, keys: np.ndarray) -> np.ndarray:
-        """The record that had each key first, or -1, by bisection."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.record[at], -1)
-
-    def matches(self, keys: np.ndarray, record: np.ndarray, chunk: int = CHUNK) -> Iterator[np.ndarray]:
-        """Different (record, earlier record with one of its keys) pairs as rows, from about `chunk` matches at a time."""
-        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+    """An immutable suffix array over the texts of records first to last of `t`."""
+
+    def __init__(self, t: Texts, first: int, last: int, order: np.ndarray | None = None) -> None:
+        self.t, self.first, self.last = t, first, last
+        self.order = suffix_order(t, t.places(first, last)) if order is None else order
+        self.head = t.heads(self.order)
+
+    def range(self, q: Texts, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the suffixes begin and end that have the same block and STRETCH first words as those of `q` at `at`, by bisection."""
+        keys = q.heads(at)
+        return np.searchsorted(self.head, keys, "left"), np.searchsorted(self.head, keys, "right")
+
+    def longest(self, q: Texts, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, record) of the longest match of the text of `q` from each of `at` on; 0 and -1 where there is none of STRETCH
+        words. The range is narrowed word by word, each time by bisection; of several records the first counts."""
+        lo, hi = self.range(q, at)
+        size = np.where(hi > lo, np.minimum(STRETCH, q.left[at]), 0)
+        todo = np.flatnonzero((hi > lo) & (q.left[at] > STRETCH))
+        depth = STRETCH
+        padded = np.append(self.t.words, np.zeros(1, np.uint32))
+
+        def bisect(lo: np.ndarray, hi: np.ndarray, w: np.ndarray, right: bool) -> np.ndarray:
+            lo, hi = lo.copy(), hi.copy()
+            while (lo < hi).any():
+                mid = np.minimum((lo + hi) // 2, len(self.order) - 1)
+                p = self.order[mid]
+                x = np.where(self.t.left[p] > depth, padded[np.minimum(p + depth, len(padded) - 1)], 0)
+                up = (lo < hi) & ((x <= w) if right else (x < w))
+                hi = np.where((lo < hi) & ~up, mid, hi)
+                lo = np.where(up, mid + 1, lo)
+            return lo
+
+        while len(todo):
+            w = q.words[at[todo] + depth]
+            a, b = bisect(lo[todo], hi[todo], w, False), bisect(lo[todo], hi[todo], w, True)
+            on = b > a
+            todo = todo[on]
+            lo[todo], hi[todo] = a[on], b[on]
+            depth += 1
+            size[todo] = depth
+            todo = todo[q.left[at[todo]] > depth]
+        record = np.full(len(at), -1)
+        for i in np.flatnonzero(size):
+            record[i] = self.t.owner[self.order[lo[i] : hi[i]]].min()
+        return size, record
+
+    def matches(self, q: Texts, at: np.ndarray, chunk: int = CHUNK) -> Iterator[np.ndarray]:
+        """Different (record of `q`, earlier record here that shares STRETCH words) pairs as rows, from about `chunk`
+        matches at a time; `at` are all suffixes of some records of `q`. Suffixes that rarest() leaves out are not followed."""
+        low, high = self.range(q, at)
+        keep = q.rarest(at, high - low) & (high > low)
+        at, low, high = at[keep], low[keep], high[keep]
         ends = np.cumsum(high - low)
-        at = 0
-        while at < len(keys):
-            before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + chunk, "right")))
-            size = high[at:to] - low[at:to]
-            which = np.arange(size.sum()) - np.repeat(ends[at:to] - size - before, size) + np.repeat(low[at:to], size)
-            a, b = np.repeat(record[at:to], size), self.record[which]
+        i = 0
+        while i < len(at):
+            before = ends[i - 1] if i else 0
+            to = max(i + 1, int(np.searchsorted(ends, before + chunk, "right")))
+            size = high[i:to] - low[i:to]
+            which = np.arange(size.sum()) - np.repeat(ends[i:to] - size - before, size) + np.repeat(low[i:to], size)
+            a, b = np.repeat(q.owner[at[i:to]], size), self.t.owner[self.order[which]]
             ok = b < a
             if ok.any():
                 width = int(a.max()) + 1
                 code = np.unique(a[ok].astype(np.int64) * width + b[ok])
                 yield np.stack([code // width, code % width], 1)
-            at = to
+            i = to
 
     def merged(self, later: Segment) -> Segment:
-        return Segment.of(np.concatenate([self.keys, later.keys]), np.concatenate([self.record, later.record]))
+        """One array over the records of both, which follow each other."""
+        return Segment(self.t, self.first, later.last)
 
 
 class Levels:
@@ -195,15 +247,10 @@ class Levels:
 
     def add(self, s: Segment) -> None:
         self.segments.append(s)
-        while len(self.segments) > 1 and len(self.segments[-2].keys) <= 2 * len(self.segments[-1].keys):
+        while len(self.segments) > 1 and len(self.segments[-2].order) <= 2 * len(self.segments[-1].order):
             b = self.segments.pop()
             self.segments[-1] = self.segments[-1].merged(b)
 
-    def candidates(self, keys: np.ndarray, record: np.ndarray) -> Iterator[np.ndarray]:
-        """(record, earlier record) pairs, as rows."""
-        for s in self.segments:
-            yield from s.matches(keys, record)
-
 
 def shared(t: Texts, pairs: np.ndarray) -> np.ndarray:
     """For each (a, b), the share of a's words in stretches of STRETCH words that b has too, of the longer's words."""
@@ -252,13 +299,12 @@ def replay(t: Texts, run: int = RUN) -> np.ndarray:
                 x, y = find(x), find(y)
                 root[max(x, y)] = min(x, y)
 
-    all_keys, all_records = t.rare()
     for first in range(0, n, run):
-        a, b = np.searchsorted(all_records, [first, min(n, first + run)])
-        keys, record = all_keys[a:b], all_records[a:b]
-        own = Segment.of(keys, record)
-        for pairs in chain(levels.candidates(keys, record), own.matches(keys, record)):
-            link(pairs)
+        last = min(n, first + run)
+        own, at = Segment(t, first, last), t.places(first, last)
+        for s in [*levels.segments, own]:
+            for pairs in s.matches(t, at):
+                link(pairs)
         levels.add(own)
     return np.array([find(i) for i in range(n)])
 
@@ -282,7 +328,7 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def routes(hot: DataFrame) -> DataFrame:
     """(block, gid, lead): the suffixes of each text (block, gid, t) by which it meets its repeats.
 
-    As in Texts.rare(), a text's commonest suffixes in the block are left out that together cover less than SHARED of
+    As in Texts.rarest(), a text's commonest suffixes in the block are left out that together cover less than SHARED of
     it; so two texts that share enough have a suffix in common here. Those that one text alone has are left out, too.
     """
     size = F.size("t")
@@ -309,7 +355,7 @@ def near_copies(texts: DataFrame, shard: int = SHARD, task: int = TASK) -> DataF
     a block's size.
     """
     spark = texts.sparkSession
-    tokens = F.split(F.trim(F.regexp_replace("words", _SPACELESS, " $1 ")), " +")
+    tokens = tokens_of("words")
     hot = texts.filter(F.col("n") > shard).withColumn("t", tokens)
     rows = texts.filter(F.col("n") <= shard).select("block", "gid", "words")
     some_hot = not hot.isEmpty()

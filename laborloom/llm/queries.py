@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import canonical, cooccurrence, history, leakage, names, packing, sentences, survivors
+from . import canonical, cooccurrence, history, leakage, names, packing, segments, sentences, survivors
 
 QUERIES = {
     "p1_found": survivors.p1_found,
@@ -11,6 +11,7 @@ QUERIES = {
     "p5_found": cooccurrence.p5_found,
     "p5_surprise": cooccurrence.p5_surprise,
     "p6_found": history.p6_found,
+    "p6_batches": segments.p6_batches,
     "p7_found": canonical.p7_found,
     "p8_windows": packing.p8_windows,
     "p9_found": leakage.p9_found,

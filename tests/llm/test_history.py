@@ -128,14 +128,44 @@ def test_hot_block_of_shared_sentences(spark):
     assert cool and hot == cool
 
 
+def random_texts(rng, n=60, blocks=3, vocabulary=4):
+    words = [[rng.randrange(1, vocabulary + 1) for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 9, 30]))] for _ in range(n)]
+    words[n // 2] = words[n // 3]
+    return Texts(np.array([rng.choice([-5, 7, 2**40])] * n) if blocks == 1 else np.array([rng.choice([-5, 7, 2**40]) for _ in range(n)]), np.array([w for ws in words for w in ws]), np.cumsum([0, *map(len, words)]))
+
+
+def test_suffix_array_is_sorted_and_finds_the_longest_match():
+    rng = random.Random(12)
+    for blocks in (1, 3):
+        t = random_texts(rng, blocks=blocks)
+        s = Segment(t, 0, 40)
+        suffix = lambda p: (int(t.block[t.owner[p]]) % 2**64, t.words[p : p + t.left[p]].tolist(), t.owner[p])
+        assert [suffix(p) for p in s.order] == sorted(suffix(p) for p in t.places(0, 40))
+        at = t.places(40, 60)
+        size, record = s.longest(t, at)
+        for p, n, r in zip(at, size, record):
+            block, words, _ = suffix(p)
+            common = {}
+            for x in t.places(0, 40):
+                b, other, o = suffix(x)
+                k = 0
+                while b == block and k < min(len(words), len(other)) and words[k] == other[k]:
+                    k += 1
+                whole = k == len(words) == len(other)
+                if k >= 4 or (whole and k):
+                    common[o] = max(k, common.get(o, 0))
+            best = max(common.values(), default=0)
+            assert n == best and r == min((o for o, k in common.items() if k == best), default=-1)
+
+
 def test_segments_merge_logarithmically():
+    rng = random.Random(2)
+    t = random_texts(rng, 640, vocabulary=50)
     levels = Levels()
-    for i in range(64):
-        keys = np.array([f"{i * 3 + j:06d}".encode() for j in range(3)] + [b"shared"])
-        levels.add(Segment.of(keys, np.full(4, i)))
-    assert len(levels.segments) <= 7
-    found = [s.first(np.array([b"shared"]))[0] for s in levels.segments]
-    assert min(f for f in found if f >= 0) == 0
+    for i in range(0, 640, 10):
+        levels.add(Segment(t, i, i + 10))
+    assert len(levels.segments) <= 8 and levels.segments[0].first == 0 and levels.segments[-1].last == 640
+    assert [s.last for s in levels.segments[:-1]] == [s.first for s in levels.segments[1:]]
 
 
 def test_clashing_columns(spark):
