@@ -29,16 +29,20 @@ ROOTS = {
     ("money", "INR"): "inr|₹|rs|rs.|rupee|rupees",
     ("money", "COP"): "cop|col$|pesos (co)|peso colombiano|pesos colombianos",
     ("time", "hour"): "h|hr|hrs|hour|hours|hourly|p/h|hora|horas|stunde|std|std.|stündlich|heure",
-    ("time", "day"): "d|day|daily|diem|per diem|día|dia|diario|tag|tagessatz|täglich|jour",
-    ("time", "week"): "w|wk|week|weekly|semana|semanal|woche|wöchentlich|semaine",
+    ("time", "day"): "d|day|days|daily|diem|per diem|día|dia|diario|tag|tagessatz|täglich|jour",
+    ("time", "week"): "w|wk|wks|week|weeks|weekly|semana|semanal|woche|wöchentlich|semaine",
     ("time", "fortnight"): "bi-weekly|biweekly|fortnight|fortnightly|every two weeks|every 2 weeks|quincenal|quincena",
-    ("time", "month"): "m|mo|mon|month|monthly|pcm|mensual|mensuales|mes|monat|monatlich|mtl|mtl.|mois",
+    ("time", "month"): "m|mo|mos|mon|month|months|monthly|pcm|mensual|mensuales|mes|monat|monatlich|mtl|mtl.|mois",
     ("time", "year"): "y|yr|yrs|year|years|yearly|annual|annually|annum|p.a.|p. a.|pa|año|anual|anuales|jahr|jährlich|jahrlich|an|anno",
 }
-# Prefixes of scale. They multiply the number that they follow.
+# Prefixes of scale. They multiply the number that they follow, or, glued to a root, that root.
 SCALES = {1e3: "k|thousand|mil|tausend|tsd|tsd.", 1e5: "l|lakh|lakhs|lac|lacs", 1e6: "m|mm|mio|mio.|million|millions|millón|millones|millionen", 1e7: "cr|crore|crores"}
+#: Prefixes that stand only glued to a root, as in "teur".
+GLUED = {1e3: "t", 1e6: "m"}
+# Exponents after a root.
+EXPONENTS = {-1: "⁻¹|^-1"}
 # Joints of a unit; "per" turns the exponent of what follows to -1.
-JOINTS = {"per": "/|per|a|an|pro|por|al|à|je|par|each", "range": "-|–|—|to|bis|a|hasta|until|through", "none": "from|up to|upto|ab|bis zu|desde|hasta|base pay|base|pay|salary|:|ca.|approx.|brutto|gross|plus|+|benefits|and|&|,|~"}
+JOINTS = {"per": "/|per|a|an|pro|por|al|à|je|par|each", "range": "-|–|—|to|bis|a|hasta|until|through|y|und|and", "none": "from|up to|upto|ab|bis zu|desde|hasta|base pay|base|pay|salary|:|ca.|approx.|brutto|gross|plus|+|benefits|and|&|,|~"}
 
 _NUMBER = r"\d{1,3}(?:[.,' ]\d{2,3})+(?:[.,]\d{1,2})?(?!\d)|\d+(?:[.,]\d+)?"
 _EXTRAS = re.compile(r"\([^()]*(?:bonus|sign|extra|prämie|bono)[^()]*\)|[+&]\s*pension\b.*$|\bpension(?:\s*match)?|(?:up to\s*)?\d+(?:[.,]\d+)?\s*%(?:\s*bonus)?|plus (?:benefits|bonus)\b", re.I)
@@ -76,6 +80,12 @@ def unit_trie() -> Trie:
     for factor, words in SCALES.items():
         for w in words.split("|"):
             t.add(w, "scale", factor)
+    for factor, words in GLUED.items():
+        for w in words.split("|"):
+            t.add(w, "glued", factor)
+    for power, words in EXPONENTS.items():
+        for w in words.split("|"):
+            t.add(w, "exponent", power)
     for what, words in JOINTS.items():
         for w in words.split("|"):
             t.add(w, "joint", what)
@@ -83,18 +93,19 @@ def unit_trie() -> Trie:
 
 
 def segment(text: str, prior: dict[str, float], trie: Trie | None = None) -> list[tuple[str, object, int, int]]:
-    """The best division of `text` into numbers, scales, roots and joints, by dynamic programming.
+    """The best division of `text` into numbers, prefixes, roots, exponents and joints, by dynamic programming.
 
-    Parts are (kind, meaning, start, end), kind "number", "scale", "money", "time" or "joint". A part's score is its
-    length times its dimension's prior in this field; letters that no entry covers cost one each. A word must end at
-    a word's boundary, except for the scale right after a number; a scale must follow a number, and a unit of one
-    letter must follow "per" or a number, unless it is the whole text. Ties go to the longer part.
+    Parts are (kind, meaning, start, end), kind "number", "scale", "money", "time", "exponent" or "joint". A part's score is
+    its length times its dimension's prior in this field; letters that no entry covers cost one each. A word must end at
+    a word's boundary, except for a prefix right after a number and a prefix glued to a root of money; a prefix that isn't
+    glued must follow a number, an exponent a root, and a unit of one letter must follow "per" or a number, or have an exponent,
+    unless it is the whole text. Ties go to the longer part.
     """
     trie = trie or unit_trie()
     s = text.lower()
     n = len(s)
     numbers = {m.start(): m.end() for m in re.finditer(_NUMBER, s)}
-    #: best[i][state]: score and parts of s[:i]; the state says what came last: number, per, or anything else.
+    #: best[i][state]: score and parts of s[:i]; the state says what came last: number, per, range, prefix, time, or anything else.
     best: list[dict[str, tuple[float, tuple]]] = [{} for _ in range(n + 1)]
     best[0]["other"] = (0.0, ())
 
@@ -103,13 +114,24 @@ def segment(text: str, prior: dict[str, float], trie: Trie | None = None) -> lis
         if old is None or score > old[0] + 1e-9 or (abs(score - old[0]) <= 1e-9 and len(parts) < len(old[1])):
             best[i][state] = (score, parts)
 
+    def powered(i: int) -> bool:
+        return any(kind == "exponent" for _, kind, _ in trie.from_(s, i))
+
+    def ends_word(end: int) -> bool:
+        return not (s[end - 1].isalpha() and end < n and s[end].isalpha())
+
     for i in range(n):
         for state, (score, parts) in list(best[i].items()):
+            if state == "prefix":  # only the root that it is glued to may follow
+                for end, kind, meaning in trie.from_(s, i):
+                    if kind == "money" and ends_word(end):
+                        put(end, "other", score + (end - i) * prior.get("money", 0.5), (*parts, (kind, meaning, i, end)))
+                continue
             if s[i].isspace():
                 put(i + 1, state, score, parts)
                 continue
             if i in numbers:
-                put(numbers[i], "number", score + 2.0, (*parts, ("number", None, i, numbers[i])))
+                put(numbers[i], "number", score + 2.0 + (0.5 if state == "range" else 0.0), (*parts, ("number", None, i, numbers[i])))
                 continue
             if s[i].isdigit():
                 put(i + 1, "other", score, parts)
@@ -117,17 +139,26 @@ def segment(text: str, prior: dict[str, float], trie: Trie | None = None) -> lis
             put(i + 1, "other", score - 1.0 * s[i].isalpha(), parts)
             inside = i > 0 and s[i - 1].isalpha() and s[i].isalpha()
             for end, kind, meaning in trie.from_(s, i):
-                if inside or (s[end - 1].isalpha() and end < n and s[end].isalpha()):
-                    continue
                 size = end - i
-                if kind == "scale" and state != "number":
+                if kind == "exponent":
+                    if state == "time":
+                        put(end, "other", score + size * prior.get("time", 0.5) + 1.0, (*parts, (kind, meaning, i, end)))
+                    continue
+                if inside:
+                    continue
+                if kind in ("scale", "glued") and end < n and s[end].isalpha() and s[end - 1].isalpha():
+                    put(end, "prefix", score + size * prior.get("scale", 0.5) + 0.25, (*parts, ("scale", meaning, i, end)))
+                    continue
+                if kind == "glued" or not ends_word(end) or (kind == "scale" and state != "number"):
                     continue
-                if kind == "time" and size == 1 and not (state == "per" or (size == n and i == 0)):
+                if kind == "time" and size == 1 and not (state == "per" or (size == n and i == 0) or powered(end)):
                     continue
-                after = "number" if kind == "money" and state == "number" else "per" if (kind, meaning) == ("joint", "per") else "other"
+                joint = meaning if kind == "joint" else None
+                after = "number" if kind == "money" and state == "number" else "time" if kind == "time" else joint if joint in ("per", "range") else "other"
                 gain = size * prior.get(kind, 0.5) + (0.5 if state == "per" and kind == "time" else 0.0) + (0.25 if kind == "scale" else 0.0)
-                put(end, after, score + gain, parts if kind == "joint" else (*parts, (kind, meaning, i, end)))
-    return list(max(best[n].values(), key=lambda x: (x[0], -len(x[1])))[1]) if best[n] else []
+                put(end, after, score + gain, parts if joint == "none" else (*parts, (kind, meaning, i, end)))
+    ends = {k: v for k, v in best[n].items() if k != "prefix"}
+    return list(max(ends.values(), key=lambda x: (x[0], -len(x[1])))[1]) if ends else []
 
 
 #: Priors of the dimensions by field: how likely a unit of that dimension is to stand there.
@@ -160,19 +191,24 @@ def read_shape(text: str) -> dict:
     """What a pay text's shape says: which of its numbers are the pay's ends, their marks and scales, and the unit.
 
     Keys low, high: number's index from 0, or None without pay; low_mark, high_mark; low_scale, high_scale;
-    currency ("$" for a bare dollar sign), period. Extras such as bonuses are masked first, and a number that no
-    word of money, time, scale or range ties to the first one doesn't count.
+    currency ("$" for a bare dollar sign), period, and periods, the index of the number of them ("every 2 weeks"). Extras such
+    as bonuses are masked first, and a number that no word of money, time, scale or range ties to the first one doesn't count.
     """
-    none = {"low": None, "high": None, "low_mark": None, "high_mark": None, "low_scale": 1.0, "high_scale": 1.0, "currency": None, "period": None}
+    none = {"low": None, "high": None, "low_mark": None, "high_mark": None, "low_scale": 1.0, "high_scale": 1.0, "currency": None, "period": None, "periods": None}
     positions = [m.start() for m in re.finditer(_NUMBER, text)]
     masked = _EXTRAS.sub(lambda m: "\x00" * len(m[0]), text)
     parts = segment(masked, PRIORS["raw"])
-    numbers = [k for k, p in enumerate(parts) if p[0] == "number"]
     out = dict(none)
     money = [p[1] for p in parts if p[0] == "money"]
     named = [m for m in money if m != "$"]
     out["currency"] = named[0] if named else "$" if money else None
-    out["period"] = next((p[1] for p in parts if p[0] == "time"), None)
+    time = next((k for k, p in enumerate(parts) if p[0] == "time"), None)
+    out["period"] = parts[time][1] if time is not None else None
+    counts = set()  # numbers of periods, as in "per 2 weeks", are no amounts
+    if time is not None and time > 1 and parts[time - 1][0] == "number" and parts[time - 2][:2] == ("joint", "per"):
+        counts.add(time - 1)
+        out["periods"] = positions.index(parts[time - 1][2])
+    numbers = [k for k, p in enumerate(parts) if p[0] == "number" and k not in counts]
     if not numbers:
         return out
 
@@ -185,11 +221,8 @@ def read_shape(text: str) -> dict:
         return 1.0
 
     first = numbers[0]
-    second = None
-    if len(numbers) > 1:
-        between = masked[parts[first][3] : parts[numbers[1]][2]]
-        if re.search(r"[-–—]|\b(?:to|bis|a|hasta|until|y|und|and)\b", between.lower()):
-            second = numbers[1]
+    ranged = len(numbers) > 1 and any(p[:2] == ("joint", "range") for p in parts[first + 1 : numbers[1]])
+    second = numbers[1] if ranged else None
     a_scale, b_scale = scale_of(first), scale_of(second) if second is not None else 1.0
     if second is not None and a_scale == 1.0:
         a_scale = b_scale
@@ -203,7 +236,7 @@ def read_shape(text: str) -> dict:
     return out
 
 
-SHAPE_SCHEMA = "kind string, shape string, low int, high int, low_mark string, high_mark string, low_scale double, high_scale double, currency string, period string"
+SHAPE_SCHEMA = "kind string, shape string, low int, high int, low_mark string, high_mark string, low_scale double, high_scale double, currency string, period string, periods int"
 
 
 def _read_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,7 +250,7 @@ def _read_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 x = dict.fromkeys(names) | {p[0]: p[1] for p in reversed(segment(shape, PRIORS[kind]))}
                 x["currency"], x["period"] = x.get("money"), x.get("time")
             rows.append([kind, shape, *(x[c] for c in names[2:])])
-        yield pd.DataFrame(rows, columns=names).astype({"low": "Int32", "high": "Int32"})
+        yield pd.DataFrame(rows, columns=names).astype({"low": "Int32", "high": "Int32", "periods": "Int32"})
 
 
 def shape_of(text: Column) -> Column:
@@ -226,7 +259,9 @@ def shape_of(text: Column) -> Column:
 
 
 def plain(text: Column) -> Column:
-    """The text with plain white space and apostrophes; the name of a pension plan, whose number is no amount, as a word."""
+    """The text with plain white space and apostrophes, exponents in raised digits, and the name of a pension plan, whose
+    number is no amount, as a word."""
+    text = F.regexp_replace(text, r"(?:\^|\*\*)\(?[-−]1\)?", "⁻¹")
     text = F.regexp_replace(text, r"(?i)\b401 ?\(?k\)?(?![\p{L}\d])", "pension")
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\s    ]+", " "), r"[’´`]", "'"))
 
@@ -262,7 +297,7 @@ def to_common_unit(rows: DataFrame, rates: DataFrame, raw: str, currency: str, p
     for k, c in (("raw", raw), ("currency", currency), ("period", period)):
         out = out.withColumn(f"__{k}", shape_of(F.col(c)))
     fields = ["low", "high", "low_mark", "high_mark", "low_scale", "high_scale"]
-    out = out.join(of("raw", F.struct(*fields).alias("__f"), F.col("currency").alias("__c0"), F.col("period").alias("__p0")), "__raw", "left")
+    out = out.join(of("raw", F.struct(*fields, "periods").alias("__f"), F.col("currency").alias("__c0"), F.col("period").alias("__p0")), "__raw", "left")
     out = out.join(of("currency", F.col("currency").alias("__c1")), "__currency", "left")
     out = out.join(of("period", F.col("period").alias("__p1")), "__period", "left")
     unit = F.when(F.col("__c0") == "$", F.coalesce(F.when(F.col("__c1") != "$", F.col("__c1")), F.lit("USD"))).otherwise(
@@ -272,6 +307,8 @@ def to_common_unit(rows: DataFrame, rates: DataFrame, raw: str, currency: str, p
     rate = rates.select(F.col("currency").alias("__unit"), F.col("usd_per_unit").alias("__rate")).dropna().dropDuplicates(["__unit"])
     out = out.join(rate, "__unit", "left")
     factor = F.create_map(*[F.lit(x) for kv in PER_YEAR.items() for x in kv])[F.coalesce("__p0", "__p1")] * F.col("__rate")
+    many = F.when(F.col("__f.periods").isNotNull(), F.get("__n", F.col("__f.periods")).try_cast("double"))
+    factor = F.when(F.col("__f.periods").isNull(), factor).otherwise(F.try_divide(factor, many))
     a = _value(F.col("__n"), F.col("__f.low"), F.col("__f.low_mark"), F.col("__f.low_scale")) * factor
     b = _value(F.col("__n"), F.col("__f.high"), F.col("__f.high_mark"), F.col("__f.high_scale")) * factor
     spare = ["__raw", "__currency", "__period", "__f", "__c0", "__p0", "__c1", "__p1", "__unit", "__n", "__rate"]

@@ -22,6 +22,9 @@ CASES = [
     ("COP 2,7-3,3 millones", None, "mensual", 2.7e6 * 12 * 0.00025, 3.3e6 * 12 * 0.00025),
     ("Up To $9,300 pcm", None, None, 9300 * 12, 9300 * 12),
     ("$21.500 por hora", "Pesos (CO)", None, 21500 * 2080 * 0.00025, 21500 * 2080 * 0.00025),
+    ("99kusd/year", None, None, 99000, 99000), ("99 kusd per year", None, None, 99000, 99000), ("99 teur p.a.", None, None, 99000 * 1.1, 99000 * 1.1), ("80-99k€ / yr", None, None, 80000 * 1.1, 99000 * 1.1),
+    ("900 usd / 2 weeks", None, None, 900 * 26, 900 * 26), ("1,200 eur per 3 months", None, None, 1200 * 4 * 1.1, 1200 * 4 * 1.1), ("99 usd h^-1", None, None, 99 * 2080, 99 * 2080), ("usd 20-30 h⁻¹", None, None, 20 * 2080, 30 * 2080),
+    ("between 20 and 30 usd hourly", None, None, 20 * 2080, 30 * 2080), ("99 usd / 0 weeks", None, None, None, None),
     *[(x, c, p, None, None) for x, c, p in (("DOE", "USD", "hr"), ("Great pay & 401(k) match", "USD", "yr"), ("Up to 15% bonus", "USD", "yr"), ("$13.75", None, None), ("13.75", None, "hr"), (None, "USD", "yr"), ("", "USD", "yr"), ("$$$", "USD", "yr"))],
 ]
 
@@ -46,7 +49,7 @@ def test_empty_and_unknown_currency(spark):
 
 def test_segmentation_prefers_the_field():
     assert [p[1] for p in segment("h", {"time": 1.5, "money": 0.2})] == ["hour"]
-    assert [p[0] for p in segment("12k/yr", {"money": 1, "time": 1, "scale": 1, "joint": 1})] == ["number", "scale", "time"]
+    assert [p[0] for p in segment("12k/yr", {"money": 1, "time": 1, "scale": 1, "joint": 1})] == ["number", "scale", "joint", "time"]
 
 
 @pytest.mark.parametrize(("number", "scaled", "mark"), [("80.500", False, None), ("13.85", False, "."), ("13,2", False, ","), ("1.234,56", False, ","), ("1,234.5", False, "."), ("1,80,000", False, None), ("2.125", True, "."), ("7", False, None)])
