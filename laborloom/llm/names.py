@@ -1,4 +1,8 @@
-"""Variant spellings of names: a trie join over sharded tries, with Levenshtein automata and any order of words."""
+"""Variant spellings of names: a trie join over sharded tries, with Levenshtein automata, then orders of words.
+
+Every order of a family name's words is an entry of the tries, and the order written is looked up, so that a match within the
+bound is the check of permutations.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, spread, table
 from .automata import Trie
-from .stream import classes, groups
+from .stream import groups
 
 # Legal forms and words that name no employer.
 LEGAL = frozenset("llc inc incorporated corp corporation co company ltd limited lp llp plc gmbh ag sa group grp the and of hiring regional reg".split())
@@ -112,10 +117,10 @@ def read_name(name: str, places: frozenset[str]) -> dict:
     letters = "".join(w[0] for w in kept) if len(kept) > 2 else ""
     if not family and given and not kinds:
         family, given = [given], None
-    return {"given": given or initial or "", "family": "".join(family), "trade": " ".join(sorted(kinds)), "initials": letters, "note": notes[0] if notes else ""}
+    return {"given": given or initial or "", "family": "".join(family), "forms": orders(family), "trade": " ".join(sorted(kinds)), "initials": letters, "note": notes[0] if notes else ""}
 
 
-PARTS = "value string, given string, family string, trade string, initials string, note string"
+PARTS = "value string, given string, family string, trade string, initials string, note string, forms array<string>"
 
 
 def parse_names(values: DataFrame, places: frozenset[str]) -> DataFrame:
@@ -124,47 +129,82 @@ def parse_names(values: DataFrame, places: frozenset[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [read_name(v, places) for v in pdf["value"]]
-            yield pd.DataFrame([[v, *(r[k] for k in ("given", "family", "trade", "initials", "note"))] for v, r in zip(pdf["value"], rows)], columns=[c.split()[0] for c in PARTS.split(", ")])
+            yield pd.DataFrame([[v, *(r[k] for k in ("given", "family", "trade", "initials", "note", "forms"))] for v, r in zip(pdf["value"], rows)], columns=[c.split()[0] for c in PARTS.split(", ")])
 
     return spread(values.select("value").filter(F.col("value").isNotNull()).distinct(), "value", per_core=1).mapInPandas(run, PARTS)
 
 
 def bound(word: str) -> int:
-    """Edits allowed between two family names: none below five letters, else one."""
-    return 0 if len(word) < 5 else 1
+    """Edits allowed between two family names: none below five letters, one below ten, else two."""
+    return 0 if len(word) < 5 else 1 if len(word) < 10 else 2
 
 
-def shards_of(word: str) -> list[tuple[str, bool, bool]]:
-    """(shard, as an entry, as a query) of a word: halves of which one survives a single edit.
+def cuts_of(n: int, d: int) -> list[tuple[int, int]]:
+    """The d + 1 pieces of n letters, of which one survives d edits."""
+    at = [n * i // (d + 1) for i in range(d + 2)]
+    return list(zip(at, at[1:]))
 
-    An entry of n letters is in the shards of its two halves. A word one edit away has one of the halves, at most one
-    place further, so a query looks there, for each length that is one edit away.
-    """
+
+def as_entry(word: str) -> Iterator[str]:
+    """The shards that a word is in: one for each of its pieces, for each bound that a query for it may have."""
     n = len(word)
-    out: dict[str, list[bool]] = {}
-    h = n // 2
-    for part, side in ((word[:h], 0), (word[h:], 1)):
-        out.setdefault(f"{n}/{side}/{part}", [False, False])[0] = True
-    if bound(word):  # two letters swapped across the middle change both halves, so look where the swap undone would be
-        undone = word[: h - 1] + word[h] + word[h - 1] + word[h + 1 :]
-        out.setdefault(f"{n}/0/{undone[:h]}", [False, False])[1] = True
-    for m in (n - 1, n, n + 1) if bound(word) else (n,):
-        g = m // 2
-        out.setdefault(f"{m}/0/{word[:g]}", [False, False])[1] = True
-        out.setdefault(f"{m}/1/{word[n - (m - g) :] if m - g <= n else word}", [False, False])[1] = True
-    return [(k, e, q) for k, (e, q) in out.items()]
+    for d in sorted({bound("x" * m) for m in range(max(n - 2, 0), n + 3)}):
+        for i, (a, b) in enumerate(cuts_of(n, d)):
+            yield f"{n}/{d}/{i}/{word[a:b]}"
+
+
+def as_query(word: str) -> Iterator[str]:
+    """The shards in which an entry within bound(word) edits is, for each length that it may have.
+
+    A piece that no edit touches stands in the word at most as many places to the side as there are edits before it, seen from
+    either end. Two letters swapped across a cut touch both pieces, so the word is also cut with that swap undone.
+    """
+    d, size = bound(word), len(word)
+    for n in range(max(size - d, 1), size + d + 1):
+        pieces = cuts_of(n, d)
+        for i, (a, b) in enumerate(pieces):
+            for shift in range(-d, d + 1):
+                left, right = abs(shift), abs(shift - (size - n))
+                if left > i or right > d - i or not 0 <= a + shift <= b + shift <= size:
+                    continue
+                for swap_left in (False, True) if d else (False,):
+                    for swap_right in (False, True) if d else (False,):
+                        w, x, y = list(word), a + shift, b + shift
+                        if swap_left and not (0 < x < size) or swap_right and not (0 < y < size) or swap_left + swap_right > d:
+                            continue
+                        if swap_left:
+                            w[x - 1], w[x] = w[x], w[x - 1]
+                        if swap_right:
+                            w[y - 1], w[y] = w[y], w[y - 1]
+                        yield f"{n}/{d}/{i}/{''.join(w[x:y])}"
+
+
+def orders(words: list[str]) -> list[str]:
+    """The words put together in every order, the written one first; of more than four, in every rotation, forwards and back."""
+    if len(words) <= 4:
+        return list(dict.fromkeys("".join(p) for p in permutations(words)))
+    turns = [words[i:] + words[:i] for i in range(len(words))]
+    return list(dict.fromkeys("".join(p) for p in [*turns, *(t[::-1] for t in turns), sorted(words)]))
 
 
 def trie_join(words: DataFrame) -> DataFrame:
-    """(block, a, b, distance) for all a < b of one block within bound() edits; `words` has distinct (block, word).
+    """(block, a, b, distance) for all different a, b of one block within bound() edits, a < b.
 
-    The shards of a block, by halves of words, are spread over the cluster, so that a block with a third of all
-    words is many small tries. In each the queries walk the trie with a Levenshtein automaton.
+    `words` has distinct (block, word), and may say by `entry` and `query` which words are looked up in which; a pair is
+    found from the side that queries. The shards of a block, by pieces of words, are spread over the cluster, so that a block
+    with a third of all words is many small tries. In each the queries walk the trie with a Levenshtein automaton.
     """
+    if "query" not in words.columns:
+        words = words.withColumn("entry", F.lit(True)).withColumn("query", F.lit(True))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(f"{b}|{k}", b, w, e, q) for b, w in zip(pdf["block"], pdf["word"]) for k, e, q in shards_of(w)]
+            rows = []
+            for b, w, e, q in zip(pdf["block"], pdf["word"], pdf["entry"], pdf["query"]):
+                mine = dict.fromkeys(as_entry(w) if e else (), (True, False))
+                for k in as_query(w) if q else ():
+                    mine[k] = (k in mine and mine[k][0], True)
+                rows += [(f"{b}|{k}", b, w, x, y) for k, (x, y) in mine.items()]
             yield pd.DataFrame(rows, columns=["shard", "block", "word", "entry", "query"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,34 +217,76 @@ def trie_join(words: DataFrame) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["block", "a", "b", "distance"])
 
-    sharded = words.select("block", "word").mapInPandas(emit, "shard string, block string, word string, entry boolean, query boolean")
+    sharded = words.select("block", "word", "entry", "query").mapInPandas(emit, "shard string, block string, word string, entry boolean, query boolean")
     found = spread(sharded, "shard", per_core=1).sortWithinPartitions("shard").mapInPandas(search, "block string, a string, b string, distance int")
     return found.groupBy("block", "a", "b").agg(F.min("distance").alias("distance"))
 
 
+def near_nodes(nodes: DataFrame) -> DataFrame:
+    """(a, b, distance) for the nodes (block, node, forms) of one block of which the written form of one is within bound()
+    edits of some order of the other's words. `forms` has the written form first."""
+    each = nodes.select("block", "node", F.posexplode("forms").alias("at", "word"))
+    each = materialize(each.withColumn("query", F.col("at") == 0).drop("at"), "forms")
+    words = each.groupBy("block", "word").agg(F.lit(True).alias("entry"), F.max("query").alias("query"))
+    found = trie_join(words)
+    side = each.select("block", "word", F.col("node"), F.col("query").alias("written"))
+    x, y = (side.select("block", F.col("word").alias(w), F.col("node").alias(f"n{w}"), F.col("written").alias(f"w{w}")) for w in "ab")
+    pairs = found.join(x, ["block", "a"]).join(y, ["block", "b"]).filter("(wa OR wb) AND na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "distance")
+    # the same words in another order: all nodes of a form with the least one of them
+    first = each.groupBy("block", "word").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    same = each.join(first, ["block", "word"]).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.lit(0).alias("distance"))
+    return pairs.union(same).groupBy("a", "b").agg(F.min("distance").alias("distance"))
+
+
+def led(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) for nodes (node, weight): each node follows the heaviest of its neighbours, if that is heavier than itself.
+
+    A node whose leader follows another one follows it too only where the two are neighbours themselves, else it
+    stands alone, so that a chain of single edits never joins names that are far apart. Ties go to the smaller node.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    weight = nodes.select(F.col("node").alias("b"), F.struct("weight", F.hash("node").alias("h"), "node").alias("rank"))
+    own = nodes.select("node", F.struct("weight", F.hash("node").alias("h"), "node").alias("own"))
+    best = both.join(weight, "b").groupBy(F.col("a").alias("node")).agg(F.max("rank").alias("best"))
+    up = own.join(best, "node", "left").select("node", F.when(F.col("best") > F.col("own"), F.col("best.node")).alias("up"))
+    up = materialize(up, "leaders")
+    heads = up.filter("up IS NULL").select(F.col("node").alias("b"))
+    # the heaviest neighbour that follows none
+    heads = both.join(heads, "b").join(weight, "b").groupBy(F.col("a").alias("node")).agg(F.max("rank").alias("head"))
+    return up.join(heads, "node", "left").select("node", F.when(F.col("up").isNull(), F.col("node")).otherwise(F.coalesce("head.node", "node")).alias("root"))
+
+
 def link_names(values: DataFrame, places: frozenset[str] = frozenset()) -> DataFrame:
     """(value, employer) for each distinct value in column `value`: values of one employer share a number.
 
-    Same employer: the same trade and a family name within one edit, whatever the order, legal form, branch or given
-    name. A value without a trade belongs to the one employer whose family name is nearest, if there is only one;
+    Same employer: the same trade and a family name within bound() edits in any order of its words, whatever the order of
+    the rest, legal form or branch. Names that share these but have different given names are different employers; one
+    with an initial then belongs to the one given name that it may stand for, and one without a given name to none. A
+    spelling belongs to the commonest one near it, so that chains of edits don't join names that are far apart.
+    A value without a trade belongs to the one employer whose family name is nearest, if there is only one;
     one that is another's initials belongs to that one, if there is only one. Nulls are left out; values of which
     nothing is left, such as "LLC", are linked with the values of the same letters only.
     """
     parts = parse_names(values, places)
     lone = F.when(F.col("family") == "", F.concat(F.lit("="), F.lower("value"))).otherwise(F.col("family"))
-    parts = parts.withColumn("family", lone).withColumn("node", F.concat_ws("|", "trade", "family"))
+    forms = F.when(F.col("family") == "", F.array(lone)).otherwise(F.col("forms"))
+    parts = parts.withColumn("forms", forms).withColumn("family", lone).withColumn("node", F.concat_ws("|", "trade", "family"))
     parts = materialize(parts, "names")
-    nodes = parts.select("trade", "family", "node").distinct()
-    near = trie_join(nodes.select(F.col("trade").alias("block"), F.col("family").alias("word")))
-    edges = near.select(F.concat_ws("|", "block", "a").alias("a"), F.concat_ws("|", "block", "b").alias("b"))
-    roots = classes(edges)
-    nodes = materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "employers")
+    nodes = parts.groupBy("trade", "family", "node").agg(F.count(F.lit(1)).alias("weight"), F.flatten(F.collect_set("forms")).alias("forms"))
+    # the written form stays the first
+    nodes = nodes.withColumn("forms", F.array_distinct(F.concat(F.array("family"), "forms")))
+    nodes = materialize(nodes, "nodes")
+    edges = materialize(near_nodes(nodes.select(F.col("trade").alias("block"), "node", "forms")), "edges")
+    roots = led(nodes.select("node", "weight"), edges)
+    nodes = materialize(nodes.join(roots, "node").select("trade", "family", "node", "root"), "employers")
     # values without a trade, and initials
     bare = nodes.filter("trade = ''").select(F.col("root").alias("bare"), "family")
     full = nodes.filter("trade <> ''").select("root", F.col("family").alias("other"))
-    all_families = nodes.select(F.lit("").alias("block"), F.col("family").alias("word")).distinct()
-    every = materialize(trie_join(all_families), "families")
-    sides = every.select("a", "b", "distance").union(every.select("b", "a", "distance")).union(all_families.select(F.col("word").alias("a"), F.col("word").alias("b"), F.lit(0).alias("distance")))
+    lone_families, families = bare.select("family").distinct(), full.select(F.col("other").alias("family")).distinct()
+    sides_of = families.withColumn("entry", F.lit(True)).withColumn("query", F.lit(False)).union(lone_families.withColumn("entry", F.lit(False)).withColumn("query", F.lit(True)))
+    sides_of = sides_of.groupBy("family").agg(F.max("entry").alias("entry"), F.max("query").alias("query"))
+    every = materialize(trie_join(sides_of.select(F.lit("").alias("block"), F.col("family").alias("word"), "entry", "query")), "families")
+    sides = every.select("a", "b", "distance").union(every.select("b", "a", "distance")).union(lone_families.select(F.col("family").alias("a"), F.col("family").alias("b"), F.lit(0).alias("distance")))
     votes = bare.join(sides, bare["family"] == sides["a"]).join(full, F.col("b") == full["other"]).groupBy("bare", "root").agg(F.min("distance").alias("d"))
     short = parts.filter("trade = '' AND length(family) BETWEEN 2 AND 6").select(F.col("family").alias("key"), "node").distinct().join(nodes.select("node", F.col("root").alias("bare")), "node")
     letters = parts.filter("trade <> ''").select(F.explode(F.array("initials", "note")).alias("key"), "node").filter("length(key) >= 3").distinct()
@@ -214,7 +296,12 @@ def link_names(values: DataFrame, places: frozenset[str] = frozenset()) -> DataF
     best = votes.groupBy("bare").agg(F.min("d").alias("d"))
     sole = votes.join(best, ["bare", "d"]).select("bare", "root").distinct().groupBy("bare").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("to")).filter("n = 1").select(F.col("bare").alias("root"), "to")
     owner = nodes.join(sole, "root", "left").select("node", F.coalesce("to", "root").alias("employer"))
-    return parts.join(owner, "node").select("value", "employer")
+    linked = materialize(parts.join(owner, "node").select("value", "employer", "given"), "linked")
+    # given names tell employers apart where one family and trade has several
+    named = linked.filter("length(given) > 1").groupBy("employer").agg(F.collect_set("given").alias("all")).filter("size(all) > 1")
+    fits = F.filter("all", lambda g: (g == F.col("given")) | ((F.length("given") == 1) & g.startswith(F.col("given"))))
+    own = F.when((F.col("given") != "") & (F.size(fits) == 1), F.concat_ws("|", "employer", F.get(fits, F.lit(0))))
+    return linked.join(named, "employer", "left").select("value", F.coalesce(F.when(F.col("all").isNotNull(), own), F.col("employer")).alias("employer"))
 
 
 def places_of(rows: DataFrame, column: str, most: int = 100_000) -> frozenset[str]:
