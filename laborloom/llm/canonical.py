@@ -1,4 +1,7 @@
-"""Mapping free-entered values to a canonical list: a trie of entries and aliases, searched with an automaton."""
+"""Mapping free-entered values to a canonical list: a trie of entries and alias paths, searched with a Levenshtein automaton.
+
+The search gives every entry within a distance that depends on the value's length; which of them a value means is chosen after.
+"""
 
 from __future__ import annotations
 
@@ -12,26 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.labels import EMPLOYMENT, EXPERIENCE
 from ..runtime import spread, table
 from .automata import Trie
 
-# The project's alias map of employment types.
-EMPLOYMENT_ALIASES = {
-    "full_time": "full-time full_time fulltime ft permanent",
-    "part_time": "part-time part_time parttime pt intermittent",
-    "contract": "contract contractor freelance",
-    "temporary": "temporary temp term seasonal",
-    "internship": "internship intern",
-}
-# The project's alias map of seniority.
-SENIORITY_ALIASES = {
-    "intern": "INTERNSHIP INTERN",
-    "junior": "ENTRY_LEVEL ENTRY JUNIOR ASSOCIATE",
-    "mid": "MID_LEVEL MID MID_SENIOR_LEVEL",
-    "senior": "SENIOR_LEVEL SENIOR",
-    "lead": "LEAD PRINCIPAL STAFF",
-    "executive": "EXECUTIVE DIRECTOR VP C_SUITE CEO CTO",
-}
 #: Further ways to say an entry, in English, German and Spanish; of titles, what no rule below derives.
 MORE = {
     "employment_type": {
@@ -155,22 +142,32 @@ def written(entry: str) -> set[str]:
     return out
 
 
-def build_trie(field: str, entries: Iterable[tuple[int, str]]) -> tuple[Trie, dict[str, int]]:
-    """A trie of the field's entries with all alias paths, and the map of words that decide alone."""
+#: Aliases: (field, alias, canonical entry, decides alone).
+Alias = tuple[str, str, str, bool]
+
+
+def own_aliases() -> list[Alias]:
+    """The aliases of this project's lists: those of the alias maps of types and levels decide alone."""
+    out = [(f, a.replace("_", " "), name, True) for f, own in (("employment_type", EMPLOYMENT), ("experience_level", EXPERIENCE)) for name, aliases in own.items() for a in aliases]
+    return out + [(f, a, name, False) for f, entries in MORE.items() for name, aliases in entries.items() for a in aliases.split("|")]
+
+
+def build_trie(field: str, entries: Iterable[tuple[int, str]], aliases: Iterable[Alias]) -> tuple[Trie, dict[str, int]]:
+    """A trie of the field's entries with all alias paths, and the map of words that decide alone. Aliases of entries that the
+    list doesn't have are left out."""
     by_name = {name: vid for vid, name in entries}
     trie, fixed = Trie(), {}
-    own = {"employment_type": EMPLOYMENT_ALIASES, "experience_level": SENIORITY_ALIASES}.get(field, {})
-    for name, aliases in own.items():
-        for a in aliases.split():
-            if name in by_name:
-                fixed[fold(a.replace("_", " "))] = by_name[name]
-    for name, vid in by_name.items():
-        words = {fold(name.replace("_", " "))} | {fold(a) for a in MORE.get(field, {}).get(name, "").split("|") if a}
-        for w in words:
+    words: dict[str, set[str]] = {name: {fold(name.replace("_", " "))} for name in by_name}
+    for f, alias, name, alone in aliases:
+        if f != field or name not in by_name:
+            continue
+        if alone:
+            fixed[fold(alias)] = by_name[name]
+        words[name].add(fold(alias))
+    for name, forms in words.items():
+        for w in forms:
             for form in written(w) if field == "title" else {w}:
-                trie.add(form, vid)
-    for word, vid in fixed.items():
-        trie.add(word, vid)
+                trie.add(form, by_name[name])
     return trie, fixed
 
 
@@ -220,58 +217,79 @@ def neighbours(core: str, trie: Trie) -> list[tuple[int, int]]:
     return sorted((d, vid) for vid, d in best.items())
 
 
+#: A value's candidates: rank (0 is what the value means), entry, distance, and the part of the value that is near it.
+Candidate = tuple[int, int, int, str]
+
+
 class Matcher:
-    """Finds a value's entry; remembers cores, as many values share one."""
+    """Finds all entries near a value; remembers cores, as many values share one."""
 
-    def __init__(self, lists: dict[str, list[tuple[int, str]]]) -> None:
-        self.tries = {f: build_trie(f, e) for f, e in lists.items()}
-        self.find = lru_cache(200_000)(self._find)
+    def __init__(self, lists: dict[str, list[tuple[int, str]]], aliases: list[Alias] | None = None) -> None:
+        aliases = own_aliases() if aliases is None else aliases
+        self.tries = {f: build_trie(f, e, aliases) for f, e in lists.items()}
+        self.find = lru_cache(200_000)(lambda field, core: neighbours(core, self.tries[field][0]))
 
-    def _find(self, field: str, core: str) -> tuple[int, int] | None:
-        near = neighbours(core, self.tries[field][0])
-        return near[0] if near else None
+    def candidates(self, field: str, value: str) -> list[Candidate]:
+        """Every entry within bound() edits of some core of the value, once, the best first.
 
-    def match(self, field: str, value: str) -> int:
-        """The entry's id, or 0. The fullest core with an exact entry wins, else the nearest entry of any core, the
-        fuller core and then the smaller id first."""
+        The fullest core that decides alone or is an entry wins; then the entry of the least distance for its core's length,
+        so that a short word beside the title doesn't beat the title; then the fuller core and the smaller id.
+        """
         if field not in self.tries:
-            return 0
-        all_cores = list(dict.fromkeys(c for c in cores(value, field) if c))
+            return []
         trie, fixed = self.tries[field]
-        for core in all_cores:
-            if core in fixed:
-                return fixed[core]
-            if hits := trie.exact(core):
-                return min(hits)
-        best = None
-        for k, core in enumerate(all_cores):
-            hit = self.find(field, core)
-            if hit and (best is None or (hit[0], k) < best[:2]):
-                best = (hit[0], k, hit[1])
-        return best[2] if best else 0
-
-
-def map_values(values: DataFrame, canonical: DataFrame) -> DataFrame:
-    """(field_name, value, value_id) for each distinct (field_name, value); 0 where no entry fits.
-
-    `canonical` (value_id, field_name, canonical) is the reference list. It goes to every task, so its size is
-    checked: beyond 100,000 entries this raises, as such a list needs to be sharded. Nulls are left out; an empty
-    text fits no entry.
+        best: dict[int, tuple] = {}
+        for k, core in enumerate(dict.fromkeys(c for c in cores(value, field) if c)):
+            found = [(0, fixed[core])] if core in fixed else [(0, v) for v in sorted(trie.exact(core))]
+            sure = bool(found)
+            found += [x for x in self.find(field, core) if x not in found]
+            for d, vid in found:
+                order = (0, k, vid) if sure and d == 0 else (1, d / len(core), k, vid)
+                if vid not in best or order < best[vid][0]:
+                    best[vid] = (order, d, core)
+        return [(rank, vid, d, core) for rank, (vid, (_, d, core)) in enumerate(sorted(best.items(), key=lambda x: x[1][0]))]
+
+    def match(self, field: str, value: str) -> int:
+        """The id of the entry that the value means, or 0."""
+        found = self.candidates(field, value)
+        return found[0][1] if found else 0
+
+
+CANDIDATES = "field_name string, value string, rank int, value_id long, distance int, part string"
+
+
+def near_entries(values: DataFrame, canonical: DataFrame, aliases: DataFrame | None = None, most: int = 100_000) -> DataFrame:
+    """CANDIDATES rows: for each distinct (field_name, value) every entry within the distance, rank 0 being the one it means.
+
+    `canonical` (value_id, field_name, canonical) is the reference list; `aliases` (field_name, alias, canonical, alone) are
+    other ways to say an entry, by default this project's own. Both go to every task, so their size is checked: beyond
+    `most` rows this raises, as such a list needs to be sharded. Nulls are left out; a value that no entry is near has one row,
+    without an entry, as has an empty text.
     """
-    rows = canonical.select("value_id", "field_name", "canonical").dropna().limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("the reference list has more than 100,000 entries")
+
+    def bounded(df: DataFrame, what: str) -> list:
+        rows = df.dropna().limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} {what}")
+        return sorted(tuple(r) for r in rows)
+
     lists: dict[str, list[tuple[int, str]]] = {}
-    for r in sorted(rows):
-        lists.setdefault(r["field_name"], []).append((r["value_id"], r["canonical"]))
+    for vid, field, name in bounded(canonical.select("value_id", "field_name", "canonical"), "entries"):
+        lists.setdefault(field, []).append((vid, name))
+    others = None if aliases is None else bounded(aliases.select("field_name", "alias", "canonical", "alone"), "aliases")
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Matcher(lists)
+        m = Matcher(lists, others)
         for pdf in batches:
-            pdf["value_id"] = [m.match(f, v) for f, v in zip(pdf["field_name"], pdf["value"])]
-            yield pdf.astype({"value_id": "int64"})
+            rows = [(f, v, *c) for f, v in zip(pdf["field_name"], pdf["value"]) for c in (m.candidates(f, v) or [(0, None, None, None)])]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATES.split(", ")]).astype({"rank": "int32", "value_id": "Int64", "distance": "Int32"})
+
+    return spread(values.select("field_name", "value").dropna().distinct(), "value").mapInPandas(match, CANDIDATES)
+
 
-    return spread(values.select("field_name", "value").dropna().distinct(), "value").mapInPandas(match, "field_name string, value string, value_id long")
+def map_values(values: DataFrame, canonical: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(field_name, value, value_id) for each distinct (field_name, value), chosen from near_entries(); 0 where no entry fits."""
+    return near_entries(values, canonical, aliases).filter("rank = 0").select("field_name", "value", F.coalesce("value_id", F.lit(0)).cast("long").alias("value_id"))
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:

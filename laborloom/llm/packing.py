@@ -11,13 +11,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, spread, table
+from ..runtime import materialize, parts_for, scanned, table
 from .stream import groups
 
-#: The tokenizer's file; pieces that may be in one window; how a window's attention cost (the sum of its pieces'
-#: squared lengths) is bounded, as a share of the square of its capacity; weights of the three residuals.
+#: The tokenizer's file, which every executor needs in the same place, as it does the module that reads it.
 TOKENIZER = os.environ.get("LABORLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
-MOST_PIECES, COST, WEIGHTS = 256, 1.0, (1.0, 0.02, 0.05)
+#: A window takes one piece for so many of its tokens, a few at least. Attention is computed in tiles of TILE tokens on a side
+#: (a 16th of short windows), each piece's own square, so a piece costs its length in whole tiles, squared; a window may cost
+#: what one piece that fills it costs.
+PER_PIECE, FEW, TILE = 32, 4, 32
+#: Weights of what is left of tokens, pieces and cost.
+WEIGHTS = (1.0, 0.02, 0.05)
 #: Pieces of one shard, which one task packs.
 SHARD = 20_000
 
@@ -43,25 +47,39 @@ def count_tokens(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["text"]]}).astype({"doc_id": "int64", "n_tokens": "int64"})
 
-    return spread(docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()), "doc_id").mapInPandas(run, "doc_id long, n_tokens long")
+    return scanned(docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())).mapInPandas(run, "doc_id long, n_tokens long")
 
 
-def best_fit(sizes: np.ndarray, capacity: int, most: int = MOST_PIECES, cost: float = COST, weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
+def most_pieces(capacity: int) -> int:
+    """How many pieces a window takes."""
+    return max(FEW, capacity // PER_PIECE)
+
+
+def cost_of(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The attention cost of pieces in windows of this capacity, in tokens squared."""
+    tile = max(1, min(TILE, capacity // 16))
+    return (np.ceil(np.asarray(sizes, float) / tile) * tile) ** 2
+
+
+def best_fit(sizes: np.ndarray, capacity: int, most: int | None = None, cost: float | None = None, weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
     """The window of each piece, for pieces in any order, none longer than the capacity.
 
+    `most` pieces and `cost` are the window's other capacities, by default most_pieces() and what one full piece costs.
     The longest piece goes first. Of the open windows with room in all three dimensions (tokens, pieces, cost), it
     gets the one whose weighted residual norm is least after it is in; ties go to the older window. A window closes
     when it is full. Pieces of no tokens only take a place.
     """
     order = np.lexsort((np.arange(len(sizes)), -sizes))
     out = np.empty(len(sizes), np.int64)
-    room = np.array([capacity, most, cost * capacity**2], float)
+    room = np.array([capacity, most_pieces(capacity) if most is None else most, cost_of(capacity, capacity) if cost is None else cost], float)
+    each = cost_of(sizes, capacity)
     wt, wp, wc = (w / r**2 for w, r in zip(weights, room))
     tokens, places, costs, number = (np.zeros(1024) for _ in range(4))
     n = made = 0
+    cheapest = each.min() if len(each) else 0.0
     for i in order:
         s = float(sizes[i])
-        c = s * s
+        c = each[i]
         if n:
             t, p, a = tokens[:n] - s, places[:n] - 1, costs[:n] - c
             norm = np.where((t >= 0) & (p >= 0) & (a >= 0), wt * t * t + wp * p * p + wc * a * a, np.inf)
@@ -69,16 +87,16 @@ def best_fit(sizes: np.ndarray, capacity: int, most: int = MOST_PIECES, cost: fl
         if n and norm[k] < np.inf:
             tokens[k], places[k], costs[k] = t[k], p[k], a[k]
             out[i] = number[k]
-            if tokens[k] <= 0 and s > 0 or places[k] <= 0:
+            if (tokens[k] <= 0 and s > 0) or places[k] <= 0 or costs[k] < cheapest:
                 n -= 1
                 for x in (tokens, places, costs, number):
                     x[k:n] = x[k + 1 : n + 1]
         else:
             out[i] = made
-            if s < capacity:
+            if s < capacity and room[1] > 1 and room[2] - c >= cheapest:
                 if n == len(tokens):
                     tokens, places, costs, number = (np.append(x, np.zeros(n)) for x in (tokens, places, costs, number))
-                tokens[n], places[n], costs[n], number[n] = capacity - s, most - 1, room[2] - c, made
+                tokens[n], places[n], costs[n], number[n] = capacity - s, room[1] - 1, room[2] - c, made
                 n += 1
             made += 1
     return out
@@ -97,20 +115,21 @@ def pack(counted: DataFrame, capacity: int, shard: int = SHARD) -> DataFrame:
     """(window_id, doc_id, part, start_token, n_tokens) for every piece of `counted` (doc_id, n_tokens), repeated rows
     taken once.
 
-    Pieces are spread by hash over shards of about `shard` pieces, each packed in one task; full pieces need no
-    packing. A shard leaves a few windows with room, so the loss is a few windows in thousands. A window's number is
+    Pieces are spread by hash over shards of about `shard` pieces, each packed in one task, those of a long document too. A shard leaves a few windows with room, so the loss is a few windows in thousands. A window's number is
     the shard's and its own within the shard.
     """
-    pieces = pieces_of(counted.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens")), capacity)
-    shards = max(1, -(-counted.count() // shard))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    counted = counted.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
+    pieces = pieces_of(counted, capacity)
+    number = counted.agg(F.sum(F.greatest(F.ceil(F.col("n_tokens") / capacity), F.lit(1)))).first()[0] or 0
+    shards = max(1, -(-int(number) // shard))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part"), F.lit(shards)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, g in groups(batches, "shard"):
             g = g.sort_values(["doc_id", "part"], ignore_index=True)
             yield g.assign(window_id=best_fit(g["n_tokens"].to_numpy(), capacity) + int(key) * 2**32)[["window_id", "doc_id", "part", "start_token", "n_tokens"]]
 
-    n = max(1, min(shards, 3 * counted.sparkSession.sparkContext.defaultParallelism))
+    n = max(1, min(shards, parts_for(counted)))
     return pieces.repartition(n, "shard").sortWithinPartitions("shard").mapInPandas(run, "window_id long, doc_id long, part long, start_token long, n_tokens long")
 
 

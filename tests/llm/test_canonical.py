@@ -2,7 +2,7 @@ import itertools
 import random
 
 from laborloom.llm.automata import Trie, damerau
-from laborloom.llm.canonical import Matcher, bound, map_values, p7_found
+from laborloom.llm.canonical import Matcher, bound, map_values, near_entries, p7_found
 from tests.llm.tables import folder
 
 ENTRIES = [(1, "title", "Registered Nurse"), (2, "title", "Data Engineer"), (3, "title", "Cook"), (4, "title", "Warehouse Manager"), (5, "title", "Security Guard"), (61, "employment_type", "full_time"), (63, "employment_type", "contract"), (67, "experience_level", "junior"), (68, "experience_level", "mid"), (70, "experience_level", "lead")]
@@ -49,6 +49,22 @@ def test_automaton_against_matrix():
     assert [bound("x" * n) for n in (3, 4, 8, 9)] == [0, 1, 1, 2]
 
 
-def test_every_near_entry_is_returned():
-    m = Matcher({"title": [(1, "Cook"), (2, "Book")]})
+def test_every_near_entry_is_returned(spark):
+    m = Matcher({"title": [(1, "Cook"), (2, "Book"), (3, "Cooker")]})
     assert m.match("title", "Cook") == 1 and m.match("title", "Hook") == 1
+    values = spark.createDataFrame([("title", "Hook"), ("title", "Cook"), ("title", "Zzzz")], "field_name string, value string")
+    entries = spark.createDataFrame([(1, "title", "Cook"), (2, "title", "Book"), (3, "title", "Cooker")], "value_id long, field_name string, canonical string")
+    got = sorted(tuple(r) for r in near_entries(values, entries).select("value", "rank", "value_id", "distance").collect())
+    assert got == [("Cook", 0, 1, 0), ("Cook", 1, 2, 1), ("Hook", 0, 1, 1), ("Hook", 1, 2, 1), ("Zzzz", 0, None, None)]
+
+
+def test_a_near_short_word_does_not_beat_the_title():
+    m = Matcher({"title": [(1, "Cook"), (2, "Forklift Operator")]})
+    assert m.match("title", "Forklfit Opertor - Kochi") == 2 and m.match("title", "Kochi") == 1
+
+
+def test_aliases_are_an_argument(spark):
+    values = spark.createDataFrame([("colour", "crimsonn"), ("colour", "navy"), ("colour", "rd")], "field_name string, value string")
+    entries = spark.createDataFrame([(1, "colour", "red"), (2, "colour", "blue")], "value_id long, field_name string, canonical string")
+    aliases = spark.createDataFrame([("colour", "crimson", "red", False), ("colour", "navy", "blue", True), ("colour", "teal", "green", False)], "field_name string, alias string, canonical string, alone boolean")
+    assert {(r["value"], r["value_id"]) for r in map_values(values, entries, aliases).collect()} == {("crimsonn", 1), ("navy", 2), ("rd", 0)}

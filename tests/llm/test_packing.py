@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from laborloom.llm.packing import best_fit, count_tokens, encoder, p8_windows, pack
+from laborloom.llm.packing import best_fit, cost_of, count_tokens, encoder, most_pieces, p8_windows, pack
 from tests.llm.tables import folder
 
 
@@ -15,9 +15,34 @@ def test_constraints_and_fill(seed):
     load, count = np.bincount(w, sizes), np.bincount(w)
     assert load.max() <= 512 and count.max() <= 20 and count.min() >= 1
     assert len(load) <= np.ceil(sizes.sum() / 512) * 1.03 + 1  # the last windows are full of short pieces by their number
-    assert best_fit(sizes, 512, most=10_000).max() + 1 <= np.ceil(sizes.sum() / 512) * 1.005 + 1
-    w = best_fit(sizes, 512, cost=0.25)
-    assert np.bincount(w, sizes.astype(float) ** 2)[np.bincount(w) > 1].max() <= 0.25 * 512**2
+    assert best_fit(sizes, 512, most=10_000, cost=1e9).max() + 1 <= np.ceil(sizes.sum() / 512) * 1.005 + 1
+    w = best_fit(sizes, 512, cost=0.25 * 512**2)
+    assert np.bincount(w, cost_of(sizes, 512))[np.bincount(w) > 1].max() <= 0.25 * 512**2
+
+
+def test_every_capacity_binds():
+    # a piece that takes all tiles leaves no room for the cost of another, though tokens and number would fit
+    assert best_fit(np.array([481, 31]), 512).max() == 1 and best_fit(np.array([480, 32]), 512).max() == 0
+    assert np.bincount(best_fit(np.full(9, 161), 512, cost=2.9 * cost_of(161, 512))).max() == 2
+    # many tiny pieces with a tile as small as they are: their number binds
+    many = best_fit(np.full(64, 2), 512, cost=1e9)
+    assert np.bincount(many).max() == most_pieces(512) == 16
+    # pieces of whole tiles: tokens bind
+    assert np.bincount(best_fit(np.full(12, 128), 512)).tolist() == [4, 4, 4]
+
+
+def test_production_windows_keep_all_capacities(spark, tmp_path):
+    rng = random.Random(6)
+    docs = [(i, "word " * rng.choice([3, 20, 60, 200, 600])) for i in range(500)]
+    path = folder(spark, tmp_path, documents=docs, context_windows=[("a", 512), ("b", 2048)])
+    windows, full = {}, {"a": 512, "b": 2048}
+    for r in p8_windows(spark, path).collect():
+        windows.setdefault((r["window_name"], r["window_id"]), []).append(r["n_tokens"])
+    for (name, _), sizes in windows.items():
+        assert sum(sizes) <= full[name] and len(sizes) <= most_pieces(full[name]) and cost_of(sizes, full[name]).sum() <= cost_of(full[name], full[name])
+    for name, capacity in full.items():
+        used = [sum(s) for (n, _), s in windows.items() if n == name]
+        assert sum(used) >= 0.95 * capacity * (len(used) - 1)
 
 
 def test_ties_and_nothing():
