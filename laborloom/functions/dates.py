@@ -48,6 +48,14 @@ def freshness(days: Column) -> Column:
     return F.when(days <= FRESH_DAYS, "fresh").when(days <= STALE_DAYS, "stale").when(days.isNotNull(), "expired")
 
 
+def seen_span(first: Column, last: Column, age_days: Column, now: Column) -> Column:
+    """struct(first_seen, last_seen, duration_days): a missing end is `now`, a missing start the end less the age in days."""
+    age = F.greatest(F.coalesce(age_days, F.lit(0)), F.lit(0))
+    end = F.coalesce(last, now)
+    start = F.coalesce(first, end - F.make_dt_interval(age))
+    return F.struct(start.alias("first_seen"), end.alias("last_seen"), whole_days(start, end).alias("duration_days"))
+
+
 def trajectory(delta: Column) -> Column:
     return F.when(delta > 0, "rising").when(delta < 0, "declining").otherwise("stable")
 

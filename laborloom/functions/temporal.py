@@ -1,8 +1,14 @@
-"""Reading timestamps written in many forms, all in built-in expressions."""
+"""Reading timestamps written in many forms.
+
+A text's *shape*, the text with its digits masked, says how to read it. read_shape() tells for a shape where the year, the
+month and so on stand; instant_of() then takes them from the text in built-in expressions.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Month names of English, German, Spanish and French, by their first letters or in full.
@@ -32,81 +38,94 @@ ZONE_MINUTES = {
 AGE_UNITS = {"s": 1_000, "min": 60_000, "h": 3_600_000, "d": 86_400_000, "w": 604_800_000}
 
 _MONTH = "|".join(sorted({w for ws in MONTHS.values() for w in ws.split()}, key=lambda w: (-len(w), w)))
+_MONTH_OF = {w: m for m, ws in MONTHS.items() for w in ws.split()}
 _ABBR = "|".join(sorted(ZONE_MINUTES, key=lambda w: (-len(w), w)))
-_ZONE = rf"(?: ?((?:utc|gmt)?[+-]\d{{1,2}}(?::?\d{{2}})?|{_ABBR})(?:\[[^\]]*\])?)?"
-_TIME = r"(?:[ t,]+(?:at )?(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?: ?([ap])\.?m\.?)?"
-_DAY = r"(?:[\p{L}]{2,10}\.?,? )?"
+_TIME = rf"(?:[ t,]+(?:at )?(?P<h>9{{1,2}}):(?P<mi>99)(?::(?P<s>99)(?:[.,](?P<f>9{{1,9}}))?)?(?: ?(?P<half>[ap])\.?m\.?)?(?: ?(?:(?:utc|gmt)?(?P<sign>[+-])(?P<zh>9{{1,2}}?)(?P<colon>:?)(?P<zm>99)?|(?P<abbr>{_ABBR}))(?:\[[^\]]*\])?)?)?$"
+_DAY = r"(?:[^\W\d_]{2,10}\.?,? )?"
+_FORMS = [
+    re.compile(p + _TIME)
+    for p in (
+        r"(?P<y>9999)[-/](?P<mo>99?)[-/](?P<d>99?)",
+        rf"{_DAY}(?P<d>99?)(?:st|nd|rd|th|\.)?(?: de)? (?P<name>{_MONTH})\.?(?: de)?,? (?P<y>9999)",
+        rf"{_DAY}(?P<name>{_MONTH})\.? (?P<d>99?)(?:st|nd|rd|th)?,? (?P<y>9999)",
+        r"(?P<d>99?)(?P<part>[/.-])(?P<mo>99?)(?P=part)(?P<y>9999|99)",
+    )
+]
+_AGE = re.compile(r"(?:posted )?9{1,6} ?(s|secs?|seconds?|m|mins?|minutes?|h|hrs?|hours?|d|days?|w|wks?|weeks?) ago$")
+_AGE_TEXT = r"^(?:posted )?\d{1,6} ?(s|secs?|seconds?|m|mins?|minutes?|h|hrs?|hours?|d|days?|w|wks?|weeks?) ago$"
 
-#: Each form, and how its groups become y|m|d|h|min|s|fraction|a or p|zone.
-_FORMS = (
-    (rf"^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}}){_TIME}{_ZONE})?$", "$1|$2|$3|$4|$5|$6|$7|$8|$9"),
-    (rf"^{_DAY}(\d{{1,2}})(?:st|nd|rd|th|\.)?(?: de)? ({_MONTH})\.?(?: de)?,? (\d{{4}}){_TIME}{_ZONE})?$", "$3|$2|$1|$4|$5|$6|$7|$8|$9"),
-    (rf"^{_DAY}({_MONTH})\.? (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}}){_TIME}{_ZONE})?$", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
-)
-_NUMERIC = rf"^(\d{{1,2}})([/.-])(\d{{1,2}})\2(\d{{4}}|\d{{2}}){_TIME}{_ZONE})?$"
-_AGE = r"^(?:posted )?(\d{1,6}) ?(s|secs?|seconds?|m|mins?|minutes?|h|hrs?|hours?|d|days?|w|wks?|weeks?) ago$"
-_EPOCH = r"^\d{10}$|^\d{13}$"
+#: What read_shape() tells. y to f, zh and zm are indices among the text's numbers, of a date and an offset that it states.
+SHAPE = {
+    "kind": "string", "y": "int", "mo": "int", "d": "int", "h": "int", "mi": "int", "s": "int", "f": "int", "month": "int", "either": "boolean", "short": "boolean", "half": "string",
+    "sign": "int", "zh": "int", "zm": "int", "packed": "boolean", "minutes": "int", "unit": "long",
+}
 
 
-def _lookup(values: dict, key: Column) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
+def plain_time(raw: Column) -> Column:
+    """The text in small letters with single blanks inside and none around."""
+    return F.lower(F.trim(F.regexp_replace(raw, r"[\s  ]+", " ")))
+
+
+def time_shape(raw: Column) -> Column:
+    """The text as plain_time() gives it, with each digit replaced by 9."""
+    return F.regexp_replace(plain_time(raw), "[0-9]", "9")
 
 
 def is_age(raw: Column) -> Column:
     """True where the text is an age such as "3 days ago"."""
-    return F.lower(F.trim(raw)).rlike(_AGE)
+    return F.lower(F.trim(raw)).rlike(_AGE_TEXT)
 
 
-def with_instant(df: DataFrame, raw: str, zone: str, order: str, ms: str, age_ms: str | None = None) -> DataFrame:
-    """Add `ms`, the milliseconds since 1970 that the text in column `raw` states, null where it states none.
+def read_shape(shape: str) -> dict:
+    """SHAPE's fields for a text of this shape; `kind` is date, epoch, age, or null where it states no time.
 
-    `zone` names the column with the IANA zone of texts without one, `order` the column with "mdy" or "dmy" for
-    dates in numbers. A local time that occurs twice means the first; one that was skipped is read with the offset
-    before the change. Digits beyond milliseconds are cut. With `age_ms`, that column gets the age of texts like
-    "3 days ago" (null otherwise). Null, empty and unreadable texts and impossible dates give nulls; a text without
-    a zone gives null if `zone` is null.
+    `either` is true for dates in numbers, of which the source says whether the day or the month is first; `packed` for
+    offsets such as +0530.
     """
-    x = lambda c: f"__t_{c}"
-    out = df.withColumn(x("s"), F.lower(F.trim(F.regexp_replace(F.col(raw), r"[\s  ]+", " "))))
-    s = F.col(x("s"))
-    canonical = F.when(s.rlike(_EPOCH), F.lit(None))
-    for form, groups in _FORMS:
-        canonical = canonical.when(s.rlike(form), F.regexp_replace(s, form, groups))
-    year = "$4|"
-    canonical = canonical.when(
-        s.rlike(_NUMERIC),
-        F.when(F.coalesce(F.col(order), F.lit("")).isin("dmy") | s.rlike(r"^\d{1,2}\."), F.regexp_replace(s, _NUMERIC, year + "$3|$1|$5|$6|$7|$8|$9|$10")).otherwise(
-            F.regexp_replace(s, _NUMERIC, year + "$1|$3|$5|$6|$7|$8|$9|$10")
-        ),
-    )
-    out = out.withColumn(x("p"), F.split(canonical, r"\|", -1))
-    p = lambda i: F.get(F.col(x("p")), F.lit(i))
-    num = lambda i: F.coalesce(p(i).try_cast("int"), F.when(F.col(x("p")).isNotNull(), F.lit(0)))
-    month = F.coalesce(p(1).try_cast("int"), _lookup({w: m for m, ws in MONTHS.items() for w in ws.split()}, p(1)))
-    y = p(0).try_cast("int")
-    hour = (
-        F.when(p(7) == "", num(3))
-        .when(~num(3).between(1, 12), F.lit(None).cast("int"))
-        .otherwise(F.pmod(num(3), F.lit(12)) + F.when(p(7) == "p", 12).otherwise(0))
-    )
-    out = out.withColumn(
-        x("local"), F.try_make_timestamp(F.when(F.length(p(0)) == 2, y + 2000).when(y > 0, y), month, p(2).try_cast("int"), hour, num(4), num(5).cast("decimal(8,6)"))
-    )
-    z = F.regexp_replace(p(8), r"^(utc|gmt)(?=[+-])", "")
-    signed = F.regexp_extract(z, r"^([+-])(\d{1,2}):?(\d{2})?$", 2)
-    minutes = F.when(
-        signed != "",
-        F.when(z.startswith("-"), F.lit(-1)).otherwise(F.lit(1)) * (signed.cast("int") * 60 + F.coalesce(F.regexp_extract(z, r"^([+-])(\d{1,2}):?(\d{2})?$", 3).try_cast("int"), F.lit(0))),
-    ).otherwise(_lookup(ZONE_MINUTES, z))
-    fraction = F.coalesce(F.rpad(F.substring(p(6), 1, 3), 3, "0").try_cast("long"), F.lit(0))
-    utc = F.when(minutes.isNotNull(), F.unix_millis(F.col(x("local"))) - minutes * 60_000).otherwise(F.unix_millis(F.to_utc_timestamp(F.col(x("local")), F.col(zone))))
-    epoch = s.try_cast("long") * F.when(F.length(s) == 10, 1000).otherwise(1)
-    out = out.withColumn(ms, F.when(s.rlike(_EPOCH), epoch).otherwise(utc + fraction))
-    if age_ms:
-        unit = F.regexp_extract(s, _AGE, 2)
-        length = (
-            F.when(unit.startswith("s"), AGE_UNITS["s"]).when(unit.startswith("m"), AGE_UNITS["min"]).when(unit.startswith("h"), AGE_UNITS["h"])
-            .when(unit.startswith("d"), AGE_UNITS["d"]).otherwise(AGE_UNITS["w"])
-        )
-        out = out.withColumn(age_ms, F.when(s.rlike(_AGE), F.regexp_extract(s, _AGE, 1).try_cast("long") * length))
-    return out.drop(x("s"), x("p"), x("local"))
+    out: dict = dict.fromkeys(SHAPE)
+    if re.fullmatch("9{10}|9{13}", shape):
+        return out | {"kind": "epoch", "unit": 1000 if len(shape) == 10 else 1}
+    if age := _AGE.match(shape):
+        u = age[1]
+        unit = AGE_UNITS["s" if u[0] == "s" else "min" if u[0] == "m" else u[0]]
+        return out | {"kind": "age", "unit": unit}
+    number = {m.start(): i for i, m in enumerate(re.finditer("9+", shape))}
+    for form in _FORMS:
+        m = form.match(shape)
+        if not m:
+            continue
+        g = m.groupdict()
+        at = {k: number[m.start(k)] for k in ("y", "mo", "d", "h", "mi", "s", "f", "zh") if g.get(k)}
+        out |= {"kind": "date", **at, "half": g["half"], "short": len(g["y"]) == 2, "either": g.get("part") in ("/", "-"), "month": _MONTH_OF[g["name"]] if g.get("name") else None}
+        if g["sign"]:
+            out |= {"sign": -1 if g["sign"] == "-" else 1, "zm": number[m.start("zm")] if g["zm"] and g["colon"] else None, "packed": bool(g["zm"] and not g["colon"])}
+        elif g["abbr"]:
+            out |= {"minutes": ZONE_MINUTES[g["abbr"]]}
+        return out
+    return out
+
+
+def instant_of(raw: Column, shape: Column, zone: Column, order: Column) -> tuple[Column, Column]:
+    """(milliseconds since 1970 that the text states, milliseconds of the age that it is), null where it states none.
+
+    `shape` is a struct of SHAPE's fields for the text. `zone` is the IANA zone of texts without one, `order` is "mdy" or "dmy"
+    for dates in numbers. A local time that occurs twice means the first; one that was skipped is read with the offset
+    before the change. Digits beyond milliseconds are cut. Impossible dates give nulls; a text without a zone gives
+    null if `zone` is null.
+    """
+    numbers = F.regexp_extract_all(plain_time(raw), F.lit("([0-9]+)"), F.lit(1))
+    text = lambda k: F.get(numbers, shape[k])
+    num = lambda k: text(k).try_cast("int")
+    part = lambda k: F.when(shape[k].isNull(), 0).otherwise(num(k))
+    year = num("y") + F.when(shape["short"], 2000).otherwise(0)
+    swap = shape["either"] & (F.coalesce(order, F.lit("")) != "dmy")
+    month = F.coalesce(shape["month"], F.when(swap, num("d")).otherwise(num("mo")))
+    day = F.when(swap, num("mo")).otherwise(num("d"))
+    hour = F.when(shape["half"].isNull(), part("h")).when(num("h").between(1, 12), F.pmod(num("h"), F.lit(12)) + F.when(shape["half"] == "p", 12).otherwise(0))
+    local = F.try_make_timestamp(F.when(year > 0, year), month, day, hour, part("mi"), part("s").cast("decimal(8,6)"))
+    offset = F.when(shape["packed"], F.floor(num("zh") / 100) * 60 + num("zh") % 100).otherwise(num("zh") * 60 + F.when(shape["zm"].isNull(), 0).otherwise(num("zm")))
+    minutes = F.coalesce(shape["minutes"], shape["sign"] * offset)
+    fraction = F.when(shape["f"].isNull(), 0).otherwise(F.rpad(F.substring(text("f"), 1, 3), 3, "0").try_cast("int"))
+    stated = F.when(minutes.isNotNull(), F.unix_millis(local) - minutes * 60_000).otherwise(F.unix_millis(F.to_utc_timestamp(local, zone))) + fraction
+    first = F.get(numbers, F.lit(0)).try_cast("long") * shape["unit"]
+    return F.when(shape["kind"] == "epoch", first).when(shape["kind"] == "date", stated).cast("long"), F.when(shape["kind"] == "age", first)

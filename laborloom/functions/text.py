@@ -101,6 +101,23 @@ def cluster_text(title: Column, sections: dict[str, Column]) -> Column:
     return F.concat_ws(" | ", *parts)
 
 
+def json_array(value: Column) -> Column:
+    """The items of a JSON array as texts, null for any other JSON value."""
+    return F.when(F.ltrim(value).startswith("["), F.from_json(value, "array<string>"))
+
+
+def clean_location(place: Column) -> Column:
+    """The place squeezed, empty for null; "Remote - Remote" and what follows it is "Remote"."""
+    s = squeeze(F.coalesce(place, F.lit("")))
+    return F.when(F.lower(s).startswith("remote - remote"), "Remote").otherwise(s)
+
+
+def flat_corpus(*lists: Column) -> Column:
+    """The texts of all lists with blanks between; null lists and blank texts are left out."""
+    every = F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists])
+    return F.trim(F.array_join(F.filter(every, lambda x: F.trim(x) != ""), " "))
+
+
 def any_like(columns: list[Column], terms: list[str], most: int) -> Column:
     """True where one of the columns contains one of the first `most` terms, whatever the case; wildcards in terms
     keep their meaning."""

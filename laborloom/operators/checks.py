@@ -31,6 +31,25 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return child.filter(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias("__p")), F.col(child_key) == F.col("__p"), "left_anti")
 
 
+def alignment(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:
+    """One row: keys of both sides, keys of `a` that `b` lacks, and keys of `b` that `a` lacks."""
+    j = a.select(F.col(a_key).alias("x")).distinct().join(b.select(F.col(b_key).alias("y")).distinct(), F.col("x") == F.col("y"), "full")
+    return j.agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("aligned"), F.count_if(F.col("y").isNull()).alias("missing"), F.count_if(F.col("x").isNull()).alias("orphans"))
+
+
+def cluster_sizes(df: DataFrame, key: str) -> DataFrame:
+    """(bucket, clusters, n_rows): how many keys have one row, two, up to five, or more; null keys are left out."""
+    n = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    bucket = F.when(F.col("n") == 1, "1").when(F.col("n") == 2, "2").when(F.col("n") <= 5, "3-5").otherwise("6+")
+    return n.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("n_rows"))
+
+
+def missing_rate(df: DataFrame, group: str, column: str, limit: float) -> DataFrame:
+    """(group, n, share, alert): the share of rows without a value, and whether it is above the limit."""
+    share = F.count_if(F.col(column).isNull()) / F.count(F.lit(1))
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.round(share, 6).alias("share"), (share > limit).alias("alert"))
+
+
 def fan_out(child: DataFrame, key: str) -> DataFrame:
     """One row: keys, rows, the mean and largest number of rows of a key, and rows beyond the first of each key."""
     per = child.groupBy(key).agg(F.count(F.lit(1)).alias("c"))

@@ -38,6 +38,22 @@ def enough_new(df: DataFrame, created: str, watermark, least: int = 50) -> bool:
     return fresh.limit(least).count() >= least
 
 
+def new_since(df: DataFrame, created: str, watermark, tier: str | None = None, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Rows newer than the watermark (all, if there is none) whose tier is not excluded; a null tier passes."""
+    out = df.filter(F.col(created) > F.lit(watermark).cast("timestamp")) if watermark is not None else df
+    return without_values(out, tier, excluded) if tier else out
+
+
+def past_grace(df: DataFrame, created: str, now, minutes: int) -> DataFrame:
+    """Rows created more than so many minutes before `now`, a column."""
+    return df.filter(F.col(created) < now - F.expr(f"interval {minutes} minutes"))
+
+
+def without_values(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
+    """Rows whose column has none of the values; nulls pass."""
+    return df.filter(F.col(column).isNull() | ~F.col(column).isin(*values)) if values else df
+
+
 def entitled(df: DataFrame, column: str, allowed: list[str] | None) -> DataFrame:
     """Rows of the places that a tenant may see; None is all."""
     return df if allowed is None else df.filter(F.col(column).isin(*allowed)) if allowed else df.filter(F.lit(False))

@@ -153,6 +153,28 @@ def catalog_candidates(df: DataFrame, key: str, title: str, catalog: DataFrame,
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
+def first_code(df: DataFrame, keys: list[Column], known: DataFrame, columns: list[str], code: str) -> DataFrame:
+    """Add `code`: the smallest code that `known` (columns, code) has for the row's keys, or null."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    t = known.select(*[F.col(c).alias(n) for c, n in zip(columns, names)], F.col(code).alias("__code")).dropna().groupBy(*names).agg(F.min("__code").alias(code))
+    return df.drop(code).withColumns(dict(zip(names, keys))).join(t, names, "left").drop(*names)
+
+
+def substring_candidates(df: DataFrame, key: str, title: str, catalog: DataFrame, code: str, label: str, top: int = 15, letters: int = 4) -> DataFrame:
+    """(key, code, score, rank): entries whose label has words of the title in it anywhere, the most words first, then the
+    shorter label, then by code; the best `top`. Words have `letters` letters or more.
+
+    A word in a label begins with some `letters` letters of it, so the two are joined on these, and the rest is compared.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower(title), "[^a-z]+"), lambda w: F.length(w) >= letters))
+    rows = df.select(key, F.explode(words).alias("w")).withColumn("g", F.substring("w", 1, letters))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(label) - (letters - 1), F.lit(1))), lambda i: F.substring(F.lower(label), i, letters)))
+    entries = catalog.select(code, F.lower(label).alias("__l"), F.explode(grams).alias("g"))
+    hits = rows.join(entries, "g").filter(F.col("__l").contains(F.col("w"))).groupBy(key, code).agg(F.count(F.lit(1)).alias("score"), F.first(F.length("__l")).alias("__size"))
+    order = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("__size"), F.asc(code))
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).drop("__size")
+
+
 def first_theme(df: DataFrame, text: str, themes: list[tuple[str, str]]) -> DataFrame:
     """Add theme: the first of (name, pattern) that the text contains, whatever the case, or null."""
     out = F.lit(None).cast("string")

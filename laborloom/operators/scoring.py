@@ -72,6 +72,12 @@ def geometric(parts: list[Column]) -> Column:
     return F.when(low, 0.0).otherwise(F.pow(product, 1.0 / len(parts)))
 
 
+def divergence(a: DataFrame, b: DataFrame, ids: DataFrame, a_key: str, b_key: str, a_score: str, b_score: str) -> DataFrame:
+    """(a_key, b_key, both scores, delta): scores of two raters whose items a map of ids (a_key, b_key) matches."""
+    j = a.join(ids, a_key).join(b, b_key)
+    return j.select(a_key, b_key, a_score, b_score, F.round(F.abs(F.col(a_score) - F.col(b_score)), 6).alias("delta"))
+
+
 def gaps(df: DataFrame, a: str, b: str) -> DataFrame:
     """(step, n): how often two scores differ by so many tenths."""
     d = F.floor(F.round(F.abs(F.col(a) - F.col(b)) * 10, 6)).cast("long")

@@ -19,15 +19,22 @@ NEAR, WINDOW_DAYS = 0.92, 30
 MOST_QUERIES = 10_000
 
 
-def earlier_neighbours(df: DataFrame, block: str, key: str, ts: str, vector: str, days: int = WINDOW_DAYS) -> DataFrame:
-    """(key, other, similarity): rows of one block with an earlier one of the last `days` (the first day included, the
-    row's own instant not). Rows are bucketed by date, so that a block is many small joins and no pair is met twice."""
-    v = df.select(block, F.col(key).alias("key"), F.col(ts).alias("ts"), unit(F.col(vector)).alias("v"))
+def earlier_in_window(df: DataFrame, block: str, key: str, ts: str, days: int = WINDOW_DAYS, more: tuple[str, ...] = ()) -> DataFrame:
+    """(block, key, ts, other, other_ts, and the columns `more` of both, the other's as other_...): rows of one block with an earlier one
+    of the last `days` (the first day included, the row's own instant not). Rows are bucketed by date, so that a block is
+    many small joins and no pair is met twice."""
+    v = df.select(block, F.col(key).alias("key"), F.col(ts).alias("ts"), *more)
     bucket = F.floor(F.unix_timestamp("ts") / (86400 * days))
     a = v.withColumn("bucket", bucket)
-    b = v.select(F.col(block), F.col("key").alias("other"), F.col("ts").alias("other_ts"), F.col("v").alias("other_v"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
-    near = a.join(b, [block, "bucket"]).filter((F.col("other_ts") < F.col("ts")) & (F.col("other_ts") >= F.col("ts") - F.expr(f"interval {days} days")) & (F.col("key") != F.col("other")))
-    return near.select("key", "other", "other_ts", dot(F.col("v"), F.col("other_v")).alias("similarity"))
+    b = v.select(F.col(block), F.col("key").alias("other"), F.col("ts").alias("other_ts"), *[F.col(c).alias(f"other_{c}") for c in more], F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+    near = (F.col("other_ts") < F.col("ts")) & (F.col("other_ts") >= F.col("ts") - F.expr(f"interval {days} days")) & (F.col("key") != F.col("other"))
+    return a.join(b, [block, "bucket"]).filter(near).drop("bucket")
+
+
+def earlier_neighbours(df: DataFrame, block: str, key: str, ts: str, vector: str, days: int = WINDOW_DAYS) -> DataFrame:
+    """(key, other, other_ts, similarity) of the pairs of earlier_in_window()."""
+    near = earlier_in_window(df.withColumn("__v", unit(F.col(vector))), block, key, ts, days, ("__v",))
+    return near.select("key", "other", "other_ts", dot(F.col("__v"), F.col("other___v")).alias("similarity"))
 
 
 def nearest_earlier(pairs: DataFrame, threshold: float = NEAR) -> DataFrame:

@@ -1,14 +1,25 @@
-"""Mixed timestamp formats and time zones: a dictionary of distinct texts, parsed once, joined back to the rows."""
+"""Mixed timestamp formats and time zones: a dictionary of distinct forms, parsed once, kept, joined back to the rows.
+
+Nearly every text is different from all others, but for its digits there are few. So the dictionary's keys are the texts
+with their digits masked; a key is parsed exhaustively once, and the rows' own digits, source zone and order of day and month
+fill it in.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.temporal import is_age, with_instant
-from ..runtime import table
+from ..functions.temporal import SHAPE, instant_of, is_age, read_shape, time_shape
+from ..runtime import shared_dir, spread, table
 
-KEY = ["raw", "zone", "date_order"]
+#: The dictionary's columns, and the version of how shapes are read, which is part of a store's name.
+COLUMNS, VERSION = "shape string, " + ", ".join(f"{k} {t}" for k, t in SHAPE.items()), 1
+_NUMPY = {"int": "Int32", "long": "Int64", "boolean": "boolean", "string": "object"}
 
 
 def posting_times(spark: SparkSession, root: str) -> DataFrame:
@@ -27,45 +38,66 @@ def posting_times(spark: SparkSession, root: str) -> DataFrame:
     return wide.select("job_id", F.explode(pair).alias("x")).select("job_id", "x.*").filter(F.col("raw").isNotNull())
 
 
-def parse_dictionary(texts: DataFrame) -> DataFrame:
-    """(raw, zone, date_order, ms, age_ms) for rows with the first three columns; an empty zone is no zone."""
-    out = texts.withColumn("__z", F.when(F.col("zone") != "", F.col("zone")))
-    return with_instant(out, "raw", "__z", "date_order", "ms", "age_ms").select(*KEY, "ms", "age_ms")
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = pd.DataFrame([{"shape": s, **read_shape(s)} for s in pdf["shape"]], columns=["shape", *SHAPE])
+        yield rows.astype({k: _NUMPY[t] for k, t in SHAPE.items()})
 
 
-def instant_dictionary(rows: DataFrame, store: str | None = None) -> DataFrame:
-    """The dictionary of all distinct (raw, zone, date_order) in `rows`.
+def shape_dictionary(rows: DataFrame, columns: list[str], store: str | None = None) -> DataFrame:
+    """COLUMNS rows: how to read every distinct shape of the texts in `columns`. Nulls are left out.
 
-    With `store`, a folder of Parquet files, only texts that it lacks are parsed, and appended to it; the whole
-    store is returned. Rows with a null in the key are left out.
+    With `store`, a folder of Parquet files, only shapes that it lacks are parsed, and appended to it; the whole store is
+    returned. Two writers at a time may both append a shape; as both read it alike, one is returned.
     """
-    texts = rows.select(*KEY).dropna().distinct()
+    shapes = reduce(DataFrame.union, [rows.select(time_shape(F.col(c)).alias("shape")) for c in columns]).dropna().distinct()
+    parse = lambda df: spread(df, "shape", per_core=1).mapInPandas(_read, COLUMNS)
     if store is None:
-        return parse_dictionary(texts)
+        return parse(shapes)
     spark = rows.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(store)
-    known = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    fresh = texts.join(spark.read.parquet(store), KEY, "left_anti") if known else texts
-    parse_dictionary(fresh).write.mode("append").parquet(store)
-    return spark.read.parquet(store)
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    fresh = shapes.join(spark.read.schema(COLUMNS).parquet(store), "shape", "left_anti") if known else shapes
+    parse(fresh).write.mode("append").parquet(store)
+    return spark.read.schema(COLUMNS).parquet(store).dropDuplicates(["shape"])
+
+
+def own_store(spark: SparkSession) -> str:
+    """The dictionary that this library's queries keep in the shared folder."""
+    return f"{shared_dir(spark)}/laborloom/time-shapes-{VERSION}"
+
+
+def with_instant(df: DataFrame, raw: str, zone: str, order: str, ms: str, age_ms: str | None = None, dictionary: DataFrame | None = None) -> DataFrame:
+    """Add `ms`, the instant in milliseconds that the text in column `raw` states, null where it states none, as instant_of() says.
+
+    `zone` and `order` name columns; with `age_ms`, that column gets the age of texts like "3 days ago" (null otherwise). Null,
+    empty and unreadable texts give nulls; all rows and their other columns are kept. A shape that a third of all rows have makes
+    only the rows' side of the join skewed; AQE broadcasts the small dictionary or splits that side.
+    """
+    d = shape_dictionary(df, [raw]) if dictionary is None else dictionary
+    d = d.select(F.col("shape").alias("__shape"), F.struct(*SHAPE).alias("__how"))
+    out = df.withColumn("__shape", time_shape(F.col(raw))).join(d, "__shape", "left")
+    at, age = instant_of(F.col(raw), F.col("__how"), F.col(zone), F.col(order))
+    out = out.withColumn(ms, at)
+    return (out.withColumn(age_ms, age) if age_ms else out).drop("__shape", "__how")
 
 
 def normalise_times(rows: DataFrame, store: str | None = None) -> DataFrame:
     """Add `utc_ms` to rows with raw, zone, date_order and base: the instant, or null where the text states none.
 
     An age counts back from the instant in `base` (UTC where `base` names no zone). Null or repeated rows stay as
-    they are; other columns are kept. The dictionary has each text once, so a text that holds a third of all rows
-    only makes the side of the rows skewed, which AQE splits.
+    they are; other columns are kept. The texts in `raw` and `base` are read by one dictionary; an empty zone is no zone.
     """
-    spare = [c for c in ("ms", "age_ms", "utc_ms") if c in rows.columns]
+    spare = [c for c in ("utc_ms",) if c in rows.columns]
     rows = rows.drop(*spare)
-    joined = rows.join(instant_dictionary(rows, store), KEY, "left")
-    joined = joined.withColumn("__utc", F.lit("UTC"))
-    joined = with_instant(joined, "base", "__utc", "date_order", "__base_ms")
-    return joined.withColumn("utc_ms", F.coalesce("ms", F.col("__base_ms") - F.col("age_ms"))).drop("ms", "age_ms", "__utc", "__base_ms")
+    d = shape_dictionary(rows, ["raw", "base"], store)
+    out = rows.withColumn("__zone", F.when(F.col("zone") != "", F.col("zone"))).withColumn("__utc", F.lit("UTC"))
+    out = with_instant(out, "raw", "__zone", "date_order", "__ms", "__age", d)
+    out = with_instant(out, "base", "__utc", "date_order", "__base", dictionary=d)
+    return out.withColumn("utc_ms", F.coalesce("__ms", F.col("__base") - F.col("__age"))).drop("__zone", "__utc", "__ms", "__age", "__base")
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Every time text of `job_records` that states a real point in time, as one UTC instant."""
-    found = normalise_times(posting_times(spark, root))
+    found = normalise_times(posting_times(spark, root), own_store(spark))
     return found.filter(F.col("utc_ms").isNotNull()).select("job_id", "field_name", "utc_ms")

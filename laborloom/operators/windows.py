@@ -24,6 +24,11 @@ def top_n(df: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= n)
 
 
+def ranked(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
+    """All rows with their `rank` within `by`."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def share_of_total(df: DataFrame, value: str, *by: str) -> Column:
     """The value's share of its partition's total; null where the total is zero."""
     return F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(*by)))

@@ -266,12 +266,21 @@ def spam_tiers(spark, root):
     return jr.groupBy(labels.spam_tier(F.col("score"))["tier"].alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_QUALITY = f"""WITH t AS (SELECT job_id, trim(coalesce(title, '')) AS ti, trim(coalesce(description, '')) AS de, lower(concat_ws(' ', title, description)) AS corpus, [x FOR x IN regexp_extract_all(lower(concat_ws(' ', title, description)), '[a-z0-9]+') IF length(x) >= 2] AS w FROM job_records),
+u AS (SELECT *, len(w) AS n, len(list_distinct(w)) / greatest(len(w), 1) AS ratio, [x FOR x IN regexp_split_to_array(de, '\\r?\\n') IF trim(x) <> ''] AS lines FROM t),
+c AS (SELECT *, 0.28 * least(1, length(ti) / 24.0) + 0.42 * least(1, length(de) / 1400.0) AS complete, least(1, n / 90.0) * 0.45 + least(1, ratio / 0.55) * 0.55 AS base, len([x FOR x IN lines IF regexp_matches(x, '^\\s*([-*•]|\\d+[.)])\\s+\\S')]) AS items,
+len([x FOR x IN w IF x IN ({', '.join(repr(x) for x in labels.TECH_WORDS if ' ' not in x)})]) + {' + '.join(f"(CASE WHEN contains(' ' || corpus || ' ', '{x}') THEN 1 ELSE 0 END)" for x in labels.TECH_WORDS if ' ' in x)} AS hits FROM u),
+s AS (SELECT job_id, complete, CASE WHEN n = 0 THEN 0 WHEN n < 8 THEN 0.25 + n / 8.0 * 0.45 ELSE least(1, CASE WHEN n > 12 AND ratio < 0.28 THEN base * 0.75 ELSE base END) END AS clear, least(1, 0.58 + 0.42 * least(1, hits * 2.5 / greatest(n, 1))) AS ai,
+CASE WHEN de = '' THEN 0 ELSE least(1, CASE WHEN len(lines) >= 5 THEN 0.38 WHEN len(lines) >= 3 THEN 0.26 WHEN len(lines) >= 2 THEN 0.16 ELSE 0 END + CASE WHEN items >= 3 THEN 0.34 WHEN items >= 1 THEN 0.20 ELSE 0 END
++ CASE WHEN regexp_matches(lower(de), '\\b(responsibilities|qualifications|requirements|what you will|who you are|benefits|about (the )?role|skills required)\\b') THEN 0.28 ELSE 0 END) END AS struct FROM c)
+SELECT job_id, round(1e-7 + CAST(complete AS DOUBLE), 5) AS completeness, round(1e-7 + CAST(clear AS DOUBLE), 5) AS clarity, round(1e-7 + CAST(ai AS DOUBLE), 5) AS tech_density, round(1e-7 + CAST(struct AS DOUBLE), 5) AS structure, round(1e-7 + CAST(0.30 * complete + 0.30 * clear + 0.10 * ai + 0.30 * struct AS DOUBLE), 5) AS quality FROM s"""
+
+
+@query(_QUALITY)
 def quality_scores(spark, root):
     jr = table(spark, root, "job_records")
-    corpus = F.concat_ws(" ", "title", "description")
-    c, cl, st = labels.completeness(F.col("title"), F.col("description"), F.lit(0)), labels.clarity(corpus), labels.structure(F.col("description"))
-    return jr.select("job_id", F.round(c, 6).alias("completeness"), F.round(cl, 6).alias("clarity"), F.round(st, 6).alias("structure"), F.round((c + cl + st) / 3, 6).alias("quality"))
+    parts = labels.quality(F.col("title"), F.col("description"), F.lit(0), F.lit(False))
+    return jr.select("job_id", *[F.round(parts[c] + 1e-7, 5).alias(c) for c in ("completeness", "clarity", "tech_density", "structure", "quality")])
 
 
 @query("""SELECT filled, count(*) AS n FROM (SELECT CASE WHEN trim(salary_raw) <> '' THEN 1 ELSE 0 END + CASE WHEN trim(city) <> '' THEN 1 ELSE 0 END + CASE WHEN trim(state) <> '' THEN 1 ELSE 0 END + CASE WHEN trim(country) <> '' THEN 1 ELSE 0 END + CASE WHEN trim(description) <> '' THEN 1 ELSE 0 END AS filled FROM job_records) GROUP BY 1""")
@@ -298,7 +307,10 @@ def freshness_buckets(spark, root):
     return table(spark, root, "orders").groupBy(dates.freshness(days).alias("freshness")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_SIGNALS = " UNION ALL ".join(f"SELECT job_id, '{f}' AS family, unnest(regexp_extract_all(lower(coalesce(description, '')), '({p})', 1)) AS signal, {c} AS confidence FROM job_records" for f, (p, c) in mentions.CONTEXT.items())
+
+
+@query(f"SELECT job_id, family, signal, count(*) AS n, CAST(confidence AS DOUBLE) AS confidence FROM ({_SIGNALS}) GROUP BY ALL")
 def context_signals(spark, root):
     return mentions.context_signals(table(spark, root, "job_records"), "job_id", "description")
 
@@ -369,7 +381,9 @@ def location_cascade(spark, root):
     return matching.cascade_lookup(jr, [(F.concat(F.lower("city"), F.lit(","), F.lower("state")), both), (F.lower("city"), city)]).select("job_id", F.coalesce("step", F.lit(0)).alias("step"), "found")
 
 
-@query()
+@query("""WITH w AS (SELECT DISTINCT title, unnest(list_slice(list_distinct_ordered, 1, 4)) AS w FROM (SELECT title, [x FOR x, i IN l IF length(x) >= 4 AND list_position(l, x) = i] AS list_distinct_ordered FROM (SELECT DISTINCT title, regexp_split_to_array(lower(title), '[^\\p{L}]+') AS l FROM job_records WHERE title IS NOT NULL))),
+e AS (SELECT value_id, lower(canonical) AS l, unnest(list_distinct(regexp_split_to_array(lower(canonical), '[^\\p{L}]+'))) AS w FROM canonical_values WHERE field_name = 'title'), h AS (SELECT title, value_id, CAST(sum(CASE WHEN starts_with(l, w) THEN 2 ELSE 1 END) AS BIGINT) AS score FROM w JOIN e USING (w) GROUP BY ALL)
+SELECT title, value_id, score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY score DESC, value_id) AS rn FROM h) WHERE rn <= 5""")
 def catalog_candidates(spark, root):
     titles = table(spark, root, "job_records").select("title").dropna().distinct()
     codes = table(spark, root, "canonical_values").filter("field_name = 'title'")
@@ -473,7 +487,10 @@ def metric_means(spark, root):
     return li.unpivot("l_returnflag", ["discount", "tax", "quantity"], "metric", "v").groupBy("l_returnflag", "metric").agg(F.round(F.avg("v"), 6).alias("mean_value"))
 
 
-@query()
+@query("""WITH e AS (SELECT DISTINCT ON (id) * FROM extracted_intelligence ORDER BY id), k AS (SELECT normalized_job_id, id, extracted_at, list_distinct([lower(trim(coalesce(s.skill_name, s.label))) FOR s IN coalesce(skills, []) IF trim(coalesce(s.skill_name, s.label, '')) <> '']) AS l FROM e WHERE normalized_job_id IS NOT NULL AND NOT coalesce(extraction_failed, false)),
+r AS (SELECT normalized_job_id, l AS now, row_number() OVER w AS rn, lead(l) OVER w AS before FROM k WINDOW w AS (PARTITION BY normalized_job_id ORDER BY extracted_at DESC NULLS LAST, id DESC)), c AS (SELECT *, len(list_intersect(now, before)) AS tp, len(now) AS a, len(before) AS b FROM r WHERE rn = 1 AND before IS NOT NULL),
+p AS (SELECT normalized_job_id, CASE WHEN a + b = 0 THEN 1.0 ELSE coalesce(tp / nullif(a, 0), 0) END AS p, CASE WHEN a + b = 0 THEN 1.0 ELSE coalesce(tp / nullif(b, 0), 0) END AS r FROM c)
+SELECT normalized_job_id, round(CAST(p AS DOUBLE), 6) AS precision_, round(CAST(r AS DOUBLE), 6) AS recall_, round(CAST(coalesce(2 * p * r / nullif(p + r, 0), 0) AS DOUBLE), 6) AS f1 FROM p""")
 def extraction_set_scores(spark, root):
     """Skills of a posting's latest run against those of the run before."""
     e = table(spark, root, "extracted_intelligence").dropDuplicates(["id"]).filter("normalized_job_id IS NOT NULL AND NOT coalesce(extraction_failed, false)")

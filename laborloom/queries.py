@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .operators.timestamps import p4_found
 from .operators.units import p2_found
-from .plans import aggregates, records, router
+from .plans import aggregates, measures, records, router
 
 
 def dates_as_text(f):
@@ -27,5 +27,5 @@ def sql_dates_as_text(sql: str) -> str:
 
 
 _WEEKS = ("skill_demand_weekly", "tool_demand_weekly", "geo_demand_weekly", "role_snapshot_weekly", "demand_share_by_region", *router.WEEKS)
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found} | {n: dates_as_text(f) for n, f in {**aggregates.QUERIES, **records.QUERIES, **router.QUERIES}.items()}
-SQL: dict[str, str] = {n: sql_dates_as_text(s) if n in _WEEKS else s for n, s in {**aggregates.SQL, **records.SQL, **router.SQL}.items()}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found} | {n: dates_as_text(f) for n, f in {**aggregates.QUERIES, **records.QUERIES, **router.QUERIES, **measures.QUERIES}.items()}
+SQL: dict[str, str] = {n: sql_dates_as_text(s) if n in _WEEKS else s for n, s in {**aggregates.SQL, **records.SQL, **router.SQL, **measures.SQL}.items()}

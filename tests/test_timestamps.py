@@ -4,8 +4,8 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from laborloom.functions.temporal import with_instant
-from laborloom.operators.timestamps import instant_dictionary, normalise_times, p4_found
+from laborloom.functions.temporal import read_shape
+from laborloom.operators.timestamps import normalise_times, p4_found, shape_dictionary, with_instant
 
 UTC = dt.timezone.utc
 
@@ -53,8 +53,8 @@ def test_forms(spark):
 def test_ages(spark):
     texts = ["3 days ago", "Posted 17 days ago", "4d ago", "34 hours ago", "1 hour ago", "5 minutes ago", "recently"]
     df = spark.createDataFrame([(t, "UTC", "mdy") for t in texts], "raw string, zone string, order string")
-    got = [r["age"] for r in with_instant(df, "raw", "zone", "order", "ms", "age").collect()]
-    assert got == [259_200_000, 1_468_800_000, 345_600_000, 122_400_000, 3_600_000, 300_000, None]
+    got = {r["raw"]: r["age"] for r in with_instant(df, "raw", "zone", "order", "ms", "age").collect()}
+    assert [got[t] for t in texts] == [259_200_000, 1_468_800_000, 345_600_000, 122_400_000, 3_600_000, 300_000, None]
 
 
 def rows(spark, data):
@@ -71,11 +71,23 @@ def test_normalise_keeps_rows_and_reads_ages(spark):
 
 def test_dictionary_grows(spark, tmp_path):
     store = str(tmp_path / "d")
-    a = rows(spark, [(1, "2024-01-01", "UTC", "mdy", None, None)])
-    b = rows(spark, [(1, "2024-01-01", "UTC", "mdy", None, None), (2, "2024-01-02", "UTC", "mdy", None, None)])
-    assert instant_dictionary(a, store).count() == 1
-    assert instant_dictionary(b, store).count() == 2
-    assert spark.read.parquet(store).groupBy("raw").count().filter("count > 1").count() == 0
+    a = rows(spark, [(1, "2024-01-01", "UTC", "mdy", None, None), (2, "1999-12-31", "", "dmy", None, None)])
+    b = rows(spark, [(1, "2024-01-01", "UTC", "mdy", None, None), (2, "3 days ago", "UTC", "mdy", "2024-01-01 10:00", None)])
+    assert shape_dictionary(a, ["raw", "base"], store).count() == 1
+    assert shape_dictionary(b, ["raw", "base"], store).count() == 3
+    assert spark.read.parquet(store).groupBy("shape").count().filter("count > 1").count() == 0
+    assert sorted(r["utc_ms"] for r in normalise_times(b, store).collect()) == [ms(2023, 12, 29, 10), ms(2024, 1, 1)]
+
+
+def test_shapes():
+    assert read_shape("9999-99-99t99:99:99.999+9999")["packed"] and read_shape("99.99.9999")["either"] is False
+    assert read_shape("nonsense")["kind"] is None and read_shape("")["kind"] is None
+    assert read_shape("9 weeks ago")["unit"] == 604_800_000 and read_shape("9" * 13)["kind"] == "epoch"
+
+
+def test_plan_is_compiled(spark):
+    plan = p4_found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 60_000  # the expression once grew beyond what the compiler takes
 
 
 def test_query(spark):
