@@ -239,20 +239,22 @@ def near_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def led(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, root) for nodes (node, weight): each node follows the heaviest of its neighbours, if that is heavier than itself.
+    """(node, root) for nodes (node, weight): each node follows the neighbour with the most support, if that has more than itself.
 
-    A node whose leader follows another one follows it too only where the two are neighbours themselves, else it
-    stands alone, so that a chain of single edits never joins names that are far apart. Ties go to the smaller node.
+    Support is the weight of a node and its neighbours. A node whose leader follows another one follows the best of its
+    neighbours that lead, else it stands alone, so that all of a class are near its root and a chain of single edits never
+    joins names that are far apart. Ties go to the larger weight, then by hash.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weight = nodes.select(F.col("node").alias("b"), F.struct("weight", F.hash("node").alias("h"), "node").alias("rank"))
-    own = nodes.select("node", F.struct("weight", F.hash("node").alias("h"), "node").alias("own"))
-    best = both.join(weight, "b").groupBy(F.col("a").alias("node")).agg(F.max("rank").alias("best"))
-    up = own.join(best, "node", "left").select("node", F.when(F.col("best") > F.col("own"), F.col("best.node")).alias("up"))
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    around = both.join(nodes.select(F.col("node").alias("b"), "weight"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("around"))
+    support = F.col("weight") + F.coalesce("around", F.lit(0))
+    ranks = materialize(nodes.join(around, "node", "left").select("node", F.struct(support.alias("s"), F.col("weight").alias("w"), F.hash("node").alias("h"), F.col("node").alias("node")).alias("own")), "ranks")
+    rank = ranks.select(F.col("node").alias("b"), F.col("own").alias("rank"))
+    best = both.join(rank, "b").groupBy(F.col("a").alias("node")).agg(F.max("rank").alias("best"))
+    up = ranks.join(best, "node", "left").select("node", F.when(F.col("best") > F.col("own"), F.col("best.node")).alias("up"))
     up = materialize(up, "leaders")
-    heads = up.filter("up IS NULL").select(F.col("node").alias("b"))
-    # the heaviest neighbour that follows none
-    heads = both.join(heads, "b").join(weight, "b").groupBy(F.col("a").alias("node")).agg(F.max("rank").alias("head"))
+    # the best neighbour that follows none
+    heads = both.join(up.filter("up IS NULL").select(F.col("node").alias("b")), "b").join(rank, "b").groupBy(F.col("a").alias("node")).agg(F.max("rank").alias("head"))
     return up.join(heads, "node", "left").select("node", F.when(F.col("up").isNull(), F.col("node")).otherwise(F.coalesce("head.node", "node")).alias("root"))
 
 
@@ -262,7 +264,7 @@ def link_names(values: DataFrame, places: frozenset[str] = frozenset()) -> DataF
     Same employer: the same trade and a family name within bound() edits in any order of its words, whatever the order of
     the rest, legal form or branch. Names that share these but have different given names are different employers; one
     with an initial then belongs to the one given name that it may stand for, and one without a given name to none. A
-    spelling belongs to the commonest one near it, so that chains of edits don't join names that are far apart.
+    spelling belongs to the one near it that has the most support, so that chains of edits don't join names that are far apart.
     A value without a trade belongs to the one employer whose family name is nearest, if there is only one;
     one that is another's initials belongs to that one, if there is only one. Nulls are left out; values of which
     nothing is left, such as "LLC", are linked with the values of the same letters only.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.temporal import with_instant
+from ..operators.timestamps import own_store, shape_dictionary, with_instant
 from ..runtime import table
 
 #: A vote loses half its weight in so many days, and a rank of trust is worth so many times the next one.
@@ -72,8 +72,9 @@ def postings(spark: SparkSession, root: str) -> DataFrame:
         "job_id", group_key(F.col("external_id"), F.col("title"), F.col("company")).alias("key"), strip(F.col("source")).alias("__src"), "salary_min", "date_posted", "date_ingested"
     )
     out = jr.filter(F.col("key").isNotNull() & F.col("job_id").isNotNull()).join(src, "__src", "left").withColumn("__utc", F.lit("UTC"))
-    out = with_instant(out, "date_ingested", "__utc", "date_order", "ingested_ms")
-    out = with_instant(out, "date_posted", "home_zone", "date_order", "__ms", "__age")
+    d = shape_dictionary(jr, ["date_ingested", "date_posted"], own_store(spark))
+    out = with_instant(out, "date_ingested", "__utc", "date_order", "ingested_ms", dictionary=d)
+    out = with_instant(out, "date_posted", "home_zone", "date_order", "__ms", "__age", d)
     out = out.withColumn("posted_ms", F.coalesce("__ms", F.col("ingested_ms") - F.col("__age")))
     return out.withColumn("rank", F.coalesce("trust_rank", F.lit(2**31 - 1)).cast("long")).select("job_id", "key", F.col("__src").alias("source"), "salary_min", "rank", "ingested_ms", "posted_ms")
 

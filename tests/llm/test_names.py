@@ -52,7 +52,7 @@ def test_order_of_words_and_given_names(spark):
 def test_chains_of_edits_do_not_join(spark):
     common = [f"Miller Dental {x}".strip() for x in ("", "LLC", "Inc", "Co", "Ltd")]
     middle = ["Hiller Dental", "Hiller Dental LLC"]
-    assert employers(spark, *common, *middle, "Hillen Dental") == [common + middle, ["Hillen Dental"]]
+    assert employers(spark, *common, *middle, "Hillen Dental", "Hallen Dental") == [[*common, *middle, "Hillen Dental"], ["Hallen Dental"]]
 
 
 def test_trie_join_against_all_pairs(spark):
