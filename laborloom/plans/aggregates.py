@@ -10,8 +10,9 @@ from ..adapters import elements, postings, skill_rows
 from ..functions.dates import era_of
 from ..functions.money import midpoint, yearly
 from ..operators import checks, eras, windows
-from ..operators.gates import analytics_gate
+from ..operators.gates import analytics_gate, entitled
 from ..operators.velocity import velocity
+from ..operators.quantiles import quantiles
 from ..operators.weekly import demand, in_week, pair_table, percentiles, sector_summary
 from ..runtime import table
 from . import sql
@@ -24,9 +25,9 @@ _ERA_SQL = "CASE WHEN date_posted < DATE '1996-07-01' THEN 'first' WHEN date_pos
 _ERA_ROWS = f"{sql.ROWS}, era_rows AS (SELECT *, {_ERA_SQL} AS era FROM skill_rows)"
 
 
-def weekly_skills(spark, root):
-    """(week_start, label, posting_count, employer_count)."""
-    return demand(skill_rows(spark, root), F.col("skill"))
+def weekly_skills(spark, root, tenant: list[str] | None = None):
+    """(week_start, label, posting_count, employer_count), of the places that a tenant may see."""
+    return demand(entitled(skill_rows(spark, root), "subregion", tenant), F.col("skill"))
 
 
 def skill_demand_weekly(spark, root):
@@ -62,8 +63,10 @@ def salary_percentiles_by_source(spark, root):
 
 def role_snapshot_weekly(spark, root):
     p = postings(spark, root)
-    pct = [F.expr(f"percentile_disc({q}) within group (order by salary)").alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75, 0.95)]
-    return p.groupBy("week_start", F.col("seniority").alias("role")).agg(F.count(F.lit(1)).alias("posting_count"), F.round(F.avg("salary") + 1e-7, 4).alias("avg_salary"), *pct)
+    p = p.select("week_start", F.col("seniority").alias("role"), "salary")
+    points = {f"p{int(q * 100)}": q for q in (0.25, 0.5, 0.75, 0.95)}
+    q = quantiles(p, ["week_start", "role"], "salary", points, mean="mean")
+    return q.select("week_start", "role", F.col("row_count").alias("posting_count"), F.round(F.col("mean") + 1e-7, 4).alias("avg_salary"), *points)
 
 
 def skill_co_occurrence_top200(spark, root):

@@ -439,10 +439,10 @@ def word_density(spark, root):
     return m.groupBy("role", "y").agg(F.round(F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("density"))
 
 
-@query("""SELECT l_orderkey, round(3e-6 + greatest(0, least(1, coalesce(max(l_discount), 0) * 3.5 + coalesce(max(l_tax), 0) * 2.5 + 0.25 * coalesce(min(l_discount), 0) + least(1, abs(avg(l_discount) - 0.05)) * 0.15)), 5) AS score FROM lineitem GROUP BY 1""")
+@query("""SELECT l_orderkey, round(1e-6 + greatest(0, least(1, coalesce(max(l_discount), 0) * 3.5 + coalesce(max(l_tax), 0) * 2.5 + 0.25 * coalesce(min(l_discount), 0) + least(1, abs(avg(l_discount) - 0.05)) * 0.15)), 5) AS score FROM lineitem GROUP BY 1""")
 def restructuring_scores(spark, root):
     g = table(spark, root, "lineitem").groupBy("l_orderkey").agg(F.max("l_discount").alias("a"), F.max("l_tax").alias("b"), F.min("l_discount").alias("c"), F.avg("l_discount").alias("d"))
-    return g.select("l_orderkey", F.round(eras.restructuring(F.col("a") * 10, F.col("b") * 10, F.col("c"), F.col("d") - 0.05) + 3e-6, 5).alias("score"))
+    return g.select("l_orderkey", F.round(eras.restructuring(F.col("a") * 10, F.col("b") * 10, F.col("c"), F.col("d") - 0.05) + 1e-6, 5).alias("score"))
 
 
 # ---- answers of the interface --------------------------------------------------------------------------------------------

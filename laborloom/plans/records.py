@@ -11,6 +11,7 @@ from ..adapters import elements, postings
 from ..functions import dates, labels, text, vectors
 from ..functions.money import parse_pay
 from ..operators import checks, dedup, matching, mentions, scoring, similarity, upserts, windows
+from ..operators.quantiles import quantiles
 from ..operators.weekly import pair_table
 from ..runtime import table
 
@@ -121,7 +122,7 @@ def histogram_price(spark, root):
 
 @query("SELECT o_orderstatus, quantile_cont(o_totalprice, 0.5) AS median_price FROM orders GROUP BY ALL")
 def median_price(spark, root):
-    return table(spark, root, "orders").groupBy("o_orderstatus").agg(F.median("o_totalprice").alias("median_price"))
+    return quantiles(table(spark, root, "orders"), ["o_orderstatus"], "o_totalprice", {"median_price": 0.5}, between=True).select("o_orderstatus", "median_price")
 
 
 @query("""WITH j AS (SELECT *, CASE WHEN is_remote THEN 'remote' WHEN NOT is_remote THEN 'on site' ELSE 'unknown' END AS r FROM job_records),
@@ -170,7 +171,8 @@ def monthly_requests(spark, root):
 SELECT count(*) AS n, round(quantile_cont(ms, 0.5), 3) AS p50, round(quantile_cont(ms, 0.95), 3) AS p95, round(quantile_cont(ms, 0.99), 3) AS p99 FROM d""")
 def run_latency(spark, root):
     d = table(spark, root, "job_ingestion_runs").select((F.unix_millis("completed_at") - F.unix_millis("started_at")).alias("ms")).dropna()
-    return d.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.percentile("ms", q), 3).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)])
+    q = quantiles(d, [], "ms", {f"p{int(q * 100)}": q for q in (0.5, 0.95, 0.99)}, between=True)
+    return q.select(F.col("row_count").alias("n"), *[F.round(c, 3).alias(c) for c in ("p50", "p95", "p99")])
 
 
 @query(f"""WITH g AS (SELECT {_SRC_SQL.format('source')} AS source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, source) AS rn FROM g)
@@ -307,12 +309,12 @@ def freshness_buckets(spark, root):
     return table(spark, root, "orders").groupBy(dates.freshness(days).alias("freshness")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_SIGNALS = " UNION ALL ".join(f"SELECT job_id, '{f}' AS family, unnest(regexp_extract_all(lower(coalesce(description, '')), '({p})', 1)) AS signal, {c} AS confidence FROM job_records" for f, (p, c) in mentions.CONTEXT.items())
+_SIGNALS = " UNION ALL ".join(f"SELECT job_id, '{f}' AS family, unnest(regexp_extract_all(lower(concat_ws('. ', title, description)), '({p})', 1)) AS signal, {c} AS confidence FROM job_records" for f, (p, c) in mentions.CONTEXT.items())
 
 
 @query(f"SELECT job_id, family, signal, count(*) AS n, CAST(confidence AS DOUBLE) AS confidence FROM ({_SIGNALS}) GROUP BY ALL")
 def context_signals(spark, root):
-    return mentions.context_signals(table(spark, root, "job_records"), "job_id", "description")
+    return mentions.context_signals(table(spark, root, "job_records").select("job_id", F.concat_ws(". ", "title", "description").alias("t")), "job_id", "t")
 
 
 @query()
@@ -446,11 +448,7 @@ def centroid_f1(spark, root):
 SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (WHERE s > threshold AND y) AS tp, count(*) FILTER (WHERE s > threshold AND NOT y) AS fp, count(*) FILTER (WHERE s <= threshold AND y) AS fn, count(*) FILTER (WHERE s <= threshold AND NOT y) AS tn,
 round(count(*) FILTER (WHERE s > threshold AND y) / nullif(count(*) FILTER (WHERE s > threshold), 0), 6) AS precision_, round(count(*) FILTER (WHERE s > threshold AND y) / nullif(count(*) FILTER (WHERE y), 0), 6) AS recall_ FROM p, t GROUP BY threshold""")
 def threshold_sweep(spark, root):
-    e = table(spark, root, "embeddings").withColumn("one", F.lit(1))
-    pairs = similarity.pairs_in_block(e, "one", "vec_id", "embedding", -2.0)
-    lab = e.select(F.col("vec_id").alias("a"), F.col("label").alias("la"))
-    scored = pairs.join(lab, "a").join(lab.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b").withColumn("y", F.col("la") == F.col("lb"))
-    return similarity.threshold_sweep(scored, "similarity", "y", [0.0, 0.1, 0.2, 0.3])
+    return similarity.sweep_pairs(table(spark, root, "embeddings"), "vec_id", "embedding", "label", [0.0, 0.1, 0.2, 0.3])
 
 
 # ---- scores ------------------------------------------------------------------------------------------------------------------
@@ -539,7 +537,7 @@ def cascade_reset(spark, root):
 FROM e a JOIN e b ON a.l_orderkey = b.l_orderkey AND a.s < b.s GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 50""")
 def brand_type_pairs_top50(spark, root):
     e = elements(spark, root).withColumn("s", F.concat_ws("/", "skill", "tool"))
-    return pair_table(e, "posting_id", "s", 100, 50)
+    return pair_table(e, "posting_id", "s", None, 50)
 
 
 @query("""WITH a AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '2000-01-01') AS cur, count(*) FILTER (WHERE o_orderdate < TIMESTAMP '2000-01-01' AND o_orderdate >= TIMESTAMP '1999-01-01') AS prior FROM orders GROUP BY 1)

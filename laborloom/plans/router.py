@@ -79,7 +79,8 @@ class Router:
         self.spark, self.root, self.target, self.tenant = spark, root, target, tenant
 
     def weekly(self) -> DataFrame:
-        return weekly_skills(self.spark, self.root)
+        """The weekly table of what the tenant may see, from its own postings."""
+        return weekly_skills(self.spark, self.root, self.tenant)
 
     def velocity(self) -> DataFrame:
         return velocity(self.weekly(), self.target).withColumn("change", F.round("change", 6))
