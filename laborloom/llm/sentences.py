@@ -51,7 +51,18 @@ _THAI_GAP = re.compile(r"(?<=[฀-๿])[  \n]+(?=[ก-ะาเ-ไ])")
 _DOTTED = re.compile(r"[^\W\d_]\.[^\W\d_]")
 
 
-def script(ch: str) -> str:
+class _Remembered(dict):
+    """A function of one character, each character computed once."""
+
+    def __init__(self, f) -> None:
+        self.f = f
+
+    def __missing__(self, ch: str) -> str:
+        value = self[ch] = self.f(ch)
+        return value
+
+
+def _script(ch: str) -> str:
     """A letter's script, as far as it matters here: cased, thai, han (with kana and hangul), other, or none."""
     if not ch or not ch.isalpha():
         return "none"
@@ -63,6 +74,25 @@ def script(ch: str) -> str:
     return "han" if 0x3040 <= o <= 0x30FF or 0x3400 <= o <= 0x9FFF or 0xAC00 <= o <= 0xD7AF else "other"
 
 
+def _kind(ch: str) -> str:
+    """A character's kind as the first of what may be a sentence."""
+    if not ch:
+        return "end"
+    if ch.isdigit():
+        return "digit"
+    if ch in "¿¡":
+        return "upper"
+    if ch in _OPEN or ch == '"':
+        return "open"
+    if ch.isalpha():
+        s = _script(ch)
+        return ("upper" if ch.isupper() or ch.istitle() else "lower") if s == "cased" else s
+    return "emoji" if unicodedata.category(ch) in ("So", "Sk") else "mark"
+
+
+SCRIPT, KIND = _Remembered(_script), _Remembered(_kind)
+
+
 def pairs(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, is a bracket) of the quotations and brackets of a paragraph whose both ends are there."""
     stack: list[tuple[str, int, str]] = []
@@ -100,29 +130,17 @@ class Sweep:
 
 def left_token(text: str, i: int) -> str:
     """What stands before text[i] up to white space or a bracket, inner full stops kept, in small letters."""
-    token = _LEFT.split(text[i - 24 if i > 24 else 0 : i])[-1].lower()
+    part = text[i - 24 if i > 24 else 0 : i]
+    token = part.rsplit(None, 1)[-1] if part and not part[-1].isspace() else ""
+    if token.isalnum():
+        return token.lower()
+    token = _LEFT.split(token)[-1].lower()
     if "." in token or "!" in token or "?" in token:
         glued = _GLUED.match(token)  # a missing space after a full stop
         return token[glued.end() :] if glued else token
     return token
 
 
-def kind_of(ch: str) -> str:
-    """A character's kind as the first of what may be a sentence."""
-    if not ch:
-        return "end"
-    if ch.isdigit():
-        return "digit"
-    if ch in "¿¡":
-        return "upper"
-    if ch in _OPEN or ch == '"':
-        return "open"
-    if ch.isalpha():
-        s = script(ch)
-        return ("upper" if ch.isupper() or ch.istitle() else "lower") if s == "cased" else s
-    return "emoji" if unicodedata.category(ch) in ("So", "Sk") else "mark"
-
-
 def at_mark(text: str, i: int, j: int) -> tuple:
     """What the features are made of at the end marks text[i:j] with what follows at j."""
     marks = text[i:j].rstrip(_CLOSERS) or text[i]
@@ -137,10 +155,10 @@ def at_mark(text: str, i: int, j: int) -> tuple:
         if previous + bare in BINDING or previous + bare in ENDING or _DOTTED.fullmatch(previous + bare):
             bare = previous + bare  # such as z. B. or p. m.
     first = text[end : end + 1]
-    k = kind_of(first)
+    k = KIND[first]
     if k == "open":
         inner = text[end + 1 : end + 3].lstrip("¿¡  ")
-        k = "open_" + kind_of(inner[:1])
+        k = "open_" + KIND[inner[:1]]
     if core == ".":
         mark = "ellipsis" if len(marks) > 1 and not marks.strip(".…") else "stop"
     elif core == "…":
@@ -156,7 +174,7 @@ def at_mark(text: str, i: int, j: int) -> tuple:
     known = "binding" if binding else "ending" if bare in ENDING else "plain"
     gap = "none" if end == j else "line" if "\n" in text[j:end] else "space"
     nxt = text[end : end + 8].split(None, 1)
-    return (mark, k, gap, known, shape, size, bare, script(before), nxt[0].lower() if nxt else "", digit and previous in ORDINAL)
+    return (mark, k, gap, known, shape, size, bare, SCRIPT[before], nxt[0].lower() if nxt else "", digit and previous in ORDINAL)
 
 
 def type_of(key: tuple, text: str, i: int) -> tuple | None:
@@ -179,16 +197,25 @@ def negative(key: tuple) -> bool:
     return inside or (k == "lower" and mark in ("stop", "ellipsis", "call")) or (mark == "stop" and known == "binding")
 
 
+def token_features(bare: str, k: str, nxt: str) -> tuple[str, str, str]:
+    """The features that name tokens: the one before, that with the kind of what follows, and the one after."""
+    return f"t={bare}", f"t={bare}&k={k}", f"n={nxt}"
+
+
 def features_of(key: tuple) -> list[str]:
     """The features' names, from what at_mark() or at_break() gives."""
     if key[0] == "break":
         _, k, colon, caps, item, heading, size, before = key
         return [f"br&k={k}", f"br&colon={colon}", f"br&caps={caps}&k={k}", f"br&item={item}&k={k}", f"br&heading={heading}", f"br&size={size}", f"br&sb={before}&k={k}", f"br&heading={heading}&item={item}&colon={colon}&caps={caps}&k={k}"]
     mark, k, gap, known, shape, size, bare, before, nxt, ordinal = key
+    return [*shape_features(mark, k, gap, known, shape, size, before, ordinal), *token_features(bare, k, nxt)]
+
+
+def shape_features(mark: str, k: str, gap: str, known: str, shape: str, size: str, before: str, ordinal: bool) -> list[str]:
+    """The features of a mark that name no token."""
     return [
         f"m={mark}", f"m={mark}&k={k}&g={gap}", f"m={mark}&known={known}&k={k}", f"m={mark}&shape={shape}&k={k}", f"m={mark}&size={size}&known={known}",
-        f"t={bare}", f"t={bare}&k={k}", f"known={known}", f"ordinal={ordinal}&k={k}", f"sb={before}&k={k}&m={mark}", f"n={nxt}", f"g={gap}&m={mark}",
-        f"m={mark}&known={known}&shape={shape}&ordinal={ordinal}&k={k}&g={gap}",
+        f"known={known}", f"ordinal={ordinal}&k={k}", f"sb={before}&k={k}&m={mark}", f"g={gap}&m={mark}", f"m={mark}&known={known}&shape={shape}&ordinal={ordinal}&k={k}&g={gap}",
     ]
 
 
@@ -197,8 +224,8 @@ def at_break(text: str, i: int, end: int, line: str, item: bool, heading: bool)
 
     `heading` tells that the line is one of the corpus's headings.
     """
-    k = kind_of(text[end : end + 1])
-    before = script(text[i - 1]) if i else "none"
+    k = KIND[text[end : end + 1]]
+    before = SCRIPT[text[i - 1]] if i else "none"
     colon = line.endswith((":", "：")) and k != "open"
     caps = line.isupper() and len(line.split()) > 1 and k != "lower"
     return ("break", k, colon, caps, item, heading, min(len(line) // 12, 5), before)
@@ -210,16 +237,25 @@ class Model:
     def __init__(self, weights: dict[str, float] | None = None, headings: frozenset[str] = frozenset()) -> None:
         self.weights = weights or {}
         self.headings = headings
-        self.known: dict[tuple, bool] = {}
+        self.known: dict[tuple, float] = {}
+        #: Weights of the features that name tokens, so that no name is put together for a token that has none.
+        self.tokens = {f[2:] for f in self.weights if f.startswith("t=")} | {f[2:].rsplit("&k=", 1)[0] for f in self.weights if f.startswith("t=")}
+        self.next = {f[2:]: w for f, w in self.weights.items() if f.startswith("n=")}
 
     def yes(self, key: tuple) -> bool:
-        """Whether a candidate is a boundary; keys seen before are remembered."""
-        answer = self.known.get(key)
-        if answer is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            answer = self.known[key] = self.score(features_of(key)) > 0
-        return answer
+        """Whether a candidate is a boundary; the scores of what names no token are remembered."""
+        if key[0] == "break":
+            rest, extra = key, 0.0
+        else:
+            mark, k, gap, known, shape, size, bare, before, nxt, ordinal = key
+            rest = (mark, k, gap, known, shape, size, before, ordinal)
+            extra = self.next.get(nxt, 0.0)
+            if bare in self.tokens:
+                extra += self.weights.get(f"t={bare}", 0.0) + self.weights.get(f"t={bare}&k={k}", 0.0)
+        base = self.known.get(rest)
+        if base is None:
+            base = self.known[rest] = self.score(features_of(key) if key[0] == "break" else shape_features(*rest))
+        return base + extra > 0
 
     def score(self, features: list[str]) -> float:
         w = self.weights
@@ -283,7 +319,7 @@ def candidates(text: str, headings: frozenset[str]) -> list[tuple[int, tuple | N
         end = _SPACES.match(text, j).end()
         marked_ends.add(end)
         if closed:
-            nxt = kind_of(text[end : end + 1])
+            nxt = KIND[text[end : end + 1]]
             if closed[2] and nxt not in ("upper", "end", "open"):  # a bracket's own marks end nothing outside, unless a capital follows
                 continue
             if end < size and text[end] in ",;:–—-，、；：":
