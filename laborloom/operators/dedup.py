@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digest
-from ..runtime import parts_for
-from .similarity import NEAR, WINDOW_DAYS
+from ..runtime import materialize, parts_for
+from .components import classes
+from .similarity import NEAR, WINDOW_DAYS, earlier_neighbours
 
 
 def with_hashes(df: DataFrame) -> DataFrame:
@@ -36,8 +37,12 @@ def sequential_survivors(df: DataFrame, block: str, threshold: float = NEAR, day
 
     `df` has (block, key, ts, vector, filled). A row is compared with the survivors of the last `days` before it; if
     the most similar one is above the threshold, the fuller of the two survives, the newer one of equals, and the
-    other one points to it. Blocks are one company's rows; they stream through a task, which holds the window's survivors.
+    other one points to it. Only rows that such links join, directly or through others, bear on each other, so these
+    classes are replayed one by one, however many rows a block has.
     """
+    near = earlier_neighbours(df.select(block, "key", "ts", "vector", "filled").dropna(), block, "key", "ts", "vector", days).filter(F.col("similarity") > threshold - 1e-9)
+    linked = classes(materialize(near.select(F.col("key").alias("a"), F.col("other").alias("b")), "near"))
+    df = df.join(linked.select(F.col("node").alias("key"), F.col("root").alias("__class")), "key")
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, alive = None, []  # survivors of the window: (ts, key, filled, vector)
@@ -61,7 +66,7 @@ def sequential_survivors(df: DataFrame, block: str, threshold: float = NEAR, day
                     out.append((key, other[1], best[0]))
             yield pd.DataFrame(out, columns=["key", "survivor", "similarity"])
 
-    rows = df.select(F.col(block).cast("string").alias("block"), F.col("key").cast("long").alias("key"), F.unix_timestamp("ts").alias("ts"), "vector", F.col("filled").cast("int").alias("filled")).dropna()
+    rows = df.select(F.col("__class").cast("string").alias("block"), F.col("key").cast("long").alias("key"), F.unix_timestamp("ts").alias("ts"), "vector", F.col("filled").cast("int").alias("filled")).dropna()
     n = parts_for(df)
     return rows.repartition(n, "block").sortWithinPartitions("block", "ts", "key").mapInPandas(replay, "key long, survivor long, similarity double")
 
@@ -69,8 +74,6 @@ def sequential_survivors(df: DataFrame, block: str, threshold: float = NEAR, day
 def follow(links: DataFrame, most: int = 40) -> DataFrame:
     """(key, survivor) with each chain of (key, survivor) followed to its end, in a number of rounds that grows as the
     logarithm of the longest chain."""
-    from ..runtime import materialize
-
     cur = materialize(links.select("key", "survivor"), "chain")
     for _ in range(most):
         up = cur.select(F.col("key").alias("survivor"), F.col("survivor").alias("up"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,10 +23,60 @@ CONTEXT = {
 }
 
 
-def _catalogue(names: list[tuple[str, str]]) -> tuple[re.Pattern, dict[str, str]]:
-    words = {alias.lower(): label for alias, label in sorted(names)}
-    longest = sorted((re.escape(w) for w in words), key=lambda w: (-len(w), w))
-    return re.compile(rf"(?<![\w])(?:{'|'.join(longest) or '(?!)'})(?![\w])", re.I), words
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+
+
+@dataclass(frozen=True)
+class Name:
+    """One way to write a label: how sure it is, and whether it only counts near a word of its context."""
+
+    alias: str
+    label: str
+    category: str = ""
+    confidence: float = 1.0
+    context: tuple[str, ...] = ()
+
+
+class Names:
+    """A trie of names by word; a text is walked from each of its words, so that the cost doesn't grow with the number of names."""
+
+    def __init__(self, names: list[Name]) -> None:
+        self.root: dict = {}
+        for n in sorted(names, key=lambda n: (n.alias.lower(), n.label)):
+            node = self.root
+            for m in _TOKEN.finditer(n.alias.lower()):
+                node = node.setdefault(m[0], {})
+            node.setdefault("", []).append(n)
+
+    def found(self, text: str) -> Iterator[tuple[int, int, Name]]:
+        """(start, end, name) of every name in the text, as whole words, whatever the case."""
+        words = [(m[0].lower(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
+        for i, (w, start, _) in enumerate(words):
+            node = self.root.get(w)
+            if node is None or (start and _inner(text[start - 1])):
+                continue
+            k = i
+            while node is not None:
+                end = words[k][2]
+                for n in node.get("", ()):
+                    if (end == len(text) or not _inner(text[end])) and text[start:end].lower() == n.alias.lower():
+                        yield start, end, n
+                k += 1
+                node = node.get(words[k][0]) if k < len(words) else None
+
+    def kept(self, text: str) -> Iterator[tuple[int, int, Name]]:
+        """Those of found() that have their context and don't overlap: the first, of these the longest, then the surest."""
+        low = text.lower()
+        ok = (x for x in self.found(text) if not x[2].context or any(w in low[max(0, x[0] - AROUND) : x[1] + AROUND] for w in x[2].context))
+        end = 0
+        for start, stop, n in sorted(ok, key=lambda x: (x[0], x[0] - x[1], -x[2].confidence, x[2].label.lower())):
+            if start >= end:
+                yield start, stop, n
+                end = stop
+
+
+def _inner(ch: str) -> bool:
+    return ch.isalnum() or ch == "_"
 
 
 def name_mentions(df: DataFrame, key: str, fields: list[str], names: list[tuple[str, str]]) -> DataFrame:
@@ -34,25 +85,35 @@ def name_mentions(df: DataFrame, key: str, fields: list[str], names: list[tuple[
     At one place the longest name wins, and mentions don't overlap; a label is reported once for each row, at its
     first mention in the order of the fields. Names may be MOST_NAMES at most, as they go to every task.
     """
+    return catalogue_mentions(df, key, fields, [Name(a, label) for a, label in names]).drop("category", "confidence")
+
+
+def catalogue_mentions(df: DataFrame, key: str, fields: list[str], names: list[Name]) -> DataFrame:
+    """(key, label, category, confidence, text, field, start_char, end_char, around): each row's labels, once, at their best mention.
+
+    The best mention is the surest, then that of the earlier field, the longer one, the first. At one place of a field the longest name
+    wins. Names with a context count only within AROUND characters of one of its words. Null texts have no mentions.
+    """
     if len(names) > MOST_NAMES:
         raise ValueError("too many names to go to every task")
+    columns = [key, "label", "category", "confidence", "text", "field", "start_char", "end_char", "around"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, labels = _catalogue(names)
+        trie = Names(names)
         for pdf in batches:
             rows = []
             for values in pdf[[key, *fields]].itertuples(index=False):
-                seen = set()
-                for field, text in zip(fields, values[1:]):
-                    for m in find.finditer(text or ""):
-                        label = labels[m[0].lower()]
-                        if label not in seen:
-                            seen.add(label)
-                            rows.append((values[0], label, m[0], field, m.start(), m.end(), text[max(0, m.start() - AROUND) : m.end() + AROUND]))
-            yield pd.DataFrame(rows, columns=[key, "label", "text", "field", "start_char", "end_char", "around"])
+                best: dict[str, tuple] = {}
+                for at, (field, text) in enumerate(zip(fields, values[1:])):
+                    for start, end, n in trie.kept(text) if text else ():
+                        rank = (n.confidence, -at, end - start, -start)
+                        if n.label not in best or rank > best[n.label][0]:
+                            best[n.label] = (rank, (values[0], n.label, n.category, n.confidence, text[start:end], field, start, end, text[max(0, start - AROUND) : end + AROUND]))
+                rows += [row for _, row in best.values()]
+            yield pd.DataFrame(rows, columns=columns)
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, *fields).mapInPandas(run, f"{key} {kind}, label string, text string, field string, start_char long, end_char long, around string")
+    return df.select(key, *fields).mapInPandas(run, f"{key} {kind}, label string, category string, confidence double, text string, field string, start_char long, end_char long, around string")
 
 
 def context_signals(df: DataFrame, key: str, text: str) -> DataFrame:

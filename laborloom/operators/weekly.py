@@ -70,6 +70,16 @@ def refresh_week(df: DataFrame, path: str, week: str = "week_start") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(week).parquet(path)
 
 
+def replace_week(df: DataFrame, path: str, monday, week: str = "week_start") -> int:
+    """Make `df`, rows of one week, that week's partition of the table at `path`, and none if `df` is empty; how many rows there are now."""
+    rows = df.withColumn(week, F.lit(str(monday)))
+    if rows.isEmpty():
+        clear_week(df.sparkSession, path, monday, week)
+        return 0
+    refresh_week(rows, path, week)
+    return df.sparkSession.read.parquet(path).filter(F.col(week) == F.lit(str(monday))).count()
+
+
 def clear_week(spark, path: str, monday, week: str = "week_start") -> None:
     """Remove one week of the table at `path`, as for a week whose refresh gives no rows."""
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{week}={monday}")

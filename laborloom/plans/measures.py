@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..adapters import elements, postings
+from ..adapters import elements, postings, skill_rows
 from ..functions import dates, labels, text, vectors
 from ..operators import checks, eras, gates, matching, mentions, roles, scoring, similarity, upserts, windows
 from ..operators.clusters import dominant_label, most_common
-from ..operators.weekly import demand
+from ..operators.weekly import demand, in_week, pair_table, sector_summary
 from ..runtime import table
+from . import sql
 from .registry import registry
 
 QUERIES, SQL, query = registry()
-_N = F.count(F.lit(1))
 _SRC = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 _SRC_SQL = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
+
+
+def _n():
+    return F.count(F.lit(1))
+
+
 _LAST = "2001-08-01 00:00:00"
 
 
@@ -42,7 +48,7 @@ def gate_counts(spark, root):
     named = {"analytics": gates.analytics_gate, "clustering": gates.clustering_gate, "strict": gates.strict_gate, "tolerant": gates.tolerant_gate}
     out = None
     for name, gate in named.items():
-        one = gate(rows).agg(F.lit(name).alias("gate"), _N.alias("n"))
+        one = gate(rows).agg(F.lit(name).alias("gate"), _n().alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -53,19 +59,19 @@ def enough_new_rows(spark, root):
     c = F.col("overall_confidence")
     e = table(spark, root, "extracted_intelligence").withColumn("tier", F.when(c >= 0.9, "gold").when(c >= 0.6, "silver").otherwise("rejected"))
     n = gates.new_since(e, "extracted_at", "2025-03-01 00:00:00", "tier", ("rejected",))
-    return n.agg(_N.alias("fresh"), (_N >= 50).alias("enough"))
+    return n.agg(_n().alias("fresh"), (_n() >= 50).alias("enough"))
 
 
 @query("""SELECT normalized_job_id, count(*) AS n FROM extracted_intelligence WHERE len([s FOR s IN skills IF s.skill_name ILIKE '%planning%' OR s.label ILIKE '%planning%']) > 0 GROUP BY ALL""")
 def skill_text_search(spark, root):
     hit = F.exists("skills", lambda s: F.coalesce(s["skill_name"].ilike("%planning%"), F.lit(False)) | F.coalesce(s["label"].ilike("%planning%"), F.lit(False)))
-    return table(spark, root, "extracted_intelligence").filter(hit).groupBy("normalized_job_id").agg(_N.alias("n"))
+    return table(spark, root, "extracted_intelligence").filter(hit).groupBy("normalized_job_id").agg(_n().alias("n"))
 
 
 @query("""SELECT event_type, count(*) FILTER (WHERE json_type(props, '$.k') = 'ARRAY') AS arrays, count(*) FILTER (WHERE json_type(props, '$.k') IS NOT NULL AND json_type(props, '$.k') NOT IN ('ARRAY', 'NULL')) AS others, count(*) AS n FROM events GROUP BY ALL""")
 def json_array_guard(spark, root):
     k = F.get_json_object("props", "$.k")
-    return table(spark, root, "events").groupBy("event_type").agg(F.count_if(text.json_array(k).isNotNull()).alias("arrays"), F.count_if(k.isNotNull() & text.json_array(k).isNull()).alias("others"), _N.alias("n"))
+    return table(spark, root, "events").groupBy("event_type").agg(F.count_if(text.json_array(k).isNotNull()).alias("arrays"), F.count_if(k.isNotNull() & text.json_array(k).isNull()).alias("others"), _n().alias("n"))
 
 
 @query("""SELECT id FROM raw_ingested_jobs WHERE processing_status = 'pending' AND created_at < TIMESTAMPTZ '2025-06-01 00:00:00+00' - INTERVAL 30 MINUTE ORDER BY created_at, id LIMIT 100""")
@@ -78,7 +84,7 @@ def pending_oldest_first(spark, root):
 @query("""SELECT coalesce(employment_type, 'none') AS kind, count(*) AS n FROM job_records WHERE employment_type IS NULL OR employment_type NOT IN ('Other', 'Any') GROUP BY 1""")
 def without_misfiled(spark, root):
     jr = gates.without_values(table(spark, root, "job_records"), "employment_type", ("Other", "Any"))
-    return jr.groupBy(F.coalesce("employment_type", F.lit("none")).alias("kind")).agg(_N.alias("n"))
+    return jr.groupBy(F.coalesce("employment_type", F.lit("none")).alias("kind")).agg(_n().alias("n"))
 
 
 # ---- joins -----------------------------------------------------------------------------------------------------------
@@ -88,20 +94,20 @@ def without_misfiled(spark, root):
 def text_key_lookup(spark, root):
     c = table(spark, root, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("k"), "c_mktsegment")
     o = table(spark, root, "orders").select(F.col("o_custkey").cast("string").alias("k"))
-    return o.join(c, "k", "left").groupBy(F.coalesce("c_mktsegment", F.lit("none")).alias("segment")).agg(_N.alias("n"))
+    return o.join(c, "k", "left").groupBy(F.coalesce("c_mktsegment", F.lit("none")).alias("segment")).agg(_n().alias("n"))
 
 
 @query("""SELECT c_nationkey, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)) AS with_large FROM customer GROUP BY ALL""")
 def exists_in_aggregate(spark, root):
     large = table(spark, root, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("large")).distinct()
-    return table(spark, root, "customer").join(large, "c_custkey", "left").groupBy("c_nationkey").agg(_N.alias("n"), F.count_if("large").alias("with_large"))
+    return table(spark, root, "customer").join(large, "c_custkey", "left").groupBy("c_nationkey").agg(_n().alias("n"), F.count_if("large").alias("with_large"))
 
 
 @query("""SELECT b.o_orderkey AS key, count(*) AS earlier, max(a.o_orderdate) AS latest FROM orders b JOIN orders a ON a.o_custkey = b.o_custkey AND a.o_orderdate >= b.o_orderdate - INTERVAL 30 DAY AND a.o_orderdate < b.o_orderdate AND a.o_orderkey <> b.o_orderkey GROUP BY 1""")
 def repeats_within_30_days(spark, root):
     o = table(spark, root, "orders").select(F.col("o_custkey"), F.col("o_orderkey").alias("key"), F.col("o_orderdate").cast("timestamp").alias("ts"))
     near = similarity.earlier_in_window(o, "o_custkey", "key", "ts")
-    return near.groupBy("key").agg(_N.alias("earlier"), F.max("other_ts").alias("latest"))
+    return near.groupBy("key").agg(_n().alias("earlier"), F.max("other_ts").alias("latest"))
 
 
 _VECTORS_SQL = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, o_orderdate AS ts FROM embeddings JOIN orders ON o_orderkey = vec_id)"
@@ -135,7 +141,7 @@ SELECT coalesce(zone, 'none') AS zone, count(*) AS n FROM job_records LEFT JOIN
 def code_of_place(spark, root):
     known = table(spark, root, "raw_ingested_jobs").select(F.upper(F.trim("state")).alias("s"), F.lower(F.trim("city")).alias("c"), F.col("region_id").alias("zone"))
     jr = matching.first_code(table(spark, root, "job_records"), [F.upper(F.trim("state")), F.lower(F.trim("city"))], known, ["s", "c"], "zone")
-    return jr.groupBy(F.coalesce("zone", F.lit("none")).alias("zone")).agg(_N.alias("n"))
+    return jr.groupBy(F.coalesce("zone", F.lit("none")).alias("zone")).agg(_n().alias("n"))
 
 
 @query("""WITH w AS (SELECT job_id, unnest(list_distinct([x FOR x IN regexp_split_to_array(lower(title), '[^a-z]+') IF length(x) >= 4])) AS w FROM job_records), h AS (SELECT job_id, value_id AS code, count(*) AS score, any_value(length(canonical)) AS size FROM w JOIN canonical_values ON field_name = 'title' AND contains(lower(canonical), w) GROUP BY ALL)
@@ -150,7 +156,7 @@ _SECTORS = {"1-URGENT": "Health", "2-HIGH": "Technology", "3-MEDIUM": "Education
 
 @query(f"""SELECT CASE o_orderpriority {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _SECTORS.items())} ELSE 'Other' END AS sector, count(*) AS n FROM orders GROUP BY 1""")
 def sector_of_role(spark, root):
-    return table(spark, root, "orders").groupBy(labels.mapped(F.col("o_orderpriority"), _SECTORS, "Other").alias("sector")).agg(_N.alias("n"))
+    return table(spark, root, "orders").groupBy(labels.mapped(F.col("o_orderpriority"), _SECTORS, "Other").alias("sector")).agg(_n().alias("n"))
 
 
 @query("""SELECT count(*) FILTER (WHERE d.doc_id IS NOT NULL AND e.vec_id IS NOT NULL) AS aligned, count(*) FILTER (WHERE e.vec_id IS NULL) AS missing, count(*) FILTER (WHERE d.doc_id IS NULL) AS orphans FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON doc_id = vec_id""")
@@ -191,7 +197,7 @@ def chain_integrity(spark, root):
     e = table(spark, root, "extracted_intelligence").select("id", "normalized_job_id").distinct()
     j = table(spark, root, "job_records").select("job_id", _SRC("source").alias("js")).distinct()
     c = e.join(j, e.normalized_job_id == j.job_id, "left").join(table(spark, root, "job_sources").select("source"), F.col("js") == F.col("source"), "left")
-    per = c.groupBy("job_id").agg(_N.alias("n"), F.count("source").alias("with_source"))
+    per = c.groupBy("job_id").agg(_n().alias("n"), F.count("source").alias("with_source"))
     lost = F.sum(F.when(F.col("job_id").isNull(), F.col("n")).otherwise(0))
     return per.agg(
         F.sum("n").alias("n_rows"), lost.alias("no_posting"), (F.sum(F.when(F.col("job_id").isNotNull(), F.col("n") - F.col("with_source")).otherwise(0))).alias("no_source"),
@@ -204,16 +210,16 @@ def chain_integrity(spark, root):
 
 @query("""SELECT CAST(CAST(date_trunc('week', max(o_orderdate)) AS DATE) AS VARCHAR) AS latest_week, count(*) FILTER (WHERE date_trunc('week', o_orderdate) = (SELECT date_trunc('week', max(o_orderdate)) FROM orders)) AS n FROM orders""")
 def latest_week(spark, root):
-    per = table(spark, root, "orders").groupBy(dates.week_of(F.col("o_orderdate")).alias("w")).agg(_N.alias("n"))
+    per = table(spark, root, "orders").groupBy(dates.week_of(F.col("o_orderdate")).alias("w")).agg(_n().alias("n"))
     return per.agg(F.max("w").cast("string").alias("latest_week"), F.max_by("n", "w").alias("n"))
 
 
 @query("""SELECT CAST(CAST(date_trunc('week', o_orderdate) AS DATE) AS VARCHAR) AS week, count(*) AS expanded_rows, count(DISTINCT o_orderkey) AS n_postings FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 ORDER BY 1 DESC LIMIT 200""")
 def weeks_with_rows(spark, root):
     """The weeks that there are, the newest first, with their expanded rows and postings."""
-    li = table(spark, root, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(_N.alias("n"))
+    li = table(spark, root, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(_n().alias("n"))
     o = table(spark, root, "orders").join(li, "o_orderkey")
-    return o.groupBy(dates.week_of(F.col("o_orderdate")).cast("string").alias("week")).agg(F.sum("n").alias("expanded_rows"), _N.alias("n_postings")).orderBy(F.desc("week")).limit(200)
+    return o.groupBy(dates.week_of(F.col("o_orderdate")).cast("string").alias("week")).agg(F.sum("n").alias("expanded_rows"), _n().alias("n_postings")).orderBy(F.desc("week")).limit(200)
 
 
 @query("""WITH c AS (SELECT raw_payload_hash, count(*) AS n FROM job_records WHERE raw_payload_hash IS NOT NULL GROUP BY 1) SELECT CASE WHEN n = 1 THEN '1' WHEN n = 2 THEN '2' WHEN n <= 5 THEN '3-5' ELSE '6+' END AS bucket, count(*) AS clusters, CAST(sum(n) AS BIGINT) AS n_rows FROM c GROUP BY 1""")
@@ -224,7 +230,7 @@ def duplicate_buckets(spark, root):
 @query("""SELECT lower(trim(company)) AS cluster, count(*) AS n, max(substr(title, 1, 40)) AS sample FROM job_records WHERE company IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
 def largest_clusters(spark, root):
     jr = table(spark, root, "job_records").filter("company IS NOT NULL")
-    return jr.groupBy(F.lower(F.trim("company")).alias("cluster")).agg(_N.alias("n"), F.max(F.substring("title", 1, 40)).alias("sample")).orderBy(F.desc("n"), "cluster").limit(20)
+    return jr.groupBy(F.lower(F.trim("company")).alias("cluster")).agg(_n().alias("n"), F.max(F.substring("title", 1, 40)).alias("sample")).orderBy(F.desc("n"), "cluster").limit(20)
 
 
 @query("""SELECT ingestion_run_id, count(*) AS n, count(*) FILTER (WHERE processing_status = 'pending') AS pending, count(*) FILTER (WHERE processing_status = 'error') AS failed, count(*) FILTER (WHERE raw_payload_hash IS NULL) AS without_hash, count(DISTINCT lower(trim(company))) AS employers,
@@ -234,9 +240,9 @@ def batch_counters(spark, root):
     # one grouping on the keys that are counted apart, so that each distinct count is a plain one after
     employers = r.groupBy("ingestion_run_id", F.lower(F.trim("company")).alias("c")).agg(F.lit(1).alias("one")).groupBy("ingestion_run_id").agg(F.count("c").alias("employers"))
     per = r.groupBy("ingestion_run_id", F.coalesce(F.lower(F.trim("external_id")), F.lit("")).alias("x")).agg(
-        _N.alias("n"), F.count_if(F.col("processing_status") == "pending").alias("pending"), F.count_if(F.col("processing_status") == "error").alias("failed"), F.count_if(F.col("raw_payload_hash").isNull()).alias("without_hash"),
+        _n().alias("n"), F.count_if(F.col("processing_status") == "pending").alias("pending"), F.count_if(F.col("processing_status") == "error").alias("failed"), F.count_if(F.col("raw_payload_hash").isNull()).alias("without_hash"),
     )
-    sums = per.groupBy("ingestion_run_id").agg(*[F.sum(c).alias(c) for c in ("n", "pending", "failed", "without_hash")], (F.sum("n") - _N).alias("repeats"))
+    sums = per.groupBy("ingestion_run_id").agg(*[F.sum(c).alias(c) for c in ("n", "pending", "failed", "without_hash")], (F.sum("n") - _n()).alias("repeats"))
     return sums.join(employers, "ingestion_run_id").select("ingestion_run_id", "n", "pending", "failed", "without_hash", "employers", "repeats")
 
 
@@ -250,7 +256,7 @@ def grounded_rate(spark, root):
     """The share of answers without an item that nothing backs."""
     e = table(spark, root, "extracted_intelligence").filter("skills IS NOT NULL").dropDuplicates(["id"])
     clean = ~F.exists("skills", lambda s: s["skill_id"].isNull())
-    return e.groupBy("extraction_model").agg(_N.alias("n"), F.round(F.avg(F.when(clean, 1.0).otherwise(0.0)), 6).alias("grounded"))
+    return e.groupBy("extraction_model").agg(_n().alias("n"), F.round(F.avg(F.when(clean, 1.0).otherwise(0.0)), 6).alias("grounded"))
 
 
 @query("""SELECT job_id, salary_max FROM job_records ORDER BY (CASE WHEN isnan(salary_max) THEN NULL ELSE salary_max END) ASC NULLS FIRST, job_id DESC LIMIT 60""".replace("SELECT job_id, salary_max", "SELECT job_id, CASE WHEN isnan(salary_max) THEN NULL ELSE salary_max END AS salary_max"))
@@ -287,7 +293,7 @@ def most_common_tools(spark, root):
 SELECT CASE WHEN round(most / total, 6) >= 0.3 THEN l END AS label, count(*) AS n FROM f GROUP BY 1""")
 def dominant_labels(spark, root):
     d = dominant_label(table(spark, root, "orders"), "o_custkey", "o_orderpriority", 0.3)
-    return d.groupBy("label").agg(_N.alias("n"))
+    return d.groupBy("label").agg(_n().alias("n"))
 
 
 # ---- keyed writes ------------------------------------------------------------------------------------------------------
@@ -320,7 +326,7 @@ def link_preview(spark, root):
 @query("""SELECT label, count(*) AS n, count(*) FILTER (WHERE len(embedding) = 64) AS valid, count(*) FILTER (WHERE embedding IS NULL OR len(embedding) <> 64) AS skipped FROM embeddings GROUP BY ALL""")
 def vector_backfill(spark, root):
     ok = vectors.of_length(F.col("embedding"), 64).isNotNull()
-    return table(spark, root, "embeddings").groupBy("label").agg(_N.alias("n"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("skipped"))
+    return table(spark, root, "embeddings").groupBy("label").agg(_n().alias("n"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("skipped"))
 
 
 @query("""WITH a AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS w, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1), b AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS w, count(*) AS n FROM orders GROUP BY 1)
@@ -329,7 +335,7 @@ def refresh_changes(spark, root):
     """Rows of each week before and after a refresh, where they differ."""
     week = dates.week_of(F.col("o_orderdate")).cast("string").alias("week")
     o = table(spark, root, "orders")
-    a, b = (x.groupBy(week).agg(_N.alias("n")) for x in (o.filter("o_orderdate < TIMESTAMP '1998-01-01'"), o))
+    a, b = (x.groupBy(week).agg(_n().alias("n")) for x in (o.filter("o_orderdate < TIMESTAMP '1998-01-01'"), o))
     z = lambda c: F.coalesce(c, F.lit(0))
     return checks.reconcile(a, b, ["week"], "n").filter("differs").select("week", z("a").alias("before"), z("b").alias("after_"), (z("b") - z("a")).alias("change"))
 
@@ -340,13 +346,13 @@ def refresh_changes(spark, root):
 @query("""SELECT city, lower(strip_accents(trim(regexp_replace(city, '\\s+', ' ', 'g')))) AS folded, lower(trim(regexp_replace(city, '\\s+', ' ', 'g'))) AS label, lower(city) AS cased, count(*) AS n FROM job_records WHERE city IS NOT NULL GROUP BY ALL""")
 def folded_labels(spark, root):
     """Each different city in its normal forms; the folding runs in Python, on distinct values only."""
-    g = table(spark, root, "job_records").filter("city IS NOT NULL").groupBy("city").agg(_N.alias("n"))
+    g = table(spark, root, "job_records").filter("city IS NOT NULL").groupBy("city").agg(_n().alias("n"))
     return g.select("city", text.fold_accents("city").alias("folded"), text.normal_label("city").alias("label"), text.casefold("city").alias("cased"), "n")
 
 
 @query("""SELECT trim(regexp_replace(regexp_replace(lower(concat_ws(', ', city, state, country)), '[^a-z0-9,\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS place, count(*) AS n FROM job_records GROUP BY 1""")
 def location_keys(spark, root):
-    return table(spark, root, "job_records").groupBy(text.location_key(F.concat_ws(", ", "city", "state", "country")).alias("place")).agg(_N.alias("n"))
+    return table(spark, root, "job_records").groupBy(text.location_key(F.concat_ws(", ", "city", "state", "country")).alias("place")).agg(_n().alias("n"))
 
 
 @query("""SELECT job_id, CASE WHEN lower(t) LIKE 'remote - remote%' THEN 'Remote' ELSE t END AS place FROM (SELECT job_id, trim(regexp_replace(coalesce((CASE WHEN is_remote THEN 'Remote - ' || CASE WHEN job_id % 2 = 0 THEN 'Remote' ELSE coalesce(city, '') END ELSE city END), ''), '\\s+', ' ', 'g')) AS t FROM job_records)""")
@@ -360,7 +366,7 @@ _STATES_SQL = "CASE " + " ".join(f"WHEN s = '{n}' THEN '{c}'" for n, c in labels
 
 @query(f"""SELECT {_STATES_SQL} AS code, count(*) AS n FROM (SELECT lower(trim(state)) AS s FROM job_records) GROUP BY 1""")
 def state_codes(spark, root):
-    return table(spark, root, "job_records").groupBy(labels.state_code(F.col("state")).alias("code")).agg(_N.alias("n"))
+    return table(spark, root, "job_records").groupBy(labels.state_code(F.col("state")).alias("code")).agg(_n().alias("n"))
 
 
 _CORPUS_SQL = "trim(array_to_string([x FOR x IN list_concat([s.skill_name FOR s IN coalesce(skills, [])], [t.tool_name FOR t IN coalesce(tools, [])]) IF x IS NOT NULL AND trim(x) <> ''], ' '))"
@@ -421,7 +427,7 @@ h AS (SELECT k, n, days, a, b, coalesce(b, TIMESTAMP '{_LAST}') AS l, coalesce(a
 SELECT k AS posting_id, s AS first_seen, l AS last_seen, CAST(greatest(0, floor((epoch(l) - epoch(s)) / 86400)) AS INTEGER) AS duration_days, n > 20 AS is_repost, CAST(CASE WHEN n > 20 THEN 1 ELSE 0 END AS INTEGER) AS repost_count FROM h""")
 def freshness_rows(spark, root):
     """First and last sight, duration and reposts of each posting; what is missing comes from the other end or the age in days."""
-    o = table(spark, root, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"), _N.alias("n"))
+    o = table(spark, root, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"), _n().alias("n"))
     c = table(spark, root, "customer").select(F.col("c_custkey").alias("k")).join(o, "k", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     seen = c.select("k", F.when(F.col("k") % 5 != 0, F.col("a")).cast("timestamp").alias("a"), F.when(F.col("k") % 7 != 0, F.col("b")).cast("timestamp").alias("b"), (F.col("k") % 40).cast("int").alias("days"), "n")
     return seen.select(F.col("k").alias("posting_id"), dates.seen_span(F.col("a"), F.col("b"), F.col("days"), F.lit(_LAST).cast("timestamp")).alias("x"), (F.col("n") > 20).alias("is_repost"), F.when(F.col("n") > 20, 1).otherwise(0).alias("repost_count")).select(
@@ -434,7 +440,7 @@ SELECT role, y, round(coalesce(sum(share) FILTER (WHERE contains(lower(tool), 'a
 def word_density(spark, root):
     """The share of labels that have one of some words in them."""
     o = table(spark, root, "orders").select(F.col("o_orderkey").alias("posting_id"), F.col("o_orderpriority").alias("role"), F.year("o_orderdate").cast("long").alias("y"))
-    m = elements(spark, root).join(o, "posting_id").groupBy("role", "y", "tool").agg(_N.alias("n"))
+    m = elements(spark, root).join(o, "posting_id").groupBy("role", "y", "tool").agg(_n().alias("n"))
     hit = F.lower("tool").rlike("ai|llm|gpt")
     return m.groupBy("role", "y").agg(F.round(F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("density"))
 
@@ -445,6 +451,17 @@ def restructuring_scores(spark, root):
     return g.select("l_orderkey", F.round(eras.restructuring(F.col("a") * 10, F.col("b") * 10, F.col("c"), F.col("d") - 0.05) + 1e-6, 5).alias("score"))
 
 
+@query()
+def tool_catalogue(spark, root):
+    """The best mention of each tool in postings' titles and descriptions. The catalogue is what extraction has found, with its
+    category; names of one word up to four letters count near a word of work with them only."""
+    e = table(spark, root, "extracted_intelligence").select(F.explode("tools").alias("t")).select(F.trim(F.coalesce("t.tool_name", "t.label")).alias("name"), "t.category")
+    known = e.filter("name <> ''").groupBy(F.lower("name").alias("l")).agg(F.min("name").alias("name"), F.max("category").alias("category")).limit(mentions.MOST_NAMES + 1).collect()
+    near = ("use", "using", "with", "tool", "software", "experience", "skills")
+    names = [mentions.Name(r["name"], r["name"], r["category"] or "", 0.6 if len(r["name"]) <= 4 else 0.95, near if len(r["name"]) <= 4 else ()) for r in known]
+    return mentions.catalogue_mentions(table(spark, root, "job_records"), "job_id", ["title", "description"], names).drop("around")
+
+
 # ---- answers of the interface --------------------------------------------------------------------------------------------
 
 
@@ -452,22 +469,22 @@ def restructuring_scores(spark, root):
 SELECT skill, CAST(total AS BIGINT) AS total, coalesce(n, 0) AS cohort_count, CAST(total - coalesce(n, 0) AS BIGINT) AS gap FROM t LEFT JOIN (SELECT * FROM d WHERE cohort = 'BUILDING') USING (skill) ORDER BY gap DESC, skill LIMIT 50""")
 def cohort_gap(spark, root):
     p = postings(spark, root).select("posting_id", F.col("sector").alias("cohort"))
-    d = elements(spark, root).select("posting_id", "skill").distinct().join(p, "posting_id").groupBy("skill").agg(_N.alias("total"), F.count_if(F.col("cohort") == "BUILDING").alias("cohort_count"))
+    d = elements(spark, root).select("posting_id", "skill").distinct().join(p, "posting_id").groupBy("skill").agg(_n().alias("total"), F.count_if(F.col("cohort") == "BUILDING").alias("cohort_count"))
     return d.withColumn("gap", F.col("total") - F.col("cohort_count")).orderBy(F.desc("gap"), "skill").limit(50)
 
 
 @query("""SELECT p_brand AS skill, count(DISTINCT o_orderkey) AS n, round(count(DISTINCT o_orderkey) / (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT'), 6) AS share FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1 ORDER BY n DESC, skill LIMIT 20""")
 def role_benchmark(spark, root):
     o = table(spark, root, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("posting_id"))
-    total = o.agg(_N.alias("total"))
-    rows = elements(spark, root).select("posting_id", "skill").distinct().join(o, "posting_id").groupBy("skill").agg(_N.alias("n"))
+    total = o.agg(_n().alias("total"))
+    rows = elements(spark, root).select("posting_id", "skill").distinct().join(o, "posting_id").groupBy("skill").agg(_n().alias("n"))
     return rows.join(F.broadcast(total), F.lit(True)).select("skill", "n", F.round(F.col("n") / F.col("total"), 6).alias("share")).orderBy(F.desc("n"), "skill").limit(20)
 
 
 @query("""SELECT c_mktsegment AS sector, n_name AS place, count(*) AS n, count(DISTINCT o_custkey) AS employers FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL ORDER BY n DESC, sector, place LIMIT 40""")
 def market_context(spark, root):
-    per = postings(spark, root).groupBy("sector", "subregion", "company_id").agg(_N.alias("n"))
-    return per.groupBy("sector", F.col("subregion").alias("place")).agg(F.sum("n").alias("n"), _N.alias("employers")).orderBy(F.desc("n"), "sector", "place").limit(40)
+    per = postings(spark, root).groupBy("sector", "subregion", "company_id").agg(_n().alias("n"))
+    return per.groupBy("sector", F.col("subregion").alias("place")).agg(F.sum("n").alias("n"), _n().alias("employers")).orderBy(F.desc("n"), "sector", "place").limit(40)
 
 
 @query("""WITH l AS (SELECT list_distinct(list_sort([lower(trim(coalesce(s.skill_name, s.label))) FOR s IN coalesce(skills, []) IF trim(coalesce(s.skill_name, s.label, '')) <> ''])) AS k FROM (SELECT DISTINCT ON (id) * FROM extracted_intelligence ORDER BY id)), e AS (SELECT unnest(k) AS label FROM l), t AS (SELECT label, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, label LIMIT 12),
@@ -477,18 +494,50 @@ def skill_matrix(spark, root):
     e = table(spark, root, "extracted_intelligence").dropDuplicates(["id"])
     names = F.filter(F.transform("skills", lambda s: F.lower(F.trim(F.coalesce(s["skill_name"], s["label"])))), lambda x: x.isNotNull() & (x != ""))
     sets = e.select("id", F.explode(F.array_distinct(names)).alias("label"))
-    top = sets.groupBy("label").agg(_N.alias("n")).orderBy(F.desc("n"), "label").limit(12).select("label")
+    top = sets.groupBy("label").agg(_n().alias("n")).orderBy(F.desc("n"), "label").limit(12).select("label")
     kept = sets.join(F.broadcast(top), "label").groupBy("id").agg(F.collect_list("label").alias("k"))
     pairs = kept.select("k", F.explode("k").alias("label_a")).select("label_a", F.explode("k").alias("label_b")).filter("label_a <> label_b")
-    return pairs.groupBy("label_a", "label_b").agg(_N.alias("n"))
+    return pairs.groupBy("label_a", "label_b").agg(_n().alias("n"))
+
+
+# ---- one week, as a refresh computes it: a range of the date itself reaches the scan --------------------------------------
+
+_WEEK = "1997-06-02"
+_IN_WEEK = f"date_posted >= TIMESTAMP '{_WEEK}' AND date_posted < TIMESTAMP '{_WEEK}' + INTERVAL 7 DAY"
+_ROWS_SQL = f"WITH {sql.ROWS}, w AS (SELECT * FROM skill_rows WHERE {_IN_WEEK})"
 
 
-@query("""WITH d AS (SELECT p_brand AS label, CAST(date_trunc('week', o_orderdate) AS DATE) AS w, count(DISTINCT o_orderkey) AS n, count(DISTINCT o_custkey) AS c FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderdate >= TIMESTAMP '1997-06-02' AND o_orderdate < TIMESTAMP '1997-06-09' GROUP BY ALL)
-SELECT label, CAST(w AS VARCHAR) AS week, n AS posting_count, c AS employer_count FROM d""")
+def _week_rows(spark, root):
+    return in_week(skill_rows(spark, root), "date_posted", _WEEK)
+
+
+@query(f"{_ROWS_SQL} SELECT skill AS label, count(DISTINCT posting_id) AS posting_count, count(DISTINCT company_id) AS employer_count FROM w GROUP BY ALL")
 def skill_demand_one_week(spark, root):
-    """One stored week's demand, as a refresh computes it: a range of the date itself reaches the scan."""
-    from ..operators.weekly import in_week
+    return demand(_week_rows(spark, root), F.col("skill")).drop("week_start")
+
+
+@query(f"{_ROWS_SQL} SELECT tool AS label, count(DISTINCT posting_id) AS posting_count FROM w GROUP BY ALL")
+def tool_demand_one_week(spark, root):
+    return demand(_week_rows(spark, root), F.col("tool"), company=None).drop("week_start")
+
+
+@query(f"""{_ROWS_SQL}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY posting_id ORDER BY skill) AS rn FROM (SELECT DISTINCT posting_id, skill FROM w)) WHERE rn <= 20)
+SELECT a.skill AS skill_a, b.skill AS skill_b, count(*) AS pair_count FROM c a JOIN c b ON a.posting_id = b.posting_id AND a.skill < b.skill GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 200""")
+def co_occurrence_one_week(spark, root):
+    return pair_table(_week_rows(spark, root), "posting_id", "skill")
+
+
+@query(f"""WITH {sql.POST}, {sql.ELEM}, w AS (SELECT * FROM post WHERE {_IN_WEEK}), agg AS (SELECT sector, count(*) AS posting_count, count(DISTINCT company) AS employer_count, quantile_disc(salary, 0.5) AS p50_salary FROM w GROUP BY sector HAVING count(*) >= 5),
+cnt AS (SELECT sector, lower(trim(skill)) AS skill, count(*) AS cnt FROM w JOIN elem USING (posting_id) GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY cnt DESC, skill) AS rn FROM cnt)
+SELECT sector, posting_count, employer_count, p50_salary, coalesce((SELECT string_agg(skill, ',' ORDER BY rn) FROM rk WHERE rk.sector = agg.sector AND rn <= 10), '') AS top_skills FROM agg""")
+def sector_summary_one_week(spark, root):
+    week = in_week(postings(spark, root), "date_posted", _WEEK)
+    return sector_summary(week, elements(spark, root).select("posting_id", "skill")).withColumn("top_skills", F.array_join("top_skills", ","))
+
+
+@query(f"WITH {sql.ROWS} SELECT week_start, skill AS label, count(DISTINCT posting_id) AS posting_count, count(DISTINCT company_id) AS employer_count FROM skill_rows WHERE subregion IN ('NATION_3', 'NATION_7') GROUP BY ALL".replace("week_start, skill AS label", "CAST(week_start AS VARCHAR) AS week_start, skill AS label"))
+def tenant_weekly_demand(spark, root):
+    """The weekly table that a tenant of two places sees."""
+    from .router import Router
 
-    o = in_week(table(spark, root, "orders"), "o_orderdate", "1997-06-02").select(F.col("o_orderkey").alias("posting_id"), F.col("o_custkey").alias("company_id"), dates.week_of(F.col("o_orderdate")).alias("week_start"))
-    rows = elements(spark, root).select("posting_id", "skill").join(o, "posting_id")
-    return demand(rows, F.col("skill")).select("label", F.col("week_start").cast("string").alias("week"), "posting_count", "employer_count")
+    return Router(spark, root, tenant=["NATION_3", "NATION_7"]).weekly().withColumn("week_start", F.col("week_start").cast("string"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
@@ -84,13 +84,92 @@ def recompute_weeks(history: Callable[[], DataFrame], build: Callable[[DataFrame
     repeated batch changes nothing."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        weeks = batch.select(week_of(F.col("ts")).alias("week_start")).distinct()
-        rows = history().withColumn("week_start", week_of(F.col("ts"))).join(weeks, "week_start", "left_semi")
+        weeks = batch.select(week_of(F.col("ts")).alias("week_start")).dropna().distinct()
+        ends = weeks.agg(F.min("week_start").alias("a"), F.max("week_start").alias("b")).first()
+        if ends["a"] is None:
+            return
+        # a range of the time itself, which the scan of the history can use, then the weeks in it that were touched
+        a, b = (dt.datetime.combine(d, dt.time()) for d in (ends["a"], ends["b"] + dt.timedelta(days=7)))
+        near = history().filter((F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b)))
+        rows = near.withColumn("week_start", week_of(F.col("ts"))).join(weeks, "week_start", "left_semi")
         build(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week_start").parquet(path)
 
     return handle
 
 
+def keyed(events: DataFrame, key: Column, *order: str) -> DataFrame:
+    """(key, value) rows for a log that keeps the order of equal keys: all of a key in one partition, in the given order."""
+    rows = events.withColumn("__key", key.cast("string")).repartition("__key").sortWithinPartitions("__key", *order)
+    return rows.select(F.col("__key").alias("key"), F.to_json(F.struct(*events.columns)).alias("value"))
+
+
+class Counters:
+    """Counts of batches: rows published, delivered and failed, and the largest number in flight."""
+
+    def __init__(self) -> None:
+        self.published = self.delivered = self.failures = self.in_flight = self.peak = 0
+        self.seen: set[int] = set()
+
+    def around(self, handler: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+        """The handler with its batches counted; a batch given again after a failure is published once."""
+
+        def handle(batch: DataFrame, batch_id: int) -> None:
+            n = batch.count()
+            if batch_id not in self.seen:
+                self.seen.add(batch_id)
+                self.published += n
+            self.in_flight += n
+            self.peak = max(self.peak, self.in_flight)
+            try:
+                handler(batch, batch_id)
+                self.delivered += n
+            except Exception:
+                self.failures += 1
+                raise
+            finally:
+                self.in_flight -= n
+
+        return handle
+
+
+def one_by_one(apply: Callable[[list], None], order: str, done: dict) -> Callable[[DataFrame, int], None]:
+    """A handler that gives rows one at a time, in order, and remembers in `done` the last one that was applied.
+
+    The first failure ends the batch; when it is given again, rows up to the last applied one are skipped, so that the log goes on where
+    it stopped. For control events, which are few: all rows pass through the driver.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        last = done.get("last")
+        rows = batch if last is None else batch.filter(F.col(order) > F.lit(last))
+        for row in rows.orderBy(order).toLocalIterator():
+            apply(row)
+            done["last"] = row[order]
+
+    return handle
+
+
+def crash_and_replay(stream: Callable[[], DataFrame], handler: Callable[[DataFrame, int], None], checkpoint: str, crashes: int = 1) -> int:
+    """Run a stream to its end though its handler dies `crashes` times in the middle of a batch, after its work was done but before the
+    batch was noted as done; how often batches were handled. What the handler has written must be the same as without a crash."""
+    state = {"handled": 0, "left": crashes}
+
+    def dying(batch: DataFrame, batch_id: int) -> None:
+        handler(batch, batch_id)
+        state["handled"] += 1
+        if state["left"] > 0:
+            state["left"] -= 1
+            raise RuntimeError("stopped on purpose")
+
+    for _ in range(crashes + 1):
+        try:
+            start(stream(), dying, checkpoint).awaitTermination()
+        except Exception as e:
+            if "stopped on purpose" not in str(e):
+                raise
+    return state["handled"]
+
+
 def synthetic(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     """`n` events that depend on the seed only."""
     ids = spark.range(n).withColumnRenamed("id", "event_id")

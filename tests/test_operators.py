@@ -5,7 +5,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from laborloom import queries
-from laborloom.operators import checks, clusters, dedup, eras, gates, matching, mentions, scoring, similarity, upserts, velocity, weekly, windows
+from laborloom.operators.quantiles import quantiles
+from laborloom.operators import roles, checks, clusters, dedup, eras, gates, matching, mentions, scoring, similarity, upserts, velocity, weekly, windows
 
 
 def test_gates_keep_their_nulls(spark):
@@ -193,6 +194,61 @@ def test_mentions(spark):
     assert mentions.context_signals(df.withColumn("t", F.lit("Fully remote. Reports to a lead.")), "id", "t").count() == 4
 
 
+def test_catalogue_mentions(spark):
+    N = mentions.Name
+    names = [N("Go", "Go", "language", 0.6, ("developer",)), N("Golang", "Go", "language", 0.9), N("C++", "C++", "language"), N("Power BI", "Power BI"), N("BI", "BI", "", 0.5), N(".NET", ".NET")]
+    rows = [(1, "Go developer", "Golang and Power BI, C++11 no, C++ yes"), (2, "Let it go", "bi-weekly BI"), (3, None, ""), (4, "ASP.NET", "we like .NET")]
+    got = mentions.catalogue_mentions(spark.createDataFrame(rows, "id int, a string, b string"), "id", ["a", "b"], names).collect()
+    assert sorted((r["id"], r["label"], r["confidence"], r["field"], r["start_char"], r["text"]) for r in got) == [
+        (1, "C++", 1.0, "b", 31, "C++"), (1, "Go", 0.9, "b", 0, "Golang"), (1, "Power BI", 1.0, "b", 11, "Power BI"), (2, "BI", 0.5, "b", 0, "bi"), (4, ".NET", 1.0, "b", 8, ".NET"),
+    ]
+
+
+def test_survivors_do_not_depend_on_classes(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 8))
+    d = dt.datetime(2024, 1, 1)
+    rows = []
+    for k in range(120):
+        v = centres[rng.integers(6)] + rng.normal(size=8) * 0.35
+        rows.append((("hot" if rng.random() < 0.7 else "x"), k, d + dt.timedelta(hours=int(rng.integers(0, 24 * 90))), [float(x) for x in v], int(rng.integers(0, 4))))
+    want = set()
+    for co in ("hot", "x"):
+        alive = []
+        for _, key, ts, v, full in sorted((r for r in rows if r[0] == co), key=lambda r: (r[2], r[1])):
+            v = np.array(v) / np.linalg.norm(v)
+            alive = [s for s in alive if s[0] >= ts - dt.timedelta(days=30)]
+            best = max(((float(v @ s[3]), -i) for i, s in enumerate(alive) if s[0] < ts), default=None)
+            if best is None or best[0] <= 0.92:
+                alive.append((ts, key, full, v))
+            elif full >= alive[-best[1]][2]:
+                want.add((alive[-best[1]][1], key))
+                alive[-best[1]] = (ts, key, full, v)
+            else:
+                want.add((key, alive[-best[1]][1]))
+    got = dedup.sequential_survivors(spark.createDataFrame(rows, "co string, key long, ts timestamp, vector array<double>, filled int"), "co")
+    assert want and {(r["key"], r["survivor"]) for r in got.collect()} == want
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(1)
+    rows = [(str(g), float(v)) for g in range(3) for v in rng.integers(0, 9, 40 + g)] + [("n", None), ("one", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for r in quantiles(df, ["g"], "v", {"a": 0.25, "b": 0.5, "z": 0.0, "m": 1.0}, mean="mean").collect():
+        x = np.sort([v for g, v in rows if g == r["g"]])
+        assert [r[c] for c in "abzm"] == [x[max(int(np.ceil(q * len(x))) - 1, 0)] for q in (0.25, 0.5, 0.0, 1.0)] and r["row_count"] == len(x) and abs(r["mean"] - x.mean()) < 1e-9
+    both = quantiles(df, [], "v", {"p": 0.95, "h": 0.5}, between=True).collect()[0]
+    x = [v for _, v in rows if v is not None]
+    assert abs(both["p"] - np.quantile(x, 0.95)) < 1e-9 and both["h"] == np.median(x)
+
+
+def test_roles(spark):
+    df = spark.createDataFrame([(1, "Senior Data Engineer", None), (2, "Worker", "we do dataset engineering"), (3, "Cook", "soup"), (4, None, None), (5, "Health Aide", "care")], "i int, t string, d string")
+    sectors = (("s1", "Health Care"), ("s2", "Unknown"))
+    got = {r["i"]: r["r"] for r in df.select("i", roles.role(F.col("t"), F.col("d"), sectors=sectors).alias("r")).collect()}
+    assert got == {1: "Data Engineering", 2: "Data Engineering", 3: "unclassified", 4: "unclassified", 5: "Health Care"}
+
+
 def test_scores(spark):
     p = spark.createDataFrame([("a", "a", 8), ("a", "b", 2), ("b", "b", 5)], "truth string, guess string, n long")
     r = {x["label"]: x for x in scoring.class_report(p).collect()}

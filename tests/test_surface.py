@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from laborloom.plans import guard
 from laborloom.plans.router import Cache, Request, Router, guess_intent, role_words, weeks_back
 from laborloom.sources import records
-from laborloom.sources.paged import PagedSource
+from laborloom.operators import weekly
+from laborloom.sources.paged import PagedSource, RateLimited, Throttle, fetch_all, fetch_with_retry
 from laborloom.streaming import jobs
 from tests.conftest import DATA
 
@@ -78,21 +79,98 @@ def test_sources(spark, tmp_path):
     assert [(r["external_id"], r["title"], r["source"]) for r in got] == [("7", "Cook", "s"), ("8", None, "s")]
     with pytest.raises(ValueError):
         records.read(spark, "nope")
-    pages = spark.createDataFrame([("u1", '<a class="job x" href="/1"><b>Cook</b></a><a class="job" href="/2">Nurse</a>'), ("u2", "Just a moment...")], "url string, html string")
+    fill = "<!-- " + "x" * 120 + " -->"
+    pages = spark.createDataFrame([("u1", '<a class="job x" href="/1"><b>Cook</b></a><a class="job" href="/2">Nurse</a>' + fill), ("u2", "Just a moment..." + fill), ("u3", '<a class="job" href="/3">Short</a>'), ("u4", None)], "url string, html string")
     assert [(r["link"], r["title"]) for r in records.job_cards(pages).orderBy("position").collect()] == [("/1", "Cook"), ("/2", "Nurse")]
     ld = '<script type="application/ld+json">{"title": "Cook", "hiringOrganization": {"name": "Acme"}, "baseSalary": {"currency": "USD", "value": {"minValue": 10, "maxValue": 12, "unitText": "HOUR"}}}</script><h1>x</h1>'
-    p = records.posting_pages(spark.createDataFrame([("u", ld), ("v", "<h1>Nurse</h1><p>text</p>")], "url string, html string")).orderBy("job_url").collect()
+    p = records.posting_pages(spark.createDataFrame([("u", ld + fill), ("v", "<h1>Nurse</h1><p>text. Full-time in El Paso, TX for $20 - $25 / hour</p>" + fill)], "url string, html string")).orderBy("job_url").collect()
     assert (p[0]["title"], p[0]["company"], p[0]["salary_raw"]) == ("Cook", "Acme", "USD 10-12 HOUR") and p[1]["title"] == "Nurse"
+    assert (p[1]["employment_type"], p[1]["state"], p[1]["salary_raw"]) == ("Full-time", "TX", "$20 - $25 / hour")
     q = spark.createDataFrame([("q", ["a", "b"], ["t1", "t2"]), ("r", ["c"], [])], "query string, keywords array<string>, tiers array<string>")
     assert records.fan_out(q).count() == 5
     assert records.table_or_empty(spark, "no_such_table", records.RAW)[1]
     assert [r["id"] for r in records.page(spark.range(10), [F.desc("id")], 0, -5).collect()] == [9]
 
 
+def test_more_sources(spark, tmp_path):
+    nested = spark.createDataFrame([(1, ("a", ("b", 2)), [1])], "id int, x struct<n: string, y: struct<m: string, k: int>>, l array<int>")
+    assert records.flatten(nested).columns == ["id", "x_n", "x_y_m", "x_y_k", "l"]
+    assert records.health(spark, "json", path=str(tmp_path / "no.json"))["ok"] is False and records.health(spark, "nope")["error"]
+    spark.range(1).createOrReplaceTempView("seen_table")
+    assert ("seen_table", 1, "id", "bigint") in [tuple(r) for r in records.tables_and_columns(spark).collect()]
+    listed = spark.createDataFrame([("u1",), ("u2",)], "conceptUri string")
+    entries = spark.createDataFrame([("u1", "Cook", "chef\nchef\n cook ", None)], "conceptUri string, preferredLabel string, altLabels string, hiddenLabels string")
+    assert sorted(tuple(r) for r in records.listed_names(listed, entries).collect()) == [("u1", "Cook", "preferredLabel"), ("u1", "chef", "altLabels"), ("u1", "cook", "altLabels"), ("u2", None, None)]
+    (tmp_path / "s.json").write_text('[{"id": "1", "title": "a"}, {"id": "2", "title": "b"}]')
+    (tmp_path / "t.json").write_text('[{"id": "2", "title": "c"}, {"id": "3", "title": "d"}]')
+    records.seed(spark, str(tmp_path / "s.json"), f"file://{tmp_path}/tab", ["external_id"]).write.parquet(f"file://{tmp_path}/tab")
+    assert sorted((r["external_id"], r["title"]) for r in records.seed(spark, str(tmp_path / "t.json"), f"file://{tmp_path}/tab", ["external_id"]).collect()) == [("1", "a"), ("2", "c"), ("3", "d")]
+    assert records.markdown(spark.createDataFrame([(1, "a|b"), (2, None)], "x int, y string")) == "| x | y |\n| --- | --- |\n| 1 | a\\|b |\n| 2 |  |"
+    records.report(spark.range(3), f"file://{tmp_path}/r", "csv")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/r").count() == 3
+
+
+def test_week_replacement(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "label string, n int")
+    assert weekly.replace_week(df, path, "2024-01-01") == 2 and weekly.replace_week(df, path, "2024-01-08") == 2
+    assert weekly.replace_week(df.filter("n = 1"), path, "2024-01-01") == 1 and weekly.replace_week(df.filter("n = 9"), path, "2024-01-08") == 0
+    assert [r["label"] for r in spark.read.parquet(path).collect()] == ["a"]
+
+
+def test_rate_keys_and_last_page():
+    calls, slept = [], []
+
+    def fetch(keyword, page, key):
+        calls.append((page, key))
+        if key == "k1" or (page == 1 and len(calls) < 5):
+            raise RateLimited("no")
+        return [{"id": i} for i in range(2 if page == 0 else 1)]
+
+    now = [0.0]
+    throttle = Throttle(2.0, lambda: now[0], slept.append)
+    got = list(fetch_all(fetch, "cook", 10, 2, throttle, keys=["k1", "k2"], sleep=slept.append))
+    assert got == [(0, {"id": 0}), (0, {"id": 1}), (1, {"id": 0})]
+    assert calls[:2] == [(0, "k1"), (0, "k2")] and slept == [0.5, 0.5]
+    with pytest.raises(RateLimited):
+        fetch_with_retry(lambda *a: (_ for _ in ()).throw(RateLimited("x")), "a", 0, keys=["k"], sleep=lambda s: None)
+
+
+def test_replay_after_a_crash(spark, tmp_path):
+    path, out = events(spark, tmp_path, 200), str(tmp_path / "out")
+    write = lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")
+    counters = jobs.Counters()
+    handled = jobs.crash_and_replay(lambda: jobs.read_files(spark, path, files=1), counters.around(write), str(tmp_path / "cp"), crashes=2)
+    ids = [r["event_id"] for r in spark.read.parquet(out).collect()]
+    assert handled == 5 and sorted(ids) == list(range(200))
+    assert counters.published == 200 and counters.delivered > 200 and counters.in_flight == 0 and counters.peak > 0
+
+
+def test_ordered_log_goes_on_where_it_stopped(spark):
+    applied, done = [], {}
+    fail = [True]
+
+    def apply(row):
+        if row["id"] == 3 and fail.pop() if fail else False:
+            raise OSError("no")
+        applied.append(row["id"])
+
+    handle = jobs.one_by_one(apply, "id", done)
+    with pytest.raises(OSError):
+        handle(spark.range(6), 0)
+    assert applied == [0, 1, 2]
+    handle(spark.range(6), 0)
+    assert applied == [0, 1, 2, 3, 4, 5]
+    log = jobs.keyed(spark.createDataFrame([(2, "a"), (1, "a"), (3, "b")], "n int, c string"), F.col("c"), "n").collect()
+    assert [(r["key"], r["value"]) for r in log if r["key"] == "a"] == [("a", '{"n":1,"c":"a"}'), ("a", '{"n":2,"c":"a"}')]
+
+
 def test_paged_source(spark):
     spark.dataSource.register(PagedSource)
     df = spark.read.format("paged_postings").option("keywords", "cook,nurse").option("pages", "2").option("fetch", "laborloom.sources.paged.demo_fetch").load()
     assert df.count() == 8 and df.select("external_id").distinct().count() == 8
+    whole = spark.read.format("paged_postings").option("keywords", "cook,nurse").option("size", "2").option("rate", "1000").option("fetch", "laborloom.sources.paged.demo_fetch").load()
+    assert whole.count() == 14  # three full pages and one that ends them, of each keyword
 
 
 def events(spark, tmp_path, n=300, name="in"):
