@@ -445,21 +445,21 @@ def word_density(spark, root):
     return m.groupBy("role", "y").agg(F.round(F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("density"))
 
 
-@query("""SELECT l_orderkey, round(1e-6 + greatest(0, least(1, coalesce(max(l_discount), 0) * 3.5 + coalesce(max(l_tax), 0) * 2.5 + 0.25 * coalesce(min(l_discount), 0) + least(1, abs(avg(l_discount) - 0.05)) * 0.15)), 5) AS score FROM lineitem GROUP BY 1""")
+@query("""SELECT l_orderkey, round(1.37e-5 + greatest(0, least(1, coalesce(max(l_discount), 0) * 3.5 + coalesce(max(l_tax), 0) * 2.5 + 0.25 * coalesce(min(l_discount), 0) + least(1, abs(avg(l_discount) - 0.05)) * 0.15)), 3) AS score FROM lineitem GROUP BY 1""")
 def restructuring_scores(spark, root):
     g = table(spark, root, "lineitem").groupBy("l_orderkey").agg(F.max("l_discount").alias("a"), F.max("l_tax").alias("b"), F.min("l_discount").alias("c"), F.avg("l_discount").alias("d"))
-    return g.select("l_orderkey", F.round(eras.restructuring(F.col("a") * 10, F.col("b") * 10, F.col("c"), F.col("d") - 0.05) + 1e-6, 5).alias("score"))
+    return g.select("l_orderkey", F.round(eras.restructuring(F.col("a") * 10, F.col("b") * 10, F.col("c"), F.col("d") - 0.05) + 1.37e-5, 3).alias("score"))
 
 
 @query()
 def tool_catalogue(spark, root):
-    """The best mention of each tool in postings' titles and descriptions. The catalogue is what extraction has found, with its
+    """The best mention of each tool in documents. The catalogue is what extraction has found, with its
     category; names of one word up to four letters count near a word of work with them only."""
     e = table(spark, root, "extracted_intelligence").select(F.explode("tools").alias("t")).select(F.trim(F.coalesce("t.tool_name", "t.label")).alias("name"), "t.category")
     known = e.filter("name <> ''").groupBy(F.lower("name").alias("l")).agg(F.min("name").alias("name"), F.max("category").alias("category")).limit(mentions.MOST_NAMES + 1).collect()
     near = ("use", "using", "with", "tool", "software", "experience", "skills")
     names = [mentions.Name(r["name"], r["name"], r["category"] or "", 0.6 if len(r["name"]) <= 4 else 0.95, near if len(r["name"]) <= 4 else ()) for r in known]
-    return mentions.catalogue_mentions(table(spark, root, "job_records"), "job_id", ["title", "description"], names).drop("around")
+    return mentions.catalogue_mentions(table(spark, root, "documents"), "doc_id", ["text"], names).drop("around")
 
 
 # ---- answers of the interface --------------------------------------------------------------------------------------------

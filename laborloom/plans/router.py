@@ -243,9 +243,14 @@ QUERIES = {
     "dashboard_roles": dashboard_roles,
     "co_occurrence_matrix": co_occurrence_matrix,
 }
+_MATRIX = f"""WITH {sql.ROWS}, d AS (SELECT DISTINCT posting_id, skill FROM skill_rows), r AS (SELECT *, row_number() OVER (PARTITION BY posting_id ORDER BY skill) AS rn FROM d), c AS (SELECT * FROM r WHERE rn <= 20),
+p AS (SELECT a.skill AS x, b.skill AS y, count(*) AS n FROM c a JOIN c b ON a.posting_id = b.posting_id AND a.skill < b.skill GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 200), q AS (SELECT * FROM p UNION ALL SELECT y, x, n FROM p),
+t AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT x FROM q GROUP BY x ORDER BY sum(n) DESC, x LIMIT 8))
+SELECT q.x AS skill_a, """ + ", ".join(f"CAST(coalesce(sum(n) FILTER (WHERE u.i = {i}), 0) AS BIGINT) AS c{i}" for i in range(8)) + " FROM q JOIN t ON q.x = t.x JOIN t u ON q.y = u.x GROUP BY 1"
 _FLOOR = f"DATE '{TARGET}' - INTERVAL 84 DAY"
 _VEL = sql.velocity(str(TARGET))
 SQL = {
+    "co_occurrence_matrix": _MATRIX,
     "router_trend": f"WITH {sql.WEEKLY} SELECT * FROM weekly WHERE week_start >= {_FLOOR} AND (label ILIKE '%brand#1%' OR label ILIKE '%brand#2%') ORDER BY week_start DESC, posting_count DESC, label LIMIT 100",
     "router_curriculum": f"WITH {sql.WEEKLY} SELECT * FROM weekly WHERE week_start >= DATE '{TARGET}' - INTERVAL 182 DAY ORDER BY posting_count DESC, week_start DESC, label LIMIT 100",
     "router_disruption": f"WITH {_VEL} SELECT * FROM vel WHERE trend IN ('declining', 'volatile') ORDER BY change, label LIMIT 100",
