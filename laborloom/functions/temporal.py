@@ -105,27 +105,52 @@ def read_shape(shape: str) -> dict:
     return out
 
 
-def instant_of(raw: Column, shape: Column, zone: Column, order: Column) -> tuple[Column, Column]:
-    """(milliseconds since 1970 that the text states, milliseconds of the age that it is), null where it states none.
+#: The fields of a shape that are indices of numbers, in the order in which number_parts() gives them.
+_PARTS = ("y", "mo", "d", "h", "mi", "s", "zh", "zm")
 
-    `shape` is a struct of SHAPE's fields for the text. `zone` is the IANA zone of texts without one, `order` is "mdy" or "dmy"
-    for dates in numbers. A local time that occurs twice means the first; one that was skipped is read with the offset
-    before the change. Digits beyond milliseconds are cut. Impossible dates give nulls; a text without a zone gives
-    null if `zone` is null.
-    """
-    numbers = F.regexp_extract_all(plain_time(raw), F.lit("([0-9]+)"), F.lit(1))
-    text = lambda k: F.get(numbers, shape[k])
-    num = lambda k: text(k).try_cast("int")
-    part = lambda k: F.when(shape[k].isNull(), 0).otherwise(num(k))
-    year = num("y") + F.when(shape["short"], 2000).otherwise(0)
+
+def numbers_of(raw: Column) -> Column:
+    """The text's numbers as texts, in order."""
+    return F.regexp_extract_all(raw, F.lit("([0-9]+)"), F.lit(1))
+
+
+def number_parts(numbers: Column, shape: Column) -> Column:
+    """The numbers that the shape's fields _PARTS point to, null where a field is."""
+    return F.array(*[F.get(numbers, shape[k]).try_cast("int") for k in _PARTS])
+
+
+def local_time(parts: Column, shape: Column, order: Column) -> Column:
+    """The time that the text states, as it stands there; null for impossible dates. `order` is "mdy" or "dmy" for dates in numbers.
+    Parts of the time that are missing are zero."""
+    p = {k: F.get(parts, F.lit(i)) for i, k in enumerate(_PARTS)}
+    year = p["y"] + F.when(shape["short"], 2000).otherwise(0)
     swap = shape["either"] & (F.coalesce(order, F.lit("")) != "dmy")
-    month = F.coalesce(shape["month"], F.when(swap, num("d")).otherwise(num("mo")))
-    day = F.when(swap, num("mo")).otherwise(num("d"))
-    hour = F.when(shape["half"].isNull(), part("h")).when(num("h").between(1, 12), F.pmod(num("h"), F.lit(12)) + F.when(shape["half"] == "p", 12).otherwise(0))
-    local = F.try_make_timestamp(F.when(year > 0, year), month, day, hour, part("mi"), part("s").cast("decimal(8,6)"))
-    offset = F.when(shape["packed"], F.floor(num("zh") / 100) * 60 + num("zh") % 100).otherwise(num("zh") * 60 + F.when(shape["zm"].isNull(), 0).otherwise(num("zm")))
-    minutes = F.coalesce(shape["minutes"], shape["sign"] * offset)
-    fraction = F.when(shape["f"].isNull(), 0).otherwise(F.rpad(F.substring(text("f"), 1, 3), 3, "0").try_cast("int"))
-    stated = F.when(minutes.isNotNull(), F.unix_millis(local) - minutes * 60_000).otherwise(F.unix_millis(F.to_utc_timestamp(local, zone))) + fraction
-    first = F.get(numbers, F.lit(0)).try_cast("long") * shape["unit"]
-    return F.when(shape["kind"] == "epoch", first).when(shape["kind"] == "date", stated).cast("long"), F.when(shape["kind"] == "age", first)
+    month = F.coalesce(shape["month"], F.when(swap, p["d"]).otherwise(p["mo"]))
+    half = F.when(p["h"].between(1, 12), F.pmod(p["h"], F.lit(12)) + F.when(shape["half"] == "p", 12).otherwise(0))
+    hour = F.when(shape["half"].isNotNull(), half).otherwise(F.when(shape["h"].isNull(), 0).otherwise(p["h"]))
+    zero = lambda k: F.when(shape[k].isNull(), 0).otherwise(p[k])
+    return F.try_make_timestamp(F.when(year > 0, year), month, F.when(swap, p["mo"]).otherwise(p["d"]), hour, zero("mi"), zero("s").cast("decimal(8,6)"))
+
+
+def minutes_east(parts: Column, shape: Column) -> Column:
+    """The offset that the text states, in minutes east of UTC; null where it states none."""
+    h, m = F.get(parts, F.lit(_PARTS.index("zh"))), F.get(parts, F.lit(_PARTS.index("zm")))
+    stated = F.when(shape["packed"], F.floor(h / 100) * 60 + h % 100).otherwise(h * 60 + F.when(shape["zm"].isNull(), 0).otherwise(m))
+    return F.coalesce(shape["minutes"], shape["sign"] * stated)
+
+
+def instant(local: Column, minutes: Column, numbers: Column, shape: Column, zone: Column) -> Column:
+    """Milliseconds since 1970 of a local time at an offset, or in the IANA zone `zone` where there is none; of an epoch, its own.
+
+    A local time that occurs twice means the first; one that was skipped is read with the offset before the change. Digits
+    beyond milliseconds are cut.
+    """
+    fraction = F.when(shape["f"].isNull(), 0).otherwise(F.rpad(F.substring(F.get(numbers, shape["f"]), 1, 3), 3, "0").try_cast("int"))
+    stated = F.when(minutes.isNotNull(), F.unix_millis(local) - minutes * 60_000).otherwise(F.unix_millis(F.to_utc_timestamp(local, zone)))
+    epoch = F.get(numbers, F.lit(0)).try_cast("long") * shape["unit"]
+    return F.when(shape["kind"] == "epoch", epoch).when(shape["kind"] == "date", stated + fraction).cast("long")
+
+
+def age_of(numbers: Column, shape: Column) -> Column:
+    """Milliseconds of the age that the text is, null where it is none."""
+    return F.when(shape["kind"] == "age", F.get(numbers, F.lit(0)).try_cast("long") * shape["unit"])

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.temporal import SHAPE, instant_of, is_age, read_shape, time_shape
+from ..functions.temporal import SHAPE, age_of, instant, local_time, minutes_east, number_parts, numbers_of, read_shape, time_shape
 from ..runtime import shared_dir, spread, table
 
 #: The dictionary's columns, and the version of how shapes are read, which is part of a store's name.
@@ -23,19 +23,13 @@ _NUMPY = {"int": "Int32", "long": "Int64", "boolean": "boolean", "string": "obje
 
 
 def posting_times(spark: SparkSession, root: str) -> DataFrame:
-    """Rows (job_id, field_name, raw, zone, date_order, base): one for each non-null time text of `job_records`.
+    """(job_id, date_posted, date_ingested, home_zone, date_order) of `job_records`.
 
-    `base` is the row's `date_ingested` where the text is an age, to count back from. The eight sources are joined
-    by their trimmed, lower-cased name; a source that is not listed leaves zone and order empty.
+    The eight sources are joined by their trimmed, lower-cased name; a source that is not listed leaves zone and order null.
     """
     src = table(spark, root, "job_sources").select(F.lower(F.trim("source")).alias("__src"), F.col("home_zone"), F.col("date_order")).dropDuplicates(["__src"])
     jr = table(spark, root, "job_records").select("job_id", F.lower(F.trim(F.regexp_replace("source", r"\s+", " "))).alias("__src"), "date_posted", "date_ingested")
-    wide = jr.join(src, "__src", "left")
-    pair = F.array(
-        F.struct(F.lit("date_posted").alias("field_name"), F.col("date_posted").alias("raw"), F.coalesce("home_zone", F.lit("")).alias("zone"), F.coalesce("date_order", F.lit("")).alias("date_order"), F.when(is_age(F.col("date_posted")), F.col("date_ingested")).alias("base")),
-        F.struct(F.lit("date_ingested").alias("field_name"), F.col("date_ingested").alias("raw"), F.lit("UTC").alias("zone"), F.coalesce("date_order", F.lit("")).alias("date_order"), F.lit(None).cast("string").alias("base")),
-    )
-    return wide.select("job_id", F.explode(pair).alias("x")).select("job_id", "x.*").filter(F.col("raw").isNotNull())
+    return jr.join(src, "__src", "left").drop("__src")
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,18 +62,20 @@ def own_store(spark: SparkSession) -> str:
 
 
 def with_instant(df: DataFrame, raw: str, zone: str, order: str, ms: str, age_ms: str | None = None, dictionary: DataFrame | None = None) -> DataFrame:
-    """Add `ms`, the instant in milliseconds that the text in column `raw` states, null where it states none, as instant_of() says.
+    """Add `ms`, the instant in milliseconds that the text in column `raw` states, null where it states none, as instant() says.
 
     `zone` and `order` name columns; with `age_ms`, that column gets the age of texts like "3 days ago" (null otherwise). Null,
     empty and unreadable texts give nulls; all rows and their other columns are kept. A shape that a third of all rows have makes
-    only the rows' side of the join skewed; AQE broadcasts the small dictionary or splits that side.
+    only the rows' side of the join skewed; AQE broadcasts the small dictionary or splits that side. The steps are columns of their
+    own, as one long expression would be more than the compiler takes.
     """
     d = shape_dictionary(df, [raw]) if dictionary is None else dictionary
+    how, n, p, local = (F.col(c) for c in ("__how", "__n", "__p", "__local"))
     d = d.select(F.col("shape").alias("__shape"), F.struct(*SHAPE).alias("__how"))
     out = df.withColumn("__shape", time_shape(F.col(raw))).join(d, "__shape", "left")
-    at, age = instant_of(F.col(raw), F.col("__how"), F.col(zone), F.col(order))
-    out = out.withColumn(ms, at)
-    return (out.withColumn(age_ms, age) if age_ms else out).drop("__shape", "__how")
+    out = out.withColumn("__n", numbers_of(F.col(raw))).withColumn("__p", number_parts(n, how)).withColumn("__local", local_time(p, how, F.col(order)))
+    out = out.withColumn(ms, instant(local, minutes_east(p, how), n, how, F.col(zone)))
+    return (out.withColumn(age_ms, age_of(n, how)) if age_ms else out).drop("__shape", "__how", "__n", "__p", "__local")
 
 
 def normalise_times(rows: DataFrame, store: str | None = None) -> DataFrame:
@@ -98,6 +94,16 @@ def normalise_times(rows: DataFrame, store: str | None = None) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    """Every time text of `job_records` that states a real point in time, as one UTC instant."""
-    found = normalise_times(posting_times(spark, root), own_store(spark))
-    return found.filter(F.col("utc_ms").isNotNull()).select("job_id", "field_name", "utc_ms")
+    """Every time text of `job_records` that states a real point in time, as one UTC instant.
+
+    Both texts of a row are read side by side, as an age in one counts back from the other.
+    """
+    rows = posting_times(spark, root).withColumn("__utc", F.lit("UTC"))
+    d = shape_dictionary(rows, ["date_posted", "date_ingested"], own_store(spark))
+    rows = with_instant(rows, "date_ingested", "__utc", "date_order", "__in", dictionary=d)
+    rows = with_instant(rows, "date_posted", "home_zone", "date_order", "__out", "__age", d)
+    pair = F.array(
+        F.struct(F.lit("date_posted").alias("field_name"), F.coalesce("__out", F.col("__in") - F.col("__age")).alias("utc_ms")),
+        F.struct(F.lit("date_ingested").alias("field_name"), F.col("__in").alias("utc_ms")),
+    )
+    return rows.select("job_id", F.explode(pair).alias("x")).select("job_id", "x.*").filter(F.col("utc_ms").isNotNull())
